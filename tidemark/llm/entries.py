@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, language_id, line_frequency
 
 QUERIES = {
+    "op7_language_id": language_id.op7_language_id,
+    "op8_line_frequency": line_frequency.op8_line_frequency,
     "op9_bpe": bpe.op9_bpe,
 }
 

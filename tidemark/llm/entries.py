@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, decontaminate, language_id, line_frequency
+from tidemark.llm import bpe, decontaminate, language_id, line_frequency, sanitise
 
 QUERIES = {
+    "op1_sanitise": sanitise.op1_sanitise,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_frequency": line_frequency.op8_line_frequency,

@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, decontaminate, language_id, line_frequency, sanitise, toxicity
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_frequency, sanitise, toxicity
 
 QUERIES = {
     "op1_sanitise": sanitise.op1_sanitise,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_frequency": line_frequency.op8_line_frequency,

@@ -1,0 +1,25 @@
+"""Connected components by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import checkpoint
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): for each node of (a, b) edges the least node that it is connected with.
+
+    Each round a node takes the least label among its own and its neighbours' and then that label's own label; it ends
+    when nothing changes. Hubs are spread by partial sums and by adaptive skew joins; each round is checkpointed."""
+    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
+        new = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
+        new = checkpoint(new.join(jump, "label").select("node", "was", F.least("label", "jumped").alias("label")))
+        if new.where("was != label").isEmpty():
+            return new.select("node", "label")
+        labels = new.select("node", "label")

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_frequency, sanitise, toxicity
+from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_frequency, sanitise, suffix_array, toxicity
 
 QUERIES = {
     "op1_sanitise": sanitise.op1_sanitise,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_line_frequency": line_frequency.op8_line_frequency,
     "op9_bpe": bpe.op9_bpe,
+    "op10_suffix_array": suffix_array.op10_suffix_array,
 }
 
 ORACLES: dict[str, str] = {}

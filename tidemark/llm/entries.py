@@ -1,16 +1,20 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, line_frequency, sanitise, suffix_array, toxicity
+from tidemark.llm import bpe, chunk_dedup, decontaminate, jaccard_join, language_id, line_frequency, preference, sanitise, suffix_array, toxicity
 
 QUERIES = {
     "op1_sanitise": sanitise.op1_sanitise,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_chunk_dedup": chunk_dedup.op5_chunk_dedup,
+    "op6_preference": preference.op6_preference,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_frequency": line_frequency.op8_line_frequency,
     "op9_bpe": bpe.op9_bpe,
     "op10_suffix_array": suffix_array.op10_suffix_array,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_preference": preference.OP6_SQL,
+}

@@ -174,6 +174,28 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def keep_languages(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has letters and a language of at least this share of probability.
+    Where no language was learned, the letters decide alone."""
+    small_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def good(text: str | None) -> bool:
+        if not text or not _letter(text):
+            return False
+        if not sent.value.languages:
+            return True
+        bits = code_lengths(sent.value, text)
+        return bool(1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum() >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([good(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 HOLD_OUT = 5
 
 

@@ -180,8 +180,15 @@ def _spans(text: str | None, of: dict[int, set[str]]) -> list[tuple[int, int, st
     return sorted(spans + extra, key=lambda x: (x[0], (*KINDS, "term").index(x[2])))
 
 
+def _of(own: list[dict]) -> dict[int, set[str]]:
+    of: dict[int, set[str]] = {}
+    for x in own:
+        of.setdefault(x["entity"], set()).add(x["term"])
+    return of
+
+
 def _with_own_pairs(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, own): the pairs of entity and term that the row itself has, for any number of pairs. Only rows with
+    """The rows and ``own``, the pairs of entity and term that the row itself has, for any number of pairs. Only rows with
     entities give their words, and a list holds no more than a row's own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +201,11 @@ def _with_own_pairs(df: DataFrame, found: DataFrame, id_col: str, text_col: str)
                         keys.append(key), entity.append(e), term.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entity, pa.int64()), pa.array(term, pa.string())], ["_key", "entity", "term"])
 
-    keyed = df.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col), F.col(text_col))
+    keyed = df.select("*", F.xxhash64(id_col, text_col).alias("_key"))
     pairs = keyed.select("_key", text_col).mapInArrow(run, "_key long, entity long, term string")
     own = pairs.join(found.select("entity", "term"), ["entity", "term"]).groupBy("_key").agg(F.collect_set(F.struct("entity", "term")).alias("own"))
-    return keyed.join(own, "_key", "left").select(id_col, text_col, "own")
+    own = own.select(F.col("_key").alias("_own_key"), F.col("own").alias("_own_pairs"))
+    return keyed.join(own, F.col("_key") == F.col("_own_key"), "left").select(*df.columns, F.col("_own_pairs").alias("own"))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]], remove: bool = False) -> str | None:
@@ -227,19 +235,14 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
             pairs.setdefault(r.entity, set()).add(r.term)
         rows = df.select(F.col(id_col), F.col(text_col), F.array().cast("array<struct<entity:bigint,term:string>>").alias("own"))
     else:
-        rows = _with_own_pairs(df, found, id_col, text_col)
+        rows = _with_own_pairs(df.select(id_col, text_col), found, id_col, text_col)
     sent = df.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, texts = [], []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                of = sent.value
-                if own:
-                    of = {}
-                    for x in own:
-                        of.setdefault(x["entity"], set()).add(x["term"])
-                spans.append(_spans(text, of))
+                spans.append(_spans(text, _of(own) if own else sent.value))
                 if with_text:
                     texts.append(redact(text, spans[-1], remove))
             lists = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in spans], arrow_span)
@@ -248,6 +251,34 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     return rows.mapInArrow(run, schema)
 
 
+def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with all their columns and the text sanitised. Rows that repeat an id each get their own text."""
+    small_batches(df.sparkSession)
+    found = disclosing(df, text_col, **options)
+    at = df.columns.index(text_col)
+    pairs: dict[int, set[str]] = {}
+    rows, given = df, False
+    if found.count() <= BROADCAST_PAIRS:
+        for r in found.collect():
+            pairs.setdefault(r.entity, set()).add(r.term)
+    else:
+        rows, given = _with_own_pairs(df, found, id_col, text_col), True
+    sent = df.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = batch.column(batch.num_columns - 1).to_pylist() if given else [None] * batch.num_rows
+            texts = []
+            for text, own in zip(batch.column(at).to_pylist(), owns):
+                texts.append(redact(text, _spans(text, _of(own) if own else sent.value)))
+            columns = batch.columns[: len(df_names)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, df_names)
+
+    df_names = df.columns
+    return rows.mapInArrow(run, df.schema)
+
+
 def op1_sanitise(spark, sf_dir: str) -> DataFrame:
     out = sanitise(table(spark, sf_dir, "documents"), with_text=False)
     told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")

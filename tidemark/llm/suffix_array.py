@@ -45,6 +45,8 @@ SLICES = [(lo, FLANK if lo + 2 * STEP > FLANK else lo + STEP - 1) for lo in rang
 MOST_CONTENTS = 20_000
 #: Keys of documents that are broadcast at most, to pick the texts of differing contexts.
 BROADCAST_KEYS = 2_000_000
+#: Rows of slices, and bytes of Arrow data, that a Python worker holds at once.
+ROWS, BYTES = 10_000, 3 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -160,8 +162,8 @@ class Hashed:
         m = len(self.data) - GRAM + 1
         if m < FLANK + 1:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        grams = mix((self.total[GRAM:] - self.total[:-GRAM]) * self.back[:m])
-        keyed = (grams & ~_PLACE) | np.arange(m, dtype=np.uint64)
+        grams = (self.total[GRAM:] - self.total[:-GRAM]) * self.back[:m]
+        keyed = ((grams * np.uint64(0xD6E8FEB86659FD93)) & ~_PLACE) | np.arange(m, dtype=np.uint64)  # high bits are the well mixed ones
         w = FLANK + 1
         rows = -(-m // w)
         padded = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
@@ -172,7 +174,7 @@ class Hashed:
         least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
         place = (least & _PLACE).astype(np.int64)
         place = place[np.r_[True, place[1:] != place[:-1]]]
-        return place, grams[place]
+        return place, mix(grams[place])
 
 
 def _key(id_col: str, text_col: str):
@@ -209,8 +211,10 @@ def slices(docs: DataFrame) -> DataFrame:
     schema = "common long, gram long, context long, lo int, hi int, alone boolean, left binary, right binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+        names = ["common", "gram", "context", "lo", "hi", "alone", "left", "right"]
+        cols: list[list] = [[] for _ in kinds]
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
             for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 h = Hashed(data)
@@ -224,8 +228,11 @@ def slices(docs: DataFrame) -> DataFrame:
                         a, b, w = int(start[k]), int(end[k]), wanted[k]
                         for col, x in zip(cols, (c, w["gram"], w["context"], lo, hi, w["alone"], data[max(0, a - (hi - lo)) : a], data[b : b + hi - lo])):
                             col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["common", "gram", "context", "lo", "hi", "alone", "left", "right"])
+                    if len(cols[0]) >= ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names)
+                        cols = [[] for _ in kinds]
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names)
 
     return docs.select("key", "text", "wanted").mapInArrow(run, schema)
 
@@ -329,7 +336,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     sizes = checkpoint(sizes)
     some = cut.join(sizes.where(F.col("n") <= MOST_CONTENTS).select("common"), "common")
     order = ["common", "gram", "context", "lo", "hi", "alone", "left", "right"]
-    windows = covered(some.select(order).repartition("common").sortWithinPartitions("common"))
+    # dealt by a function of the key: a plain repartition by the join's key is left out, and a skew join may split the key
+    windows = covered(some.select(order).repartition(F.xxhash64("common")).sortWithinPartitions("common"))
     windows = windows.unionByName(by_window(cut.join(sizes.where(F.col("n") > MOST_CONTENTS).select("common"), "common")))
     full = wordings.where("not alone").select("gram", "context", F.lit(0).alias("first"), F.lit(FLANK).alias("last"))
     windows = checkpoint(windows.unionByName(full))
@@ -356,7 +364,7 @@ def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, in
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, end>>, kept binary): the removed byte spans and what stays of each row."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BYTES)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     ranges = repeats(docs.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     ranges = ranges.select(F.col("key").alias("_key"), "ranges")

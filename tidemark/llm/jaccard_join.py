@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.shingles import mix, shingle_hashes
 
 #: Tokens of a block of a component: two blocks are what a task holds.
-BLOCK_TOKENS = 300_000
+BLOCK_TOKENS = 150_000
 #: Candidate documents that are picked by a broadcast of their ids; more are picked by a join.
 BROADCAST_IDS = 2_000_000
 LEAF, FANOUT = 8, 8
@@ -51,7 +51,7 @@ class Parts:
 
     def _grow(self, n: int) -> None:
         while self.bounds[-1] <= n:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * 1.4)))
+            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * 1.8)))
 
     def apart(self, k: int) -> int:
         """Most tokens in which a linking pair can differ whose smaller set lies in interval k."""
@@ -89,20 +89,23 @@ class Parts:
 
 
 def nodes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, n, node, signatures): node is a hash of the whole set, null for an empty one."""
+    """(id, n, node, signatures): node is a hash of the whole set, null for an empty one. A task gives the signatures of a
+    node once, so a large group of copies is a few rows for each part."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
+        parts, seen = Parts(percent), {None}
+        none = np.zeros(0, np.int64)
         for batch in batches:
             n, node, signs = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_hashes(text, size)
                 n.append(len(tokens))
                 node.append(int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None)
-                signs.append(parts.signatures(tokens).view(np.int64))
+                signs.append(none if node[-1] in seen else parts.signatures(tokens).view(np.int64))
+                seen.add(node[-1])
             ends = np.cumsum([0, *map(len, signs)], dtype=np.int32)
             flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema.names)
@@ -112,9 +115,10 @@ def nodes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) ->
 
 def candidates(found: DataFrame) -> DataFrame:
     """(node, label): nodes that share a part with another, by candidate component."""
-    signs = found.where("node is not null").select("node", F.explode("signatures").alias("s"))
-    shared = signs.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader != other").select("s", "leader")
-    edges = signs.join(checkpoint(shared), "s").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    signs = found.select("node", F.explode("signatures").alias("s"))
+    # one shuffle: in order of nodes, the running minimum is the part's leader, and rows stream past it
+    leader = F.min("node").over(Window.partitionBy("s").orderBy("node"))
+    edges = signs.select(leader.alias("a"), F.col("node").alias("b")).where("a != b").distinct()
     return components(edges)
 
 

@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last
 returns a row of token counts and digests for each document. Null texts and texts without letters go at the first
-stage; rows that repeat an id and its text are one document after the second; rows without an id stay where a stage decides
-by id; an empty table stays empty.
+stage; rows that repeat an id and its text are one document after the second; rows that share an id with other texts are
+decided on together; rows without an id stay where a stage decides by id; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tidemark.llm.common import checkpoint, table
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose ids aren't among those given (_gone)."""
-    return docs.join(ids, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     twice = checkpoint(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")))
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("_gone"), "left_semi").dropDuplicates(["doc_id"])
+    again = kept.join(twice, kept["doc_id"] == twice["_gone"], "left_semi").dropDuplicates(["doc_id", "text"])
     return _without(kept, twice).unionByName(again)
 
 

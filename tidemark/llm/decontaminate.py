@@ -208,7 +208,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                         for d in np.unique(s.doc_of(found)).tolist():
                             of.setdefault(d, set()).update(names)
                 if len(sent) > 1:
-                    block.unpersist()
+                    vars(block).pop("_value", None)  # read again from the task's own file for the next segment
             edge = np.diff(hit, prepend=0, append=0)
             first, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
             spans: dict[int, list[dict]] = {}

@@ -4,9 +4,12 @@
 2. Blocks. With similarity at least s, sets that link differ in at most d tokens, d = floor((1-s)/(1+s) (|A|+|B|)). Hash
    space is cut into P > d parts, so that a linking pair has at least P - d parts with equal content. Sizes fall into
    intervals, each with a P of its own for pairs whose smaller set lies in it; a set gives the parts of its interval and,
-   where a smaller partner can lie in the one below, of that too. Parts without tokens are left out unless a set has
-   P - d or more of them. Nodes that share a part are candidates; candidate groups are connected by edges to one leader
-   of each part and cut into components, so each node with its tokens goes to one place.
+   where a smaller partner can lie in the one below, of that too. So a set that links has at least P - d parts in common
+   with other sets of the interval: sets with fewer go, and those that then have fewer, before any tokens are moved. A
+   passage that many documents share makes few whole parts common, so it doesn't connect them. Parts without tokens are
+   left out (a set needs fewer by their number) unless a set has P - d or more of them. Sets of an interval that still
+   share a part are candidates; they are connected by edges to one leader of each part and cut into components, so each
+   node with its tokens goes to one place for each of its intervals, two at most.
 3. Signature trees. In each component the nodes, in order of size and content, are leaves of a tree whose nodes hold the
    OR of the token bitmaps below and their range of sizes. Two trees (or one with itself) are walked together; a pair of
    nodes goes when the common bits of the two can't make the overlap that their smallest sizes ask for. Components
@@ -36,6 +39,8 @@ from tidemark.llm.shingles import mix, shingle_hashes
 
 #: Tokens of a block of a component: two blocks are what a task holds.
 BLOCK_TOKENS = 150_000
+#: Parts for each token in which linking sets may differ: more parts leave fewer candidates and cost more rows.
+PARTS = 1.25
 #: Candidate documents that are picked by a broadcast of their ids; more are picked by a join.
 BROADCAST_IDS = 2_000_000
 LEAF, FANOUT = 8, 8
@@ -59,67 +64,93 @@ class Parts:
         large = small * 100 // self.percent
         return (100 - self.percent) * (small + large) // (100 + self.percent)
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set of hashes."""
+    def signatures(self, tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(interval, parts that must be common, signatures) of a sorted set of hashes, for each interval that it is in."""
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.uint64)
+            return
         self._grow(2 * n)
         k = int(np.searchsorted(self.bounds, n, side="right")) - 1
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64)])
-        out = [self._of(tokens, total, k)]
-        if k and n * self.percent <= 100 * (self.bounds[k] - 1):
-            out.append(self._of(tokens, total, k - 1))
-        return np.unique(np.concatenate(out))
+        yield from self._of(tokens, total, k)
+        while k and n * self.percent <= 100 * (self.bounds[k] - 1):
+            k -= 1
+            yield from self._of(tokens, total, k)
 
-    def _of(self, tokens: np.ndarray, total: np.ndarray, k: int) -> np.ndarray:
+    def _of(self, tokens: np.ndarray, total: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
         d = self.apart(k)
         if not d:  # only equal sets, which are one node
-            return np.zeros(0, np.uint64)
-        p = d + 3 + d // 100
+            return
+        p = int(PARTS * d) + 3
         step = (1 << 64) // p
         edges = np.searchsorted(tokens, np.arange(1, p, dtype=np.uint64) * np.uint64(step))
         edges = np.concatenate([[0], edges, [len(tokens)]])
         full = np.flatnonzero(np.diff(edges))
         sums = total[edges[full + 1]] - total[edges[full]]
         out = mix(mix(sums + full.astype(np.uint64)) + np.uint64(k * 1_000_003 + 1))
-        if p - len(full) >= p - d:
+        need = len(full) - d  # of p - d, those that can't be parts without tokens
+        if need <= 0:
             out = np.append(out, mix(np.array([k], np.uint64)))
-        return out
+        yield k, need, out
+
+
+def node_of(tokens: np.ndarray) -> int | None:
+    return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def nodes(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(id, n, node, signatures): node is a hash of the whole set, null for an empty one. A task gives the signatures of a
-    node once, so a large group of copies is a few rows for each part."""
+def nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, n, node): node is a hash of the whole set, null for an empty one."""
     small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, seen = Parts(percent), {None}
-        none = np.zeros(0, np.int64)
         for batch in batches:
-            n, node, signs = [], [], []
-            for text in batch.column(1).to_pylist():
-                tokens = shingle_hashes(text, size)
-                n.append(len(tokens))
-                node.append(int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None)
-                signs.append(none if node[-1] in seen else parts.signatures(tokens).view(np.int64))
-                seen.add(node[-1])
-            ends = np.cumsum([0, *map(len, signs)], dtype=np.int32)
-            flat = np.concatenate(signs) if signs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema.names)
+            sets = [shingle_hashes(text, size) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(node, label): nodes that share a part with another, by candidate component."""
-    signs = found.select("node", F.explode("signatures").alias("s"))
-    # one shuffle: in order of nodes, the running minimum is the part's leader, and rows stream past it
-    leader = F.min("node").over(Window.partitionBy("s").orderBy("node"))
-    edges = signs.select(leader.alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    return components(edges)
+def parts(df: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
+    """(node, k, need, s): a row for each part of each node in interval k. A task gives a node once, so a large group of
+    copies is a few rows for each part."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = Parts(percent), {None}
+        for batch in batches:
+            names, ks, needs, signs = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                tokens = shingle_hashes(text, size)
+                node = node_of(tokens)
+                if node in seen:
+                    continue
+                seen.add(node)
+                for k, need, s in cut.signatures(tokens):
+                    names.append(node), ks.append(k), needs.append(need), signs.append(s.view(np.int64))
+            if signs:
+                n = [len(x) for x in signs]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), n)), pa.array(np.repeat(np.array(ks, np.int32), n)), pa.array(np.repeat(np.array(needs, np.int32), n)), pa.array(np.concatenate(signs))], ["node", "k", "need", "s"])
+
+    return df.select(text_col).mapInArrow(run, "node long, k int, need int, s long")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose part another node has too, with the part's least node as ``leader``."""
+    part = Window.partitionBy("s")
+    return rows.withColumn("leader", F.min("node").over(part)).withColumn("_last", F.max("node").over(part)).where("leader != _last").drop("_last")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that have enough parts in common with others, by candidate component. A node is in a
+    component for each of its intervals."""
+    rows = checkpoint(_shared(rows).select("node", "k", "need", "s").distinct())
+    enough = lambda r: r.join(r.groupBy("node", "k").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("_need")).where("n >= _need").select("node", "k"), ["node", "k"], "left_semi")
+    rows = checkpoint(_shared(enough(rows)).select("node", "k", "need", "s"))
+    rows = checkpoint(_shared(enough(rows)).select("node", "k", "leader"))
+    edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b").distinct()
+    labels = components(edges).select(F.col("node").alias("_vertex"), "label")
+    return rows.select("node", F.xxhash64("node", "k").alias("vertex")).distinct().join(labels, F.col("vertex") == F.col("_vertex")).select("node", "label")
 
 
 class Tree:
@@ -228,7 +259,7 @@ def links(sets: list[np.ndarray], names: np.ndarray, blocks: np.ndarray, percent
 
 def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(a, b): links between nodes that span the components of all links."""
-    near = checkpoint(candidates(found))
+    near = checkpoint(candidates(parts(df, text_col, size, percent)))
     first = found.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
     picked = checkpoint(near.join(first, "node").where("id is not null"))
     sums = picked.groupBy("label").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("blocks"))
@@ -241,7 +272,7 @@ def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: in
         for batch in batches:
             sets = [shingle_hashes(x, size).view(np.int64) for x in batch.column(3).to_pylist()]
             # a repeated id may come with other texts: the set must be that of the node
-            own = [int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets]
+            own = [node_of(s) for s in sets]
             ok = [i for i, (x, y) in enumerate(zip(own, batch.column(0).to_pylist())) if x == y]
             sets = [sets[i] for i in ok]
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
@@ -270,7 +301,7 @@ def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: in
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents are connected by links of ``percent`` in 100 or more."""
-    found = checkpoint(nodes(df, id_col, text_col, size, percent))
+    found = checkpoint(nodes(df, id_col, text_col, size))
     labels = components(linked(df, found, id_col, text_col, size, percent))
     first = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     first = first.join(labels, "node", "left").select(F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "least")

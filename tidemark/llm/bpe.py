@@ -37,7 +37,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """Encoder and decoder of one vocabulary file. Words seen lately are kept, ``keep`` at most in each of two generations."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         vocab, letters = data["model"]["vocab"], byte_letters()

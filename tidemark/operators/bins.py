@@ -93,15 +93,16 @@ def correlogram_norm(pairs: DataFrame, n_a: int, n_b: int, kind: str = "geometri
     return pairs.withColumn("c", F.coalesce(F.try_divide(F.col("n").cast("double"), by), F.lit(0.0)))
 
 
-def shift_predictor(a: DataFrame, b: DataFrame, at: str, trial: str, width: int) -> DataFrame:
-    """(lag, mean): pairs across different trials i != j, as means over ordered trial pairs. From binned counts of all
-    trials: products of totals less those within a trial, so no pair of trials is ever joined."""
+def shift_predictor(a: DataFrame, b: DataFrame, at: str, trial: str, width: int, reach: int) -> DataFrame:
+    """(lag, mean): pairs across different trials i != j up to ``reach`` bins apart, as means over ordered trial pairs. From
+    binned counts of all trials: products of totals less those within a trial, so no pair of trials is ever joined. Each
+    bin asks for the bins at its lags by equality."""
     binned = lambda df, n: df.groupBy(trial, F.floor(F.col(at) / F.lit(width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias(n))
     x, y = binned(a, "x"), binned(b, "y")
     tx, ty = x.groupBy("bin").agg(F.sum("x").alias("x")), y.groupBy(F.col("bin").alias("bin_y")).agg(F.sum("y").alias("y"))
-    # totals are one row a bin of the trial's length, so their product is the size of the correlogram's support
-    total = tx.crossJoin(F.broadcast(ty)).groupBy((F.col("bin") - F.col("bin_y")).alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("all"))
-    same = x.join(y.withColumnRenamed("bin", "bin_y"), trial).groupBy((F.col("bin") - F.col("bin_y")).alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("own"))
+    asked = lambda df: df.withColumn("lag", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))).withColumn("bin_y", F.col("bin") - F.col("lag"))
+    total = asked(tx).join(ty, "bin_y").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("all"))
+    same = asked(x).join(y.withColumnRenamed("bin", "bin_y"), [trial, "bin_y"]).groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("own"))
     trials = a.select(trial).union(b.select(trial)).distinct().agg(F.count(F.lit(1)).alias("_n"))
     out = total.join(same, "lag", "left").join(F.broadcast(trials))
     return out.select("lag", F.try_divide((F.col("all") - F.coalesce("own", F.lit(0))).cast("double"), (F.col("_n") * (F.col("_n") - 1)).cast("double")).alias("mean"))

@@ -48,15 +48,26 @@ def baseline_subtract(df: DataFrame, value: str, keys: list[str], order: list[st
     return df.withColumn("_n", n).withColumn("corrected", F.col(value) - base).drop("_n")
 
 
+def _with_means(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Rows with ``_mean`` and ``_sd`` of their keys, from sums that are joined on: a key's rows never meet in one task."""
+    m = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    if not keys:
+        return df.join(F.broadcast(m))  # one row
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(m[f"_k{i}"])
+    return df.join(m, on).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def percent_signal_change(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """100 x / mean; 0 where the mean is 0 or missing."""
-    return df.withColumn("psc", F.coalesce(F.try_divide(100 * F.col(value), F.avg(value).over(Window.partitionBy(*keys))), F.lit(0.0)))
+    return _with_means(df, value, keys).withColumn("psc", F.coalesce(F.try_divide(100 * F.col(value), F.col("_mean")), F.lit(0.0))).drop("_mean", "_sd")
 
 
 def z_transform(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """(x - mean) / sample deviation; 0 where undefined."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("z", F.coalesce(F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)), F.lit(0.0)))
+    z = F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
+    return _with_means(df, value, keys).withColumn("z", F.coalesce(z, F.lit(0.0))).drop("_mean", "_sd")
 
 
 def rank_transform(df: DataFrame, value: str, keys: list[str]) -> DataFrame:

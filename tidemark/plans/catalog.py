@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codes
-from tidemark.operators import bins, intervals, sets, stats, waveforms, windows
+from tidemark.operators import bins, intervals, maps, models, sets, sorting, stats, waveforms, windows
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
@@ -171,7 +171,7 @@ k AS (SELECT count(DISTINCT user_id) AS k FROM x)
 SELECT a.bin - b.bin AS lag, round(sum(CASE WHEN a.user_id <> b.user_id THEN a.n * b.n ELSE 0 END) / (k * (k - 1.0)), 6) + 0.0 AS mean FROM a, b, k GROUP BY 1, k""")
 def shift_predictor(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("us", F.pmod("us", F.lit(24 * HOUR)))
-    return bins.shift_predictor(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "us", "user_id", HOUR).select("lag", r("mean", 6).alias("mean"))
+    return bins.shift_predictor(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "us", "user_id", HOUR, 23).select("lag", r("mean", 6).alias("mean"))
 
 
 @query(f"""WITH {E_SQL}, g AS (SELECT DISTINCT (us // {6 * HOUR}) * {6 * HOUR} AS g FROM e),
@@ -547,6 +547,64 @@ def waveform_features(spark, sf_dir):
     return waveforms.features(table(spark, sf_dir, "embeddings"), "embedding").select("vec_id", "trough", r("height", 5).alias("height"))
 
 
+# --- models, units and maps --------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT o_orderpriority, o_custkey, count(*) AS k, avg(o_totalprice) AS m, coalesce(var_pop(o_totalprice) * count(*), 0) AS w FROM orders GROUP BY 1, 2),
+t AS (SELECT o_orderpriority, count(*) AS n, sum(k)::DOUBLE AS nk, sum(w) AS within_, sum(k * m * m) - sum(k * m) ** 2 / sum(k) AS between_ FROM s GROUP BY 1),
+q AS (SELECT o_orderpriority, between_ / (n - 1) AS msb, within_ / (nk - n) AS msw, nk / n AS k FROM t)
+SELECT o_orderpriority, round((msb - msw) / (msb + (k - 1) * msw), 4) + 0.0 AS icc FROM q""")
+def intraclass(spark, sf_dir):
+    return models.intraclass(table(spark, sf_dir, "orders"), "o_totalprice", "o_custkey", ["o_orderpriority"]).select("o_orderpriority", r("icc").alias("icc"))
+
+
+@query("""WITH c AS (SELECT l_linestatus, l_suppkey, l_returnflag, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT l_linestatus, v, avg(v) OVER (PARTITION BY l_linestatus, l_suppkey) AS s, avg(v) OVER (PARTITION BY l_linestatus, l_returnflag) AS l, avg(v) OVER (PARTITION BY l_linestatus) AS g, l_suppkey, l_returnflag FROM c),
+t AS (SELECT l_linestatus, sum((l - g) ** 2) AS e, sum((v - s - l + g) ** 2) AS r, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_returnflag) AS k FROM m GROUP BY 1)
+SELECT l_linestatus, round((e / (k - 1)) / (r / ((k - 1) * (n - 1))), 4) + 0.0 AS f, k - 1 AS df_effect, (k - 1) * (n - 1) AS df_error FROM t""")
+def repeated_anova(spark, sf_dir):
+    out = models.repeated_anova(table(spark, sf_dir, "lineitem"), "l_quantity", "l_suppkey", "l_returnflag", ["l_linestatus"])
+    return out.select("l_linestatus", r("f").alias("f"), "df_effect", "df_error")
+
+
+@query("""WITH g AS (SELECT DISTINCT c_mktsegment AS g FROM customer), p AS (SELECT x.g AS a, y.g AS b FROM g x JOIN g y ON x.g < y.g),
+r AS (SELECT a, b, c_mktsegment = a AS first, rank() OVER (PARTITION BY a, b ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY a, b, c_acctbal) - 1) / 2.0 AS k FROM p JOIN customer ON c_mktsegment IN (a, b)),
+t AS (SELECT a, b, sum(CASE WHEN first THEN k END) AS w, count(*) FILTER (first)::DOUBLE AS n, count(*) FILTER (NOT first)::DOUBLE AS m FROM r GROUP BY 1, 2)
+SELECT a, b, round((w - n * (n + m + 1) / 2) / sqrt(n * m * (n + m + 1) / 12), 4) + 0.0 AS z FROM t""")
+def rank_sum_pairs(spark, sf_dir):
+    return sorting.rank_sum(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", []).select("a", "b", r("z").alias("z"))
+
+
+@query(f"""WITH {E_SQL}, g AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) AS d FROM e),
+s AS (SELECT user_id, 100.0 * count(CASE WHEN d < {3 * HOUR} THEN 1 END) / count(*)::DOUBLE AS percent FROM g GROUP BY 1)
+SELECT user_id, round(percent, 4) + 0.0 AS percent, percent <= 3 AS single FROM s""")
+def refractory_verdict(spark, sf_dir):
+    out = sorting.refractory_share(events(spark, sf_dir), "us", ["user_id"], HOUR)
+    return out.select("user_id", r(F.col("percent").cast("double")).alias("percent"), "single")
+
+
+@query("""WITH m AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY 1, 2)
+SELECT x.event_type AS a, y.event_type AS b, round(corr(x.v, y.v), 4) + 0.0 AS r FROM m x JOIN m y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2""")
+def pattern_similarity(spark, sf_dir):
+    out = maps.pattern_similarity(table(spark, sf_dir, "events"), "event_type", ["user_id"], "value", [])
+    return out.select("a", "b", r("r").alias("r"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(abs(l_extendedprice - l_quantity * 1000) / (l_tax + 1) + sqrt(l_quantity)), 4) + 0.0 AS v FROM lineitem WHERE l_extendedprice > l_quantity * 900 GROUP BY 1, 2""")
+def map_formula(spark, sf_dir):
+    names = {"p": "l_extendedprice", "q": "l_quantity", "t": "l_tax"}
+    line = table(spark, sf_dir, "lineitem").where(maps.formula("p > q * 900", names))
+    return line.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), r(F.sum(maps.formula("abs(p - q * 1000) / (t + 1) + sqrt(q)", names))).alias("v"))
+
+
+@query(f"""WITH {E_SQL}, o AS (SELECT user_id, event_type, CAST(floor(us / {HOUR}.0) AS BIGINT) - 473352 AS v FROM e),
+x AS (SELECT user_id, event_type, v + k AS volume, ([0.2, 0.5, 0.3]::DOUBLE[])[k + 1] AS h FROM o, (SELECT unnest(range(3)) AS k))
+SELECT user_id, event_type, volume, round(sum(h), 6) + 0.0 AS x FROM x WHERE volume >= 0 AND volume < 720 GROUP BY 1, 2, 3""")
+def design_matrix(spark, sf_dir):
+    v = events(spark, sf_dir).select("user_id", "event_type", (F.floor(F.col("us") / HOUR) - 473352).alias("on")).withColumn("off", F.col("on") + 1)
+    return models.design(v, "user_id", "event_type", "on", "off", 720, [0.2, 0.5, 0.3]).select("user_id", "event_type", "volume", r("x", 6).alias("x"))
+
+
 def _register_numeric() -> None:
     from tidemark.plans import numeric
 

@@ -1,7 +1,233 @@
-"""Queries that SQL can't express, by name; tests hold them against numpy and closed forms."""
+"""Queries that SQL can't express, by name; tests hold their operators against numpy and closed forms.
+
+Stand-ins: a user's hourly sums of event values over 30 days are a channel's samples (``channels``), embeddings are
+waveforms, parts and prices are stimuli and responses.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict = {}
+from tidemark.operators import maps, models, signals, sorting, spectral, waveforms
+from tidemark.operators.spectral import Taper
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+HOURS = 720
+DAILY = Taper(fs=24.0, tw=3.0, k=5)  # cycles a day
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, event_type, h, v): sums of values by hour since 2024-01-01."""
+    e = table(spark, sf_dir, "events")
+    h = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 3_600_000_000).cast("int")
+    return e.groupBy("user_id", "event_type", h.alias("h")).agg(F.sum("value").alias("v")).where((F.col("h") >= 0) & (F.col("h") < HOURS))
+
+
+def channels(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
+    """(user_id, samples): HOURS samples each; hours without events are 0."""
+    rows = hourly(spark, sf_dir)
+    rows = rows.where(F.col("event_type").isin(*types)) if types else rows
+    seen = rows.groupBy("user_id", "h").agg(F.sum("v").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))
+    return seen.select("user_id", F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("samples"))
+
+
+@query
+def channel_spectrum(spark, sf_dir):
+    return spectral.spectrum(channels(spark, sf_dir).select(F.lit("all").alias("group"), "samples"), ["group"], "samples", DAILY)
+
+
+@query
+def channel_spectrum_jackknife(spark, sf_dir):
+    return spectral.jackknife_spectrum(channels(spark, sf_dir).select(F.lit("all").alias("group"), "samples"), ["group"], "samples", DAILY)
+
+
+@query
+def channel_spectrogram(spark, sf_dir):
+    return spectral.spectrogram(channels(spark, sf_dir).select(F.lit("all").alias("group"), "samples"), ["group"], "samples", DAILY, 5.0, 2.5)
+
+
+@query
+def click_view_coherence(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(2)
+    a, b = [r.event_type for r in e.collect()]
+    y = channels(spark, sf_dir, b).select("user_id", F.col("samples").alias("other"))
+    return spectral.coherence(channels(spark, sf_dir, a).join(y, "user_id").select(F.lit("all").alias("group"), "samples", "other"), ["group"], "samples", "other", DAILY)
+
+
+@query
+def event_point_spectrum(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    days = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 86_400_000_000
+    trains = e.groupBy("event_type", "user_id").agg(F.sort_array(F.collect_list(days)).alias("t"))
+    return spectral.point_spectrum(trains, ["event_type"], "t", 0.0, 30.0, DAILY)
+
+
+@query
+def line_f_test(spark, sf_dir):
+    return spectral.line_test(channels(spark, sf_dir), ["user_id"], "samples", DAILY).where("ratio > limit")
+
+
+@query
+def low_passed_channels(spark, sf_dir):
+    return channels(spark, sf_dir).select("user_id", signals.low_pass("samples", 24.0, 3.0).alias("samples"))
+
+
+@query
+def band_envelope(spark, sf_dir):
+    return channels(spark, sf_dir).select("user_id", signals.activity_envelope("samples", 24.0, 12.0, 2.0, 10.0, 1.0).alias("samples"))
+
+
+@query
+def field_potential_channels(spark, sf_dir):
+    return channels(spark, sf_dir).select("user_id", signals.field_potential("samples", 24.0, 12.0, 1.5, 5.0).alias("samples"))
+
+
+@query
+def local_fit_residuals(spark, sf_dir):
+    return channels(spark, sf_dir).select("user_id", signals.subtract_local_fit("samples", 12).alias("samples"))
+
+
+@query
+def shared_component_removal(spark, sf_dir):
+    c = channels(spark, sf_dir).select(F.floor(F.col("user_id") / 16).alias("bank"), "user_id", "samples")
+    return signals.remove_shared_components(c, ["bank"], "user_id", "samples", 2, 0)
+
+
+@query
+def detected_waveforms(spark, sf_dir):
+    c = channels(spark, sf_dir)
+    size = F.aggregate("samples", F.lit(0.0), lambda s, v: s + F.abs(v)) / HOURS
+    return sorting.detect(c.withColumn("limit", 3 * size), ["user_id"], "samples", F.col("limit"), 4, 8, 6, "pos")
+
+
+@query
+def aligned_waveforms(spark, sf_dir):
+    return sorting.modal_alignment(table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("w")), "w", ["label"])
+
+
+@query
+def refractory_kept(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return waveforms.keep_after_refractory(e, "us", ["user_id"], 3_600_000_000)
+
+
+@query
+def principal_scores(spark, sf_dir):
+    return waveforms.principal_scores(table(spark, sf_dir, "embeddings"), "embedding", 3).select("vec_id", "scores")
+
+
+@query
+def kmeans_clusters(spark, sf_dir):
+    return waveforms.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 10).select("vec_id", "cluster")
+
+
+@query
+def mixture_clusters(spark, sf_dir):
+    scores = waveforms.principal_scores(table(spark, sf_dir, "embeddings"), "embedding", 3)
+    return sorting.mixture(scores.select("vec_id", "scores"), "scores", [2, 4]).select("vec_id", "cluster", "probability")
+
+
+@query
+def cluster_distance(spark, sf_dir):
+    return sorting.mahalanobis(table(spark, sf_dir, "embeddings"), "embedding", "label").select("vec_id", "label", "distance")
+
+
+@query
+def cluster_overlap(spark, sf_dir):
+    return sorting.gaussian_overlap(table(spark, sf_dir, "embeddings"), "embedding", "label")
+
+
+@query
+def cluster_neighbours(spark, sf_dir):
+    return sorting.nearest_quality(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 10, most=500)
+
+
+@query
+def missed_spikes(spark, sf_dir):
+    return sorting.missed_share(table(spark, sf_dir, "events"), "value", ["event_type"], 10.0)
+
+
+@query
+def glm_linear(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_brand", F.lit(1.0).alias("one"), F.col("p_size").cast("double").alias("size"), F.pmod("p_partkey", F.lit(7)).cast("double").alias("k"), "p_retailprice")
+    return models.linear(p, "p_retailprice", ["one", "size", "k"], ["p_brand"], [0.0, 1.0, -1.0])
+
+
+@query
+def glm_prewhitened(spark, sf_dir):
+    rows = hourly(spark, sf_dir).groupBy("event_type", "h").agg(F.sum("v").alias("v")).withColumn("one", F.lit(1.0)).withColumn("t", F.col("h") / HOURS)
+    return models.linear(models.prewhitened(rows, "v", ["one", "t"], ["event_type"], "h"), "v", ["one", "t"], ["event_type"])
+
+
+@query
+def robust_fit(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").select("l_suppkey", F.lit(1.0).alias("one"), "l_quantity", "l_extendedprice")
+    return models.robust(o, "l_extendedprice", ["one", "l_quantity"], ["l_suppkey"])
+
+
+@query
+def bootstrap_interval(spark, sf_dir):
+    return models.bootstrap_mean(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", ["c_mktsegment"], rounds=100, corrected=True)
+
+
+@query
+def sign_permutation(spark, sf_dir):
+    return models.sign_permutation(table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", ["c_nationkey"], rounds=100)
+
+
+@query
+def mediation_paths(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return models.mediation(line, "l_quantity", "l_extendedprice", "l_discount", ["l_returnflag"])
+
+
+@query
+def gaussian_tuning(spark, sf_dir):
+    rows = hourly(spark, sf_dir).select("event_type", (F.col("h") % 24).alias("hour"), "v")
+    return models.gaussian_tuning(rows, "hour", "v", ["event_type"])
+
+
+@query
+def psychometric_logistic(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.select("doc_id", "lang", F.round(F.log1p("n_chars"), 1).alias("x")).join(labels, "doc_id").where("lang is not null")
+    return models.logistic_fit(rows, "x", "quality", ["lang"])
+
+
+@query
+def psychometric_weibull(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.when(F.col("l_extendedprice") > 40_000, 1.0).otherwise(0.0).alias("y"))
+    return models.weibull_fit(line, "x", "y", ["l_returnflag"], guess=0.0)
+
+
+@query
+def design_columns(spark, sf_dir):
+    e = hourly(spark, sf_dir).select("user_id", "event_type", F.col("h").alias("on"), (F.col("h") + 1).alias("off"))
+    return models.design(e, "user_id", "event_type", "on", "off", HOURS, models.haemodynamic(2.0))
+
+
+@query
+def cluster_map(spark, sf_dir):
+    """Connected hours by user banks: a map of 24 hours by 30 days in each event type."""
+    grid = hourly(spark, sf_dir).groupBy("event_type", "h").agg(F.sum("v").alias("v")).where("event_type = 'purchase'")
+    points = grid.select((F.col("h") % 24).alias("x"), F.floor(F.col("h") / 24).cast("int").alias("y"), "v")
+    top = points.agg(F.percentile("v", F.lit(0.7))).first()[0] or 0.0
+    return maps.cluster_table(maps.clusters(points, "v", float(top), ["x", "y"], 2), "v", ["x", "y"])
+
+
+@query
+def focus_density(spark, sf_dir):
+    foci = table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
+    return maps.kernel_density(foci, ["x", "y"], "p_brand", 1.0)

@@ -53,6 +53,25 @@ def test_frequent_lines_deplete_documents(spark):
     assert {r[0] for r in told(line_frequency.line_quality(df, max_documents=3)) if not r[7] and not r[6]} <= {100, 101, 102, 103}
 
 
+def test_depletion_counts_words_on_one_basis(spark):
+    ids = "\n".join(f"ID 2024010{k % 10} 0012345{k % 10}\t99887766\r\n   x{k} y z" for k in range(5))
+    few = " ".join(words_of(22, 5))
+    menu = "about these pages and others"
+    rows = [(k, ids, "digits") for k in range(6)] + [(100 + k, ids.replace("\r", "").replace("\t", "  "), "digits") for k in range(6)]
+    rows += [(200 + k, " ".join(words_of(19, k)) + "\n" + menu, "few") for k in range(6)]
+    rows += [(300 + k, few + "\n\n" + " ".join(words_of(30, 50 + k)), "most") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_frequency.line_quality(df, max_documents=5).collect()}
+    assert not any(r.base_failed for r in got.values())
+    # every line is above the limit; the digits and blanks of the text as it stands are no words that stay
+    assert not any(got[k].kept for k in (*range(6), *range(100, 106)))
+    assert not any(got[200 + k].kept for k in range(6))  # 19 words stay
+    assert all(got[300 + k].kept for k in range(6))  # 30 of 52 words stay
+    # a carriage return or tab makes no other line: with a limit that only both spellings together pass, all go
+    both = line_frequency.line_quality(df, max_documents=11).where("doc_id < 200").collect()
+    assert len(both) == 12 and not any(r.kept for r in both)
+
+
 def test_joined_beyond_the_broadcast_limit(spark, monkeypatch):
     rows = [(k, " ".join(words_of(30, k)) + "\nfooter line", "a") for k in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -2,7 +2,8 @@
 
 A line is normalised (lower case, runs of digits to one 0, runs of white space to one space, trimmed) and hashed. Each
 host's lines are counted by the number of documents that hold them. A line in more than ``max_documents`` documents of
-its host goes; a document is depleted, and rejected, when less than ``min_share`` of its characters stay.
+its host goes; a document is depleted, and rejected, when less than ``min_share`` of its words or fewer than
+``min_words`` words stay. ``n_removed_chars`` tells the characters of the normalised lines that go; it isn't judged by.
 
 Cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; a line repeated
 within a document counts once for it, while all its occurrences go; rows that repeat with the same id, host and text
@@ -35,10 +36,15 @@ def with_words(lines: Column) -> Column:
 
 def normalised_lines(text: Column) -> Column:
     """The lines of a text that have a word, normalised over the text as a whole."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ \\t]{2,}|\\t", " ")
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]", " ")
     return F.transform(with_words(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n")), lambda x: F.trim(x))
 
 
+def n_words_of(line: Column) -> Column:
+    """Words of a normalised line, which has one space between two words and none outside."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """Adds the number of words inside windows of WINDOW words that the text has twice or more.
 
@@ -76,25 +82,26 @@ def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
     return lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
 
 
-def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 100, min_share: float = 0.5) -> DataFrame:
+def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 100, min_share: float = 0.5, min_words: int = 20) -> DataFrame:
     """(id, the base counts, base_failed, n_removed_chars, kept) for each row."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
     key = F.xxhash64("id", "text", "host")
-    hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars")))
-    lines = docs.select(key.alias("key"), "id", "host", F.explode(hashed).alias("l")).select("key", "id", "host", "l.line", "l.chars")
+    hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars"), n_words_of(x).alias("words")))
+    lines = docs.select(key.alias("key"), "id", "host", F.explode(hashed).alias("l")).select("key", "id", "host", "l.line", "l.chars", "l.words")
     # repeated rows fall together in what follows; base has their number
-    base = base_rules(docs.withColumn("key", key).withColumn("n_chars", F.length("text"))).drop("text")
-    shown = [c for c in base.columns if c not in ("key", "id", "host", "n_chars")]
-    base = base.groupBy("key", "id", "host").agg(*(F.first(c).alias(c) for c in (*shown, "n_chars")), F.count(F.lit(1)).alias("rows"))
+    base = base_rules(docs.withColumn("key", key)).drop("text")
+    shown = [c for c in base.columns if c not in ("key", "id", "host")]
+    base = base.groupBy("key", "id", "host").agg(*(F.first(c).alias(c) for c in shown), F.count(F.lit(1)).alias("rows"))
     frequent = checkpoint(frequent_lines(_documents_of(docs), max_documents))
     # the lines above the limit are sent to all tasks only up to a number; beyond it a sort-merge join splits hot lines
     frequent = frequent.select(F.col("line").alias("_line"), F.col("host").alias("_host")).hint("broadcast" if frequent.count() <= BROADCAST_LINES else "merge")
-    removed = lines.join(frequent, lines.host.eqNullSafe(F.col("_host")) & (lines.line == F.col("_line"))).groupBy("key", "id").agg(F.sum("chars").alias("removed"))
-    removed = removed.select(F.col("key").alias("_key"), F.col("id").alias("_id"), "removed")
+    removed = lines.join(frequent, lines.host.eqNullSafe(F.col("_host")) & (lines.line == F.col("_line"))).groupBy("key", "id").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"))
+    removed = removed.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("chars").alias("_chars"), F.col("words").alias("_gone"))
     out = base.join(removed, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    gone = (F.coalesce("removed", F.lit(0)) / F.col("rows")).cast("long")
-    depleted = F.col("n_removed_chars") > (1 - min_share) * F.col("n_chars")
-    out = out.withColumn("n_removed_chars", gone).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    of_one = lambda c: (F.coalesce(c, F.lit(0)) / F.col("rows")).cast("long")
+    left = F.col("n_words") - of_one("_gone")
+    depleted = (left < min_words) | (left < min_share * F.col("n_words"))
+    out = out.withColumn("n_removed_chars", of_one("_chars")).withColumn("kept", ~F.col("base_failed") & ~depleted)
     out = out.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
     return out.select(F.col("id").alias(id_col), *shown, "n_removed_chars", "kept")
 

@@ -1,3 +1,4 @@
+import random
 import re
 from hashlib import sha256
 
@@ -72,6 +73,24 @@ def test_exact_and_proximity_search(spark):
         assert near == {(1, 1, 3), (1, 5, 8)}
 
 
+def test_proximity_with_repeated_terms_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(0, "a b x b x x c")] + [(k, " ".join(rng.choice("abcx") for _ in range(rng.randrange(25)))) for k in range(1, 40)]
+    phrases = ["a b c", "a b", "b b a", "a c b c", "c"]
+
+    def ends(w, terms, at, slop):
+        if not terms:
+            return {at + 1}
+        return {e for k in range(at + 1, min(len(w), at + slop + 2)) if w[k] == terms[0] for e in ends(w, terms[1:], k, slop)}
+
+    index = decontaminate.build_index(spark.createDataFrame(rows, "doc_id long, text string"), segment=100)
+    for slop in (1, 2, 4):
+        got = [tuple(r) for r in decontaminate.find(index, [tuple(p.encode().split()) for p in phrases], slop=slop).collect()]
+        want = [(i, n, k, e) for i, text in rows for n, p in enumerate(phrases) for w in [text.split()] for k in range(len(w)) if w[k] == p[0] for e in ends(w, p.split()[1:], k, slop)]
+        assert sorted(got) == sorted(want)
+        assert slop < 2 or (0, 0, 0, 7) in got
+
+
 def test_awkward_and_empty(spark, awkward, empty):
     items = spark.createDataFrame([(1, "hëllo wörld"), (2, None)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

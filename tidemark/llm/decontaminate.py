@@ -128,18 +128,20 @@ class Segment:
         return found
 
     def near(self, terms: tuple[bytes, ...], slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first, last) places of the terms in this order with at most ``slop`` other words between neighbours; for each
-        place of the first term, the nearest next ones."""
+        """(first, last) places, each pair once, of the terms in this order with at most ``slop`` other words between
+        neighbours: all places of a term that follow one of the last term closely enough go on to the next."""
         lists = [self.lists.get(t) for t in terms]
         if any(x is None for x in lists):
             return np.zeros(0, np.int32), np.zeros(0, np.int32)
         first = last = lists[0]
         for x in lists[1:]:
-            at = np.searchsorted(x, last, side="right")
-            ok = at < len(x)
-            first, last, at = first[ok], last[ok], at[ok]
-            ok = (x[at] - last <= slop + 1) & (self.doc_of(x[at]) == self.doc_of(last))
-            first, last = first[ok], x[at][ok]
+            low = np.searchsorted(x, last, side="right")
+            n = np.searchsorted(x, last.astype(np.int64) + slop + 1, side="right") - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            first, last, after = np.repeat(first, n), np.repeat(last, n), x[at]
+            ok = self.doc_of(after) == self.doc_of(last)
+            pairs = np.unique(first[ok].astype(np.int64) << 32 | after[ok])
+            first, last = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         return first, last
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:

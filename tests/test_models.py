@@ -152,6 +152,25 @@ def test_clusters_and_quality(spark):
     assert np.allclose([d[k] for k in range(0, 300, 2)], want)
 
 
+def test_nearest_quality_covers_all_rows(spark):
+    """A large cluster beside a small one, more rows than a block and than the old sample of 2000 a cluster."""
+    rng = np.random.default_rng(11)
+    c = np.r_[np.zeros(4500, int), np.ones(300, int)]
+    x = rng.standard_normal((len(c), 3)) + 1.0 * c[:, None]
+    x[10] = x[11]  # a pair of equals
+    df = spark.createDataFrame([(k, int(j), v.tolist()) for k, (j, v) in enumerate(zip(c, x))], "id long, c int, x array<double>")
+    share = np.zeros((2, 2))
+    for i in range(len(c)):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        near = np.lexsort((np.arange(len(c)), d))[:10]
+        share[c[i]] += np.bincount(c[near], minlength=2) / 10
+    want = {0: (share[0, 1] / 4500, share[1, 0] / 4500), 1: (share[1, 0] / 300, share[0, 1] / 300)}
+    for block in (1500, 10_000):
+        got = {r.cluster: (r.false_positive, r.false_negative) for r in sorting.nearest_quality(df, "id", "x", "c", block=block).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[j], want[j], atol=1e-9) for j in want)
+
+
 def test_unit_measures(spark):
     df = spark.createDataFrame([("a", t) for t in (0.0, 1.0, 10.0, 20.0, 30.0)], "u string, t double")
     r = sorting.refractory_share(df, "t", ["u"], 1.0).first()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_CLUSTERS = 10_000
+#: Rows of a block that is compared with another.
+NEIGHBOUR_BLOCK = 4096
 
 
 def detect(df: DataFrame, keep: list[str], samples: str, threshold: Column, before: int, after: int, dead: int, polarity: str = "neg") -> DataFrame:
@@ -177,40 +179,51 @@ def censored_share(df: DataFrame, at: str, by: list[str], dead: float, span: flo
     return n.select(*by, F.least(F.lit(1.0), (F.sum("n").over(w) - F.col("n")) * dead / span).alias("censored"))
 
 
-def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int = 10, bucket: float | None = None, most: int = 2000) -> DataFrame:
+def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int = 10, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
     """(cluster, false_positive, false_negative): of a cluster's rows, the mean share of their k nearest neighbours that
-    belong to another; and of other clusters' rows next to it, the share of neighbours in it. Rows are compared with a
-    stated reference set: ``most`` rows a cluster, drawn by a hash of the key, which is bounded and sent to all tasks."""
+    belong to another; and the neighbours in it of other clusters' rows, as shares summed, over its own rows. Every row is
+    compared with all rows of other keys, exactly: blocks of rows with blocks, whose k nearest are then merged. Ties go by
+    key."""
     rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c")).where("c is not null and x is not null")
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).localCheckpoint()  # the numbers must not change
     sizes = rows.groupBy("c").count()
-    if sizes.count() > MOST_CLUSTERS // 100:
-        raise ValueError("too many clusters for one reference set")
-    share = rows.join(F.broadcast(sizes), "c").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(float(most)) / F.col("count") * (1 << 30))
-    ref = share.select("key", "x", "c").toPandas()
-    if not len(ref):
-        return sizes.select(F.col("c").alias("cluster"), F.lit(0.0).alias("false_positive"), F.lit(0.0).alias("false_negative"))
-    names = sorted(ref["c"].unique().tolist())
-    sent = df.sparkSession.sparkContext.broadcast((np.stack(ref["x"].to_numpy()).astype(np.float32), ref["key"].to_numpy(), np.searchsorted(names, ref["c"].to_numpy())))
-    kind = df.schema[cluster].dataType.simpleString()
-
-    def run(batches):
-        points, keys, owners = sent.value
-        norm = (points**2).sum(axis=1)
-        for g in batches:
-            for a in range(0, len(g), 256):
-                part = g.iloc[a : a + 256]
-                x = np.stack(part["x"].to_numpy()).astype(np.float32)
-                d = norm[None, :] - 2 * x @ points.T
-                d[part["key"].to_numpy()[:, None] == keys[None, :]] = np.inf
-                m = min(k, d.shape[1] - 1)
-                if m < 1:
-                    continue
-                near = owners[np.argpartition(d, m - 1, axis=1)[:, :m]]
-                counts = np.stack([(near == j).sum(axis=1) for j in range(len(names))], axis=1) / m
-                sums = pd.DataFrame(counts).groupby(part["c"].to_numpy()).sum()
-                yield pd.DataFrame({"a": np.repeat(sums.index.to_numpy(), len(names)), "b": names * len(sums), "p": sums.to_numpy().ravel()})
-
-    sums = rows.mapInPandas(run, f"a {kind}, b {kind}, p double").groupBy("a", "b").agg(F.sum("p").alias("p"))
+    n = max(1, -(-rows.count() // block))
+    own, each = F.pmod(F.xxhash64("row"), F.lit(n)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = rows.select("row", "key", "x", own.alias("q"), each.alias("r")).groupBy("q", "r")
+    given = rows.select("key", "x", "c", own.alias("r"), each.alias("q")).groupBy("q", "r")
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("key", df.schema[key].dataType), T.StructField("c", df.schema[cluster].dataType)])
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"row": [], "d": [], "key": [], "c": []})
+        b = b.sort_values("key", kind="stable")
+        points, keys = np.stack(b["x"].to_numpy()).astype(float), b["key"].to_numpy()
+        middle = points.mean(axis=0)
+        shifted = points - middle
+        norm = (shifted**2).sum(axis=1)
+        out_row, out_d, out_at = [], [], []
+        for start in range(0, len(a), 256):
+            part = a.iloc[start : start + 256]
+            x = np.stack(part["x"].to_numpy()).astype(float)
+            y = x - middle
+            size = (y**2).sum(axis=1)
+            d = size[:, None] + norm[None, :] - 2 * y @ shifted.T
+            d[part["key"].to_numpy()[:, None] == keys[None, :]] = np.inf
+            m = min(k, d.shape[1])
+            # what rounding may have put beyond the k-th is measured too; then differences decide
+            limit = np.partition(d, m - 1, axis=1)[:, m - 1] + 1e-9 * (size + norm.max())
+            for i, row in enumerate(part["row"].to_numpy()):
+                at = np.flatnonzero((d[i] <= limit[i]) & (d[i] < np.inf))
+                exact = ((points[at] - x[i]) ** 2).sum(axis=1)
+                best = np.argsort(exact, kind="stable")[:k]
+                out_row.append(np.full(len(best), row)), out_d.append(exact[best]), out_at.append(at[best])
+        at = np.concatenate(out_at)
+        return pd.DataFrame({"row": np.concatenate(out_row), "d": np.concatenate(out_d), "key": keys[at], "c": b["c"].to_numpy()[at]})
+
+    found = asked.cogroup(given).applyInPandas(nearest, schema)
+    near = found.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "key", "c"))), 1, k).alias("near"))
+    shares = rows.select("row", F.col("c").alias("a")).join(near, "row").select("a", F.explode("near.c").alias("b"), (1 / F.size("near")).alias("p"))
+    sums = shares.groupBy("a", "b").agg(F.sum("p").alias("p"))
     out = sums.where("a != b").groupBy(F.col("a").alias("c")).agg(F.sum("p").alias("fp"))
     into = sums.where("a != b").groupBy(F.col("b").alias("c")).agg(F.sum("p").alias("fn"))
     both = sizes.join(out, "c", "left").join(into, "c", "left")

@@ -151,7 +151,7 @@ def cluster_overlap(spark, sf_dir):
 
 @query
 def cluster_neighbours(spark, sf_dir):
-    return sorting.nearest_quality(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 10, most=500)
+    return sorting.nearest_quality(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 10)
 
 
 @query

@@ -109,6 +109,20 @@ def test_disclosing_terms(spark, monkeypatch, most):
         assert "zephyrine" not in clean[100] and "jo.smith" not in clean[100] and "[EMAIL]" in clean[100] and "weather" in clean[1]
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("tail", ["", " and so on with a few more words of no use here, copy {}"])
+def test_disclosing_terms_inside_groups_of_copies(spark, monkeypatch, tail, most):
+    monkeypatch.setattr(sanitise, "BROADCAST_COPIES", most)
+    rows = [(k, f"note {k} about the weather by tramway{k} today and so on") for k in range(100)]
+    for k in range(3):  # three wordings; copies and, with a tail, texts that differ beyond the context
+        rows += [(1000 + 100 * k + c, f"note w{k} about zephyrine writes from jo.smith@mail.example about item w{k + 50} today" + tail.format(c)) for c in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.term: r.disclosure for r in sanitise.disclosing(df).collect()}
+    assert abs(got["zephyrine"] - 1) < 1e-9 and "about" not in got and "today" not in got
+    clean = {r.doc_id: r.text for r in sanitise.sanitise(df).collect()}
+    assert all("zephyrine" not in clean[i] for i, _ in rows if i >= 1000)
+
+
 def test_redact():
     assert sanitise.redact("a b@c.de x", [(2, 8, "email")]) == "a [EMAIL] x"
     assert sanitise.redact("a b@c.de x", [(2, 8, "email")], remove=True) == "a  x"

@@ -5,11 +5,10 @@ near an entity's value may give it away: over the whole corpus, for entity e and
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
-where N is the number of documents, n(t) the number of documents with t, n(e) the number of distinct contexts of e (the
-``reach`` words on both sides), and n(t, e) the number of those with t. It is 1 when t stands nowhere but near e, and
-about 0 when t is independent of e. Contexts are counted once for each different wording, so copies of a document add
-no evidence. Terms at or above ``threshold`` with ``support`` contexts are generalised (``[TERM]``) wherever a document
-has both, or taken out.
+where all four count distinct texts: N all of them, n(t) those with t, n(e) those with e, and n(t, e) those with t in a
+context of e (the ``reach`` words on both sides). It is 1 when t stands nowhere but near e, and about 0 when t is
+independent of e; copies of a text change nothing. Terms at or above ``threshold`` that stand in ``support`` contexts of
+different wording are generalised (``[TERM]``) wherever a document has both, or taken out.
 
 Cases: a null or empty text has no spans; a value that repeats in a document is a span each time; repeated rows give a
 row each; without documents, entities or terms above the threshold only base spans remain; other columns are not
@@ -32,6 +31,8 @@ from tidemark.llm.common import checkpoint, hex_sha256, small_batches, table
 KINDS = ("email", "ip", "card", "phone")
 #: Terms and entities above the threshold that are broadcast at most; beyond that they are joined.
 BROADCAST_PAIRS = 100_000
+#: Texts with copies whose numbers are broadcast at most: 16 bytes each.
+BROADCAST_COPIES = 500_000
 
 # The patterns are those of the contract; what is added only spares retries that can't match: a run of digits or of
 # local-part characters is entered at its start alone.
@@ -108,53 +109,61 @@ def terms_beside(text: str, a: int, b: int, reach: int) -> tuple[list[str], list
 
 
 def contexts(df: DataFrame, text_col: str = "text", reach: int = 8) -> DataFrame:
-    """(entity, context, terms) for every base span of every text; entity and context are hashes."""
+    """(entity, context, copy, terms) for every base span of every text; entity, context and copy, the text, are hashes."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entity, context, terms = [], [], []
-            for text in batch.column(0).to_pylist():
+            entity, context, copy, terms = [], [], [], []
+            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for a, b, kind in base_spans(text):
                     left, right = terms_beside(text, a, b, reach)
                     entity.append(hashed(kind, text[a:b]))
                     context.append(hashed(" ".join(left), " ".join(right)))
+                    copy.append(h)
                     terms.append(list({t for t in left + right if any(map(str.isalpha, t))}))
-            yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(context, pa.int64()), pa.array(terms, pa.list_(pa.string()))], ["entity", "context", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(context, pa.int64()), pa.array(copy, pa.int64()), pa.array(terms, pa.list_(pa.string()))], ["entity", "context", "copy", "terms"])
 
-    return df.select(text_col).mapInArrow(run, "entity long, context long, terms array<string>")
+    return df.select(text_col, F.xxhash64(text_col)).mapInArrow(run, "entity long, context long, copy long, terms array<string>")
 
 
-def document_frequency(df: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): documents with each of the given terms, over all documents. Each task counts its own documents' terms
-    before the shuffle, so a hot term is one row from each task."""
+def document_frequency(df: DataFrame, terms: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): distinct texts with each of the given terms. ``copies`` has (copy, rows) of the texts that more than one
+    row has; each of their rows counts as its part of one text. Each task counts its own documents' terms before the
+    shuffle, so a hot term is one row from each task."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
+            n: dict[str, float] = {}
+            for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = 1 / rows if rows else 1.0
                 for t in set(_word.findall(text.lower())) if text else ():
-                    n[t] = n.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+                    n[t] = n.get(t, 0.0) + part
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
 
-    counts = df.select(text_col).mapInArrow(run, "term string, n long")
-    return counts.join(terms.hint("broadcast") if terms.count() <= BROADCAST_PAIRS else terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    copies = copies.hint("broadcast") if copies.count() <= BROADCAST_COPIES else copies
+    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy")).join(copies, "copy", "left").select("text", "rows")
+    counts = rows.mapInArrow(run, "term string, n double")
+    return counts.join(terms.hint("broadcast") if terms.count() <= BROADCAST_PAIRS else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
 def disclosing(df: DataFrame, text_col: str = "text", reach: int = 8, threshold: float = 0.8, support: int = 3) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold, checkpointed."""
-    seen = contexts(df, text_col, reach).groupBy("entity", "context").agg(F.first("terms").alias("terms"))
-    entities = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+    seen = checkpoint(contexts(df, text_col, reach).groupBy("entity", "context", "copy").agg(F.first("terms").alias("terms")))
+    wordings = F.count_distinct("context") >= support
+    entities = seen.groupBy("entity").agg(F.count_distinct("copy").alias("n_e"), wordings.alias("enough")).where("enough").drop("enough")
+    # few entities have the wordings; the terms of the others needn't be counted
+    terms = seen.join(entities.select("entity"), "entity", "left_semi").select("entity", "context", "copy", F.explode("terms").alias("term"))
+    pairs = terms.groupBy("entity", "term").agg(F.count_distinct("copy").alias("n_te"), wordings.alias("enough")).where("enough").drop("enough")
     pairs = checkpoint(pairs.join(entities, "entity"))
     if pairs.isEmpty():  # no term has the support: there is nothing to weigh
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    total = df.count()
-    n = F.lit(float(total))
-    scored = pairs.join(document_frequency(df, pairs.select("term").distinct(), text_col), "term")
-    # contexts can outnumber documents; then an entity is no news and has no information to give away
-    info = F.log(n / F.least(F.col("n_e").cast("double"), n))
+    texts = checkpoint(df.groupBy(F.xxhash64(text_col).alias("copy")).agg(F.count(F.lit(1)).alias("rows")))
+    n = F.lit(float(texts.count()))
+    scored = pairs.join(document_frequency(df, pairs.select("term").distinct(), texts.where("rows > 1"), text_col), "term")
+    # an entity of every text is no news and has no information to give away
+    info = F.log(n / F.col("n_e"))
     pmi = F.log(F.col("n_te") * n / (F.greatest("n", "n_te") * F.col("n_e")))
     return checkpoint(scored.select("entity", "term", F.when(info > 0, pmi / info).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= threshold))
 

@@ -75,6 +75,25 @@ def test_an_insertion_shifts_few_borders(spark):
     assert not out[1].removed and bytes(out[1].kept) == base.encode()
 
 
+def test_an_insertion_without_white_space(spark):
+    rng = np.random.default_rng(5)
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 6000)))
+    code = "".join(map(chr, rng.integers(0x21, 0x7F, 12000)))
+    for base, put in ((chinese, "新"), (code, "x")):
+        rows = [(1, base), (2, put + base), (3, base[:2000] + put + base[2000:])]
+        out = {r[0]: r for r in chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for i in (2, 3):
+            assert sum(s.end - s.start for s in out[i].removed) > 0.8 * len(base.encode())
+        assert not out[1].removed and bytes(out[1].kept) == base.encode()
+        data = base.encode()
+        ends = chunk_dedup.borders(data)
+        assert ends[-1] == len(data) and all(data[a:b].decode() for a, b in zip([0, *ends], ends))
+    passage = chinese[1000:3000]  # a passage at another offset in another text
+    rows = [(1, chinese), (2, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 777))) + passage)]
+    out = {r[0]: r for r in chunk_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(s.end - s.start for s in out[2].removed) > 0.7 * len(passage.encode())
+
+
 def test_awkward_and_empty(awkward, empty):
     out = chunk_dedup.dedup(awkward).collect()
     assert len(out) == awkward.count()

@@ -1,9 +1,11 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 The gear hash of a place sums random numbers of the last 32 bytes, each shifted by its distance, so it depends on those
-bytes alone. A chunk ends after white space at which the hash has MASK_BITS zero bits, once it has LEAST bytes; one of
-MOST bytes ends at the next start of a character. An insertion thus shifts borders only until the next common one. Chunks
-are told by a 128-bit digest; of equal ones the first, by id and place, stays and the others are cut out.
+bytes alone. White space at which the hash has MASK_BITS zero bits is a border. In stretches of over MOST bytes without
+one, as in text without blanks, any end of a character at which it has BARE_BITS zero bits is one too. A chunk ends at a
+border once it has LEAST bytes; one that still has MOST bytes ends at the next start of a character. An insertion thus
+shifts borders only until the next common one. A stretch without blanks of MOST bytes or less stays whole. Chunks are told
+by a 128-bit digest; of equal ones the first, by id and place, stays and the others are cut out.
 
 Cases: a null or empty text has no chunks; a text without a border is one chunk; rows that repeat with the same id and
 text are one document and are treated alike; a null id comes before all others; other columns are not carried.
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import checkpoint, small_batches, table
 from tidemark.llm.shingles import mix
 
-REACH, LEAST, MOST, MASK_BITS = 32, 48, 1024, 3
+REACH, LEAST, MOST, MASK_BITS, BARE_BITS = 32, 48, 1024, 3, 6
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -44,7 +46,14 @@ def borders(data: bytes) -> list[int]:
     if not n:
         return []
     b = np.frombuffer(data, np.uint8)
-    ends = np.flatnonzero(_SPACE[b] & (gear(b) >> np.uint32(32 - MASK_BITS) == 0)) + 1
+    h = gear(b)
+    ends = np.flatnonzero(_SPACE[b] & (h >> np.uint32(32 - MASK_BITS) == 0)) + 1
+    edges = np.r_[0, ends, n]
+    if np.diff(edges).max() > MOST:
+        bare = np.flatnonzero(h[:-1] >> np.uint32(32 - BARE_BITS) == 0) + 1
+        bare = bare[b[bare] & 0xC0 != 0x80]
+        k = np.searchsorted(edges[1:-1], bare, side="right")
+        ends = np.union1d(ends, bare[edges[k + 1] - edges[k] > MOST])
     out, at = [], 0
     for e in [*ends.tolist(), n]:
         while e - at > MOST:

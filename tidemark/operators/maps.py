@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ast
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import checkpoint
+
 _FUNCTIONS = {"abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.log, "sign": F.signum, "min": F.least, "max": F.greatest, "tanh": F.tanh, "atanh": F.atanh}
 _BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Pow: F.pow, ast.BitAnd: lambda a, b: a & b, ast.BitOr: lambda a, b: a | b}
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
@@ -35,23 +36,16 @@ def formula(text: str, columns: dict[str, str]) -> Column:
     return of(ast.parse(text.strip(), mode="eval").body)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of (a, b) is connected with. Labels spread to neighbours and jump to
     their own label's label, so rounds grow with the logarithm of a component's length; each is checkpointed."""
-    both = _cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("label")))
+    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("label")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         new = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        new = _cut(new.join(jump, "label").select("node", "was", F.least("label", "jumped").alias("label")))
+        new = checkpoint(new.join(jump, "label").select("node", "was", F.least("label", "jumped").alias("label")))
         labels = new.select("node", "label")
         if new.where("was != label").isEmpty():
             return labels

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.checkpoints import checkpoint
+
 MOST_CLUSTERS = 10_000
 #: Rows of a block that is compared with another.
 NEIGHBOUR_BLOCK = 4096
@@ -185,7 +187,7 @@ def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int
     compared with all rows of other keys, exactly: blocks of rows with blocks, whose k nearest are then merged. Ties go by
     key."""
     rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c")).where("c is not null and x is not null")
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).localCheckpoint()  # the numbers must not change
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))  # the numbers must not change
     sizes = rows.groupBy("c").count()
     n = max(1, -(-rows.count() // block))
     own, each = F.pmod(F.xxhash64("row"), F.lit(n)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, small_batches, table
+from tidemark.llm.common import checkpoint, sliced, table
 from tidemark.llm.shingles import mix
 
 REACH, LEAST, MOST, MASK_BITS, BARE_BITS = 32, 48, 1024, 3, 6
@@ -76,7 +76,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("id", kind), T.StructField("key", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("d1", "d2")), *(T.StructField(c, T.IntegerType()) for c in ("start", "end"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             row, digests, starts, ends = [], [], [], []
             for k, text in enumerate(batch.column(2).to_pylist()):
                 data = (text or "").encode()
@@ -96,7 +96,6 @@ def chunks(docs: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_chunks, repeated, removed, kept) of each row. ``repeated``: the byte ranges of chunks that stand
     elsewhere too; ``removed``: those of which an earlier one stays; ``kept``: the bytes that stay."""
-    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     found = chunks(docs)
     place = F.struct("id", "key", "start")
@@ -111,7 +110,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, repeated, removed, kept = [], [], [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of Arrow data handed to a Python worker at once; very long texts then come in small batches.
+from tidemark.checkpoints import checkpoint, written  # noqa: F401  used by the operators
+
+#: Bytes of Arrow data of which Python objects are made at once; very long texts then come in small batches.
 BATCH_BYTES = 8 << 20
 
 
@@ -15,18 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Bounds Arrow batches by bytes, so that the memory of a Python worker doesn't depend on the length of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; only where none is set, as in tests, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of at most ``limit`` bytes or one row, so that what a worker holds as Python
+    objects depends neither on the length of texts nor on the session's batch size."""
+    for batch in batches:
+        left = [batch]
+        while left:
+            part = left.pop()
+            if part.nbytes > limit and part.num_rows > 1:
+                half = part.num_rows // 2
+                left += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
 
 
 def remainder(id_col: str, mod: int) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hex_sha256, small_batches, table
+from tidemark.llm.common import hex_sha256, sliced, table
 
 WINDOW = 10
 #: Places in a segment, about.
@@ -64,7 +64,6 @@ def _segment(ids: list, docs: list[np.ndarray], known: list[bytes]) -> dict:
 def build_index(df: DataFrame, vocabulary: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """A row for each segment: the documents' ids and sizes in words, the terms, where each one's places start, and the
     places. ``vocabulary`` keeps to the terms that will be looked up (places stay those in the whole text)."""
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     schema = T._parse_datatype_string(INDEX.format(id=f"array<{kind.simpleString()}>"))
     limited = df.sparkSession.sparkContext.broadcast(sorted(vocabulary)) if vocabulary is not None else None
@@ -79,7 +78,7 @@ def build_index(df: DataFrame, vocabulary: set[bytes] | None = None, id_col: str
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             return pa.RecordBatch.from_arrays([one(s["docs"], id_kind), one(s["sizes"], pa.int32()), one(s["terms"], pa.binary()), one(s["starts"], pa.int32()), one(s["places"], pa.int32())], schema.names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             id_kind = batch.schema.field(0).type
             get = number.get
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -149,7 +148,7 @@ class Segment:
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
-    for batch in batches:
+    for batch in sliced(batches):
         for r in range(batch.num_rows):
             ids, sizes, terms, starts, places = (batch.column(c)[r].values for c in range(5))
             yield Segment(ids, sizes.to_numpy(), terms.to_pylist(), starts.to_numpy(), places.to_numpy())

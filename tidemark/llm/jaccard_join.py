@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, small_batches, table
-from tidemark.llm.graph import components
+from tidemark.llm.common import checkpoint, sliced, table
 from tidemark.llm.shingles import mix, shingle_hashes
+from tidemark.operators.maps import connected
 
 #: Tokens of a block of a component: two blocks are what a task holds.
 BLOCK_TOKENS = 150_000
@@ -100,11 +100,10 @@ def node_of(tokens: np.ndarray) -> int | None:
 
 def nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, n, node): node is a hash of the whole set, null for an empty one."""
-    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_hashes(text, size) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], schema.names)
 
@@ -114,11 +113,10 @@ def nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 def parts(df: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
     """(node, k, need, s): a row for each part of each node in interval k. A task gives a node once, so a large group of
     copies is a few rows for each part."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Parts(percent), {None}
-        for batch in batches:
+        for batch in sliced(batches):
             names, ks, needs, signs = [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle_hashes(text, size)
@@ -149,7 +147,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     rows = checkpoint(_shared(enough(rows)).select("node", "k", "need", "s"))
     rows = checkpoint(_shared(enough(rows)).select("node", "k", "leader"))
     edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b").distinct()
-    labels = components(edges).select(F.col("node").alias("_vertex"), "label")
+    labels = connected(edges).select(F.col("node").alias("_vertex"), "label")
     return rows.select("node", F.xxhash64("node", "k").alias("vertex")).distinct().join(labels, F.col("vertex") == F.col("_vertex")).select("node", "label")
 
 
@@ -269,7 +267,7 @@ def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: in
     rows = docs.join(ids.hint("broadcast") if picked.count() <= BROADCAST_IDS else ids, F.col("id") == F.col("_id")).select("node", "label", "blocks", "text")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_hashes(x, size).view(np.int64) for x in batch.column(3).to_pylist()]
             # a repeated id may come with other texts: the set must be that of the node
             own = [node_of(s) for s in sets]
@@ -302,7 +300,7 @@ def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: in
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents are connected by links of ``percent`` in 100 or more."""
     found = checkpoint(nodes(df, id_col, text_col, size))
-    labels = components(linked(df, found, id_col, text_col, size, percent))
+    labels = connected(linked(df, found, id_col, text_col, size, percent))
     first = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     first = first.join(labels, "node", "left").select(F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "least")
     least = first.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("component_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import remainder, small_batches, table
+from tidemark.llm.common import remainder, sliced, table
 
 ORDER = 3
 UNKNOWN = "und"
@@ -49,7 +49,7 @@ def grams(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """(lang, gram, n): counts of the strings of ORDER + 1 bytes, in the first of which the start of a text is byte 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(langs, texts):
@@ -62,7 +62,6 @@ def grams(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 packed, n = np.unique(packed[packed & 255 > 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(packed.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    small_batches(df.sparkSession)
     return df.select(lang_col, text_col).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -153,7 +152,6 @@ def code_lengths(model: Model, text: str) -> np.ndarray:
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, bits_per_byte): the language with the shortest code, its share of probability among the
     languages, and its code length for a byte. The model is bounded by the sample it was fitted on."""
-    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
 
@@ -166,7 +164,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text.encode()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [one(x) for x in batch.column(1).to_pylist()]
             cols = list(zip(*got)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], schema.names)
@@ -177,7 +175,6 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def keep_languages(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose text has letters and a language of at least this share of probability.
     Where no language was learned, the letters decide alone."""
-    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
@@ -190,7 +187,7 @@ def keep_languages(df: DataFrame, model: Model, text_col: str = "text", least: f
         return bool(1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum() >= least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([good(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, hex_sha256, small_batches, table
+from tidemark.llm.common import checkpoint, hex_sha256, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Terms and entities above the threshold that are broadcast at most; beyond that they are joined.
@@ -110,10 +110,9 @@ def terms_beside(text: str, a: int, b: int, reach: int) -> tuple[list[str], list
 
 def contexts(df: DataFrame, text_col: str = "text", reach: int = 8) -> DataFrame:
     """(entity, context, copy, terms) for every base span of every text; entity, context and copy, the text, are hashes."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             entity, context, copy, terms = [], [], [], []
             for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for a, b, kind in base_spans(text):
@@ -131,10 +130,9 @@ def document_frequency(df: DataFrame, terms: DataFrame, copies: DataFrame, text_
     """(term, n): distinct texts with each of the given terms. ``copies`` has (copy, rows) of the texts that more than one
     row has; each of their rows counts as its part of one text. Each task counts its own documents' terms before the
     shuffle, so a hot term is one row from each task."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n: dict[str, float] = {}
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = 1 / rows if rows else 1.0
@@ -201,7 +199,7 @@ def _with_own_pairs(df: DataFrame, found: DataFrame, id_col: str, text_col: str)
     entities give their words, and a list holds no more than a row's own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, entity, term = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 entities = {hashed(k, text[a:b]) for a, b, k in base_spans(text)}
@@ -231,7 +229,6 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], remove: bool = F
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, threshold: float = 0.8, support: int = 3, remove: bool = False, with_text: bool = True) -> DataFrame:
     """(id, spans array<struct<start, end, kind>>, text): base spans and disclosing terms, and the text without them."""
-    small_batches(df.sparkSession)
     found = disclosing(df, text_col, reach, threshold, support)
     kind_of_id = df.schema[id_col].dataType
     span = "array<struct<start:int,end:int,kind:string>>"
@@ -248,7 +245,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     sent = df.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             spans, texts = [], []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 spans.append(_spans(text, _of(own) if own else sent.value))
@@ -262,7 +259,6 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows with all their columns and the text sanitised. Rows that repeat an id each get their own text."""
-    small_batches(df.sparkSession)
     found = disclosing(df, text_col, **options)
     at = df.columns.index(text_col)
     pairs: dict[int, set[str]] = {}
@@ -275,7 +271,7 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     sent = df.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             owns = batch.column(batch.num_columns - 1).to_pylist() if given else [None] * batch.num_rows
             texts = []
             for text, own in zip(batch.column(at).to_pylist(), owns):

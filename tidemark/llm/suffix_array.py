@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, small_batches, table
+from tidemark.llm.common import checkpoint, sliced, table
 from tidemark.llm.shingles import _BACK, _BASE, _power, mix
 
 LENGTH, GRAM = 400, 200
@@ -185,7 +185,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     """(key, at, gram, context) for (key, text): hashes of the gram and of the gram with its flanks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, places, grams, contexts = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text or len(text) * 4 < LENGTH:
@@ -214,7 +214,7 @@ def slices(docs: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
         names = ["common", "gram", "context", "lo", "hi", "alone", "left", "right"]
         cols: list[list] = [[] for _ in kinds]
-        for batch in batches:
+        for batch in sliced(batches):
             for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 h = Hashed(data)
@@ -263,7 +263,7 @@ def covered(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in sliced(batches):
             common = batch.column(0).to_numpy()
             edges = np.flatnonzero(np.r_[True, common[1:] != common[:-1]]) if len(common) else np.zeros(0, np.int64)
             out: list[tuple[int, int, int, int]] = []
@@ -364,7 +364,6 @@ def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, in
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, spans array<struct<start, end>>, kept binary): the removed byte spans and what stays of each row."""
-    small_batches(df.sparkSession, BYTES)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
     ranges = repeats(docs.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     ranges = ranges.select(F.col("key").alias("_key"), "ranges")
@@ -373,7 +372,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, spans, kept = [], [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import remainder, small_batches, table
+from tidemark.llm.common import remainder, sliced, table
 
 ORDER, DECAY, PIECE, POWER = 3, np.float32(0.75), 24, 6
 #: Lengths of the stems of pieces that can be landmarks, beside whole pieces.
@@ -216,7 +216,7 @@ def choose(frame: DataFrame, rows: DataFrame, positives: int, negatives: int, n_
     number = {w: i for i, (w, _) in enumerate(top)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(number[w] for w in candidates(x) if w in number) for x in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["has"])
 
     docs = [r.has for r in rows.where("is").select("text").mapInArrow(held, "has array<int>").collect()]
@@ -242,11 +242,10 @@ def choose(frame: DataFrame, rows: DataFrame, positives: int, negatives: int, n_
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, positives: int = 22, negatives: int = 2, ridge: float = 0.01, sizes: dict[int, int] | None = None) -> Model:
     """A model of label 1. ``labelled`` should be the bounded sample of sample_of(); ``sizes``: label counts of all."""
-    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("is"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n: dict[str, list[int]] = {}
             for text, is_one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for w in candidates(text):
@@ -265,7 +264,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = Pool(landmarks)
-        for batch in batches:
+        for batch in sliced(batches):
             k = pool(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(k.ravel().astype(np.float64)), m).cast(pa.list_(pa.float64())) if m else pa.array([[]] * len(k), pa.list_(pa.float64())), batch.column(1)], ["k", "is"])
 
@@ -291,14 +290,13 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, score, predicted) of every whole text."""
-    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         pool = Pool(model.landmarks)
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(pool(batch.column(1).to_pylist())), pa.float64())], schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

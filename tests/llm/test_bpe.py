@@ -1,5 +1,6 @@
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 from cases import LONG
@@ -22,7 +23,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def own():
-    return bpe.load(PATH)
+    return bpe.Bpe(PATH)
 
 
 ODD = ["", " ", "\n\n  x", "a" * 3000, "<|endoftext|>", "x<|endoftext|> y<|endoftext|>", "don't we'll", "漢字 カナ 😀👍🏽", "  x ", "\x00\x01é", "1234 567", LONG[:20_000], "<|endof", "ﬁ½Ⅷ²", "́combining"]
@@ -31,23 +32,28 @@ ODD = ["", " ", "\n\n  x", "a" * 3000, "<|endoftext|>", "x<|endoftext|> y<|endof
 def test_odd_texts(library, own):
     for text in ODD:
         ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == ids, text[:40]
-        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert own.encode(text).tolist() == ids, text[:40]
+        assert own.decode(np.array(ids, np.int32)) == library.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
-def test_any_text(text):
-    t = Tokenizer.from_file(PATH) if not hasattr(test_any_text, "t") else test_any_text.t
-    test_any_text.t = t
-    ids = t.encode(text, add_special_tokens=False).ids
-    assert bpe.load(PATH).encode(text) == ids
-    assert bpe.load(PATH).decode(ids) == t.decode(ids, skip_special_tokens=False)
+def test_any_text(library, own, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert own.encode(text).tolist() == ids
+    assert own.decode(np.array(ids, np.int32)) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_stretches_are_cut_between_words(library, monkeypatch):
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    own = bpe.Bpe(PATH)
+    for text in (*ODD, LONG[:5000], "a  b " * 60 + "c d" + "漢字" * 50 + " e f  g\n h i" * 20):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_invalid_bytes_decode_as_in_the_library(library, own):
     for ids in ([220, 255, 254], [own.byte_id[0xE6]], [own.byte_id[b] for b in b"\xf0\x9f\x98"], [own.byte_id[b] for b in b"a\xffb\xc3(\xe2\x82"]):
-        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert own.decode(np.array(ids, np.int32)) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_query_against_the_library(spark, data, texts, library):
@@ -68,8 +74,18 @@ def test_awkward_and_empty(awkward, empty):
     assert bpe.digests(empty, PATH).count() == 0
 
 
-def test_words_are_forgotten_in_generations():
+def test_words_are_forgotten(own):
     small = bpe.Bpe(PATH, keep=3)
     for w in "one two three four five six seven one two".split() * 3:
-        assert small.encode(w) == bpe.load(PATH).encode(w)
-    assert len(small.new) <= 3 and len(small.old) <= 3
+        assert small.encode(w).tolist() == own.encode(w).tolist()
+    assert len(small.seen) <= 3 and len(small.seen.old) <= 3
+    with bpe.loaded(PATH) as b:
+        b.encode("some words")
+        assert b.seen
+    assert not b.seen
+
+
+def test_both_ways_give_the_same(spark, awkward):
+    once = bpe.encode(awkward, PATH, with_decoded=True).collect()
+    twice = bpe.decode(bpe.encode(awkward, PATH), PATH).collect()
+    assert once == twice

@@ -1,13 +1,15 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 A line is normalised (lower case, runs of digits to one 0, runs of white space to one space, trimmed) and hashed. Each
-host's lines are counted by the number of documents that hold them. A line in more than ``max_documents`` documents of
-its host goes; a document is depleted, and rejected, when less than ``min_share`` of its words or fewer than
-``min_words`` words stay. ``n_removed_chars`` tells the characters of the normalised lines that go; it isn't judged by.
+host's lines are counted by the number of documents that hold them. A line in more than ``share`` of its host's
+documents, and in more than ``min_documents``, goes; a document is depleted, and rejected, when less than ``min_share``
+of its words or fewer than ``min_words`` words stay. ``n_removed_chars`` tells the characters, as they stand in the text,
+of the lines that go; it isn't judged by. ``without_frequent_lines`` gives the texts without them.
 
 Cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; a line repeated
-within a document counts once for it, while all its occurrences go; rows that repeat with the same id, host and text
-are documents of their own (each counts, each gets a row); other columns are not carried.
+within a document counts once for it, while all its occurrences go; lines without a word are neither counted nor taken
+out; rows that repeat with the same id, host and text are documents of their own (each counts, each gets a row); other
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tidemark.llm.common import checkpoint, table
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Frequent lines that are broadcast at most: 24 bytes or so each.
+#: Frequent lines, and hosts, that are broadcast at most: 24 bytes or so each.
 BROADCAST_LINES = 200_000
 BETWEEN = "[ \\x09-\\x0D]+"
 
@@ -34,10 +36,14 @@ def with_words(lines: Column) -> Column:
     return F.filter(lines, lambda x: x.rlike("[^ \\x09-\\x0D]"))
 
 
+def raw_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
 def normalised_lines(text: Column) -> Column:
-    """The lines of a text that have a word, normalised over the text as a whole."""
+    """The lines of a text, in the order of raw_lines(), normalised over the text as a whole."""
     spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\x0B\\f\\r]{2,}|[\\t\\x0B\\f\\r]", " ")
-    return F.transform(with_words(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n")), lambda x: F.trim(x))
+    return F.transform(F.split(F.regexp_replace(spaced, "[0-9]+", "0"), "\n"), lambda x: F.trim(x))
 
 
 def n_words_of(line: Column) -> Column:
@@ -76,39 +82,58 @@ def base_rules(df: DataFrame) -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
-    """(host, line hash, documents) of the lines above the limit. ``lines`` has a row for each document and line, so
-    counts need no distinct and are summed in part before the shuffle, which also evens out hot hosts and lines."""
-    return lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > max_documents)
+def frequent_lines(docs: DataFrame, share: float, min_documents: int) -> DataFrame:
+    """(_host, _line), written: hashes of the lines above the limit, for (text, host). A document gives each line once,
+    so counts need no distinct and are summed in part before the shuffle, which also evens out hot hosts and lines."""
+    lines = docs.select("host", F.explode(F.array_distinct(F.transform(F.filter(normalised_lines(F.col("text")), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("line"))
+    counts = checkpoint(lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > min_documents))
+    sizes = checkpoint(docs.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("size")))
+    sizes = sizes.hint("broadcast") if sizes.count() <= BROADCAST_LINES else sizes
+    over = counts.join(sizes, counts.host.eqNullSafe(F.col("_host"))).where(F.col("documents") > share * F.col("size"))
+    return checkpoint(over.select("_host", F.col("line").alias("_line")))
 
 
-def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 100, min_share: float = 0.5, min_words: int = 20) -> DataFrame:
-    """(id, the base counts, base_failed, n_removed_chars, kept) for each row."""
+def _sent(frequent: DataFrame) -> DataFrame:
+    """Sent to all tasks only up to a number; beyond it a sort-merge join splits hot lines."""
+    return frequent.hint("broadcast" if frequent.count() <= BROADCAST_LINES else "merge")
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    key = F.xxhash64("id", "text", "host")
-    hashed = F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("chars"), n_words_of(x).alias("words")))
-    lines = docs.select(key.alias("key"), "id", "host", F.explode(hashed).alias("l")).select("key", "id", "host", "l.line", "l.chars", "l.words")
-    # repeated rows fall together in what follows; base has their number
-    base = base_rules(docs.withColumn("key", key)).drop("text")
+    return docs.withColumn("key", F.xxhash64("id", "text", "host"))
+
+
+def _removed(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(key, id, host, place, line, chars, words) of each line that goes, as often as rows repeat."""
+    each = F.zip_with(raw_lines(F.col("text")), normalised_lines(F.col("text")), lambda r, x: F.struct(F.xxhash64(x).alias("line"), F.length(r).alias("chars"), n_words_of(x).alias("words"), (x != "").alias("some")))
+    lines = docs.select("key", "id", "host", F.posexplode(each).alias("place", "l")).where("l.some").select("key", "id", "host", "place", "l.line", "l.chars", "l.words")
+    return lines.join(_sent(frequent), lines.host.eqNullSafe(F.col("_host")) & (lines.line == F.col("_line"))).drop("_host", "_line")
+
+
+def line_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.01, min_documents: int = 10, min_share: float = 0.5, min_words: int = 20) -> DataFrame:
+    """(id, the base counts, base_failed, n_removed_chars, kept) for each row."""
+    docs = _named(df, id_col, text_col, host_col)
+    base = base_rules(docs).drop("text")
     shown = [c for c in base.columns if c not in ("key", "id", "host")]
-    base = base.groupBy("key", "id", "host").agg(*(F.first(c).alias(c) for c in shown), F.count(F.lit(1)).alias("rows"))
-    frequent = checkpoint(frequent_lines(_documents_of(docs), max_documents))
-    # the lines above the limit are sent to all tasks only up to a number; beyond it a sort-merge join splits hot lines
-    frequent = frequent.select(F.col("line").alias("_line"), F.col("host").alias("_host")).hint("broadcast" if frequent.count() <= BROADCAST_LINES else "merge")
-    removed = lines.join(frequent, lines.host.eqNullSafe(F.col("_host")) & (lines.line == F.col("_line"))).groupBy("key", "id").agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"))
-    removed = removed.select(F.col("key").alias("_key"), F.col("id").alias("_id"), F.col("chars").alias("_chars"), F.col("words").alias("_gone"))
+    removed = _removed(docs, frequent_lines(docs, share, min_documents)).groupBy("key", "id")
+    # rows that repeat give the same places each
+    removed = removed.agg(F.sum("chars").alias("chars"), F.sum("words").alias("words"), (F.count(F.lit(1)) / F.count_distinct("place")).alias("rows"))
+    removed = removed.select(F.col("key").alias("_key"), F.col("id").alias("_id"), (F.col("chars") / F.col("rows")).cast("long").alias("_chars"), (F.col("words") / F.col("rows")).cast("long").alias("_gone"))
     out = base.join(removed, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    of_one = lambda c: (F.coalesce(c, F.lit(0)) / F.col("rows")).cast("long")
-    left = F.col("n_words") - of_one("_gone")
+    left = F.col("n_words") - F.coalesce("_gone", F.lit(0))
     depleted = (left < min_words) | (left < min_share * F.col("n_words"))
-    out = out.withColumn("n_removed_chars", of_one("_chars")).withColumn("kept", ~F.col("base_failed") & ~depleted)
-    out = out.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    out = out.withColumn("n_removed_chars", F.coalesce("_chars", F.lit(0).cast("long"))).withColumn("kept", ~F.col("base_failed") & ~depleted)
     return out.select(F.col("id").alias(id_col), *shown, "n_removed_chars", "kept")
 
 
-def _documents_of(docs: DataFrame) -> DataFrame:
-    """(host, line) for each row and distinct line of it."""
-    return docs.select("host", F.explode(F.array_distinct(F.transform(normalised_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("line"))
+def without_frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.01, min_documents: int = 10) -> DataFrame:
+    """(id, text) for each row: the text without its frequent lines, as it is where it has none."""
+    docs = _named(df, id_col, text_col, host_col)
+    gone = _removed(docs, frequent_lines(docs, share, min_documents)).groupBy("key", "id").agg(F.collect_set("line").alias("gone"))
+    gone = gone.select(F.col("key").alias("_key"), F.col("id").alias("_id"), "gone")
+    out = docs.join(gone, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    stays = F.zip_with(raw_lines(F.col("text")), normalised_lines(F.col("text")), lambda r, x: F.when((x == "") | ~F.array_contains("gone", F.xxhash64(x)), r))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias(text_col))
 
 
 def op8_line_frequency(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from cases import LONG, words_of
 from hypothesis import given, settings
@@ -26,20 +27,62 @@ def test_order_of_long_and_regular_texts():
 
 def test_repeated_windows_against_counts():
     rng, span = random.Random(7), 24
-    for _ in range(40):
-        contents = list({(bytes(rng.choices(b"ab", k=rng.randint(0, span))), bytes(rng.choices(b"ab", weights=(9, 1), k=rng.randint(0, span)))) for _ in range(6)})
-        n = {}
-        for left, right in contents:
+    for n in range(200):
+        shared = (b"abba"[: rng.randint(0, 4)], b"abab"[: rng.randint(0, 4)])
+        half = lambda w: bytes(rng.choices(b"ab", weights=w, k=rng.randint(0, span - 4)))
+        contents = list({(half((1, 1)) + shared[0], shared[1] + half((9, 1))): rng.randint(1, 2) for _ in range(rng.randint(1, 6))}.items())
+        contents = [(*c, k) for c, k in contents]
+        count = {}
+        for left, right, copies in contents:
             for k in range(span + 1):
                 if k <= len(left) and span - k <= len(right):
                     w = (k, left[len(left) - k :], right[: span - k])
-                    n[w] = n.get(w, 0) + 1
+                    count[w] = count.get(w, 0) + copies
         got = suffix_array.repeated_windows(contents, span)
-        for (left, right), mask in zip(contents, got):
-            want = sum(1 << k for k in range(span + 1) if k <= len(left) and span - k <= len(right) and n[(k, left[len(left) - k :], right[: span - k])] > 1)
+        for (left, right, _), mask in zip(contents, got):
+            want = sum(1 << k for k in range(span + 1) if k <= len(left) and span - k <= len(right) and count[(k, left[len(left) - k :], right[: span - k])] > 1)
             assert mask == want
 
 
+def found_in(texts):
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    parts = list(suffix_array.anchors_of(data, np.cumsum([len(x) for x in texts])))
+    return [np.concatenate(x).tolist() for x in zip(*parts)]
+
+
+def test_anchors_by_blocks_and_in_many_texts(monkeypatch):
+    rng = random.Random(2)
+    texts = [bytes(rng.choices(b"abcd", k=n)) for n in (0, 249, 250, 399, 0, 400, 401, 5000, 20_000, 3)]
+    together = found_in(texts)
+    apart = [[k, *row] for k, x in enumerate(texts) for row in zip(*found_in([x])[1:])]
+    assert [list(x) for x in zip(*together)] == apart
+    for data in texts:
+        whole = found_in([data])
+        with monkeypatch.context() as m:
+            m.setattr(suffix_array, "BLOCK", 700)
+            assert found_in([data]) == whole
+        _, at, _, _, long = whole
+        for size, some in ((LENGTH, [a for a, ok in zip(at, long) if ok]), (suffix_array.SHORT, at)):
+            for k in range(0, len(data) - size + 1, 13):  # each string has an anchor inside
+                assert any(k <= a <= k + size - suffix_array.GRAM for a in some)
+
+
+def test_slices_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(4)
+    body = bytes(rng.choices(b"abcd", k=9000)).decode()
+    wanted = [(g, g + 1, at, g % 2 == 0) for g, at in enumerate((8_700, 10, 0, 700, 699, 5000, 8850, 3))]
+    df = spark.createDataFrame([(1, body, wanted), (2, body[:4000], wanted[1:3])], "key long, text string, wanted array<struct<gram:bigint,context:bigint,at:int,twice:boolean>>")
+    key = lambda r: tuple(map(str, r))
+    whole = sorted(map(key, suffix_array.slices(df.coalesce(1)).collect()))
+    parts = df.rdd.map(lambda r: r).toDF(df.schema).repartition(2)
+    assert sorted(map(key, suffix_array.slices(parts).collect())) == whole
+    for _, gram, context, lo, hi, copies, told, _, left, right in suffix_array.slices(df).collect():
+        at = wanted[gram][2]
+        assert context == gram + 1 and copies == 1 + (gram % 2 == 0) and told == (gram % 2 == 1)
+        assert at - lo >= 0 and bytes(left) == body.encode()[max(0, at - hi) : at - lo]
+        assert bytes(right) in (body.encode()[at + LENGTH - hi : at + LENGTH - lo], body[:4000].encode()[at + LENGTH - hi : at + LENGTH - lo])
+
+
 def brute(rows):
     """Bytes covered by a string of LENGTH bytes that starts in two places or more."""
     texts = [(t or "").encode() for _, t in rows]
@@ -74,7 +117,7 @@ def check(spark, rows):
 
 
 def test_query_against_brute_force(spark, data, texts):
-    got = sorted(tuple(r) for r in suffix_array.op10_suffix_array(spark, f"{data}/sf0.001").collect())
+    got = sorted(tuple(r)[:5] for r in suffix_array.op10_suffix_array(spark, f"{data}/sf0.001").collect())
     want = sorted(brute(texts))
     assert got == want and any(x[2] for x in want)
 
@@ -94,12 +137,28 @@ def hard_rows():
     return rows
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_changed_passages(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_array, "MOST_CONTENTS", most)
+@pytest.mark.parametrize("most,block", [(1_000, 1 << 20), (2, 1 << 20), (5, 300)])
+def test_changed_passages(spark, monkeypatch, most, block):
+    """Groups with more rows than ``most`` are dealt anew by their next symbols, down to single windows."""
+    monkeypatch.setattr(suffix_array, "MOST_ROWS", most)
+    monkeypatch.setattr(suffix_array, "BLOCK", block)
     check(spark, hard_rows())
 
 
+def test_nothing_goes_without_the_suffix_array(spark, monkeypatch):
+    """What is removed is what the suffix array found."""
+    monkeypatch.setattr(suffix_array, "covered", lambda rows: rows.limit(0).selectExpr("common", "gram", "context", "lo as first", "hi as last"))
+    df = spark.createDataFrame(hard_rows(), "doc_id long, text string")
+    assert not any(r.spans for r in suffix_array.remove_repeats(df).collect())
+
+
+def test_shared_strings_of_a_shorter_length(spark):
+    passage = " ".join(words_of(150, 5)).encode().decode()
+    rows = [(1, "x1 " + passage[:260] + " y"), (2, "other " + passage[:260]), (3, " ".join(words_of(150, 9))), (4, passage[:140] + "z" * 20), (5, None)]
+    got = {r.doc_id: r for r in suffix_array.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_shared > 0 and got[2].n_shared > 0 and not any(got[k].n_shared for k in (3, 4, 5)) and not any(r.spans for r in got.values())
+
+
 def test_picked_by_a_join(spark, monkeypatch):
     monkeypatch.setattr(suffix_array, "BROADCAST_KEYS", 0)
     check(spark, hard_rows()[:30])

@@ -4,11 +4,14 @@ Every byte that is covered by a ``LENGTH``-byte string that also starts anywhere
 
 1. Anchors. Each string of LENGTH bytes holds FLANK + 1 grams of GRAM bytes; the one of least hash is its anchor, so
    equal strings have their anchors at the same place. A document has an anchor every FLANK / 2 bytes or so.
-2. Anchors whose gram stands nowhere else can't be in a repeated string. Of the others, those that agree in the whole
-   context (FLANK bytes before the gram and after it) with all that share the gram cover their context.
-3. Where contexts differ, one of each wording is cut into slices: the windows that begin ``s`` bytes before the gram, s
-   in a range of STEP. What all windows of a slice have in common is its key, and stands as one symbol between the
-   bytes on both sides. The suffix array of the contents that share a key brings equal windows together.
+2. Anchors whose gram stands nowhere else can't be in a repeated string. The others are taken by wordings: a wording is
+   a gram with its context (FLANK bytes before it and after it), wherever it stands.
+3. The suffix array judges the wordings. What all contents of a group have in common is one symbol. A wording that
+   stands more than once is a group of its own, with two contents. Wordings that share a gram with others are cut into
+   slices: the windows that begin ``s`` bytes before the gram, s in a range of STEP; the bytes that all windows of a
+   slice hold are its key, and a group are the contents of one key. The suffix array of a group brings equal windows
+   together. In groups with more than MOST_ROWS rows, rows of the same content are put together; groups of more contents
+   are dealt anew by the next symbols: their slices are cut finer, so that keys hold more bytes, down to a window each.
 4. Covered ranges are joined to spans by document, and cut out.
 
 The suffix array (``suffix_array``) sorts suffixes into groups by their Lyndon prefix: groups are taken in descending
@@ -16,17 +19,18 @@ order, each suffix's previous suffix of a smaller group is found through the poi
 pointed at are moved behind their groups, by the number of pointers. The groups' own order then follows in one pass in
 which each placed suffix places those before it that it ends the Lyndon prefix of. There is no recursive renaming.
 
-Keys with more than MOST_CONTENTS contents are counted window by window instead, without a group in one task.
+Besides, each document's ``n_shared`` is told: the anchors of its strings of SHORT bytes whose gram stands elsewhere
+too. It is above 0 wherever a string of SHORT bytes does, and each anchor that counts is a repeat of GRAM bytes.
 
 Cases: a null or empty text, and one under LENGTH bytes, keeps all its bytes; repeated rows are each other's copies;
-overlapping repeats within a document count; a null id is an id; other columns are not carried. Equality goes by 64-bit
-hashes of grams and keys, and by bytes within a key.
+overlapping repeats within a document count; a null id is an id; long texts are hashed in blocks; other columns are not
+carried. Candidates and keys go by 64-bit hashes of bytes, contents by the bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +38,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, sliced, table
+from tidemark.llm.common import checkpoint, sliced, table, written
 from tidemark.llm.shingles import _BACK, _BASE, _power, mix
 
-LENGTH, GRAM = 400, 200
+LENGTH, SHORT, GRAM = 400, 250, 150
 FLANK = LENGTH - GRAM
 STEP = 25
+#: Windows of a slice where a group has too many rows: first this many, then fewer.
+FINER = (5, 1)
 #: First and last window offset of each slice.
-SLICES = [(lo, FLANK if lo + 2 * STEP > FLANK else lo + STEP - 1) for lo in range(0, FLANK + 1 - STEP, STEP)]
-MOST_CONTENTS = 20_000
-#: Keys of documents that are broadcast at most, to pick the texts of differing contexts.
+SLICES = [(lo, min(FLANK, lo + STEP - 1)) for lo in range(0, FLANK + 1, STEP)]
+#: Rows of a group that a task holds.
+MOST_ROWS = 1_000
+#: Keys of documents, or of groups with too many rows, that are broadcast at most: 8 bytes each.
 BROADCAST_KEYS = 2_000_000
-#: Rows of slices, and bytes of Arrow data, that a Python worker holds at once.
-ROWS, BYTES = 10_000, 3 << 20
+#: Bytes of rows that a Python worker holds at once; bytes of texts that are hashed at once.
+BYTES, BLOCK = 3 << 20, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -112,183 +119,252 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def repeated_windows(contents: list[tuple[bytes, bytes]], span: int) -> list[int]:
-    """For contents (bytes before, bytes after the common symbol), a mask of the windows of ``span`` bytes and the symbol
-    that another content has too: bit k for the window that begins k bytes before the symbol."""
+def repeated_windows(contents: list[tuple[bytes, bytes, int]], span: int) -> list[int]:
+    """For contents (bytes before, bytes after the common symbol, how often each stands: 1, or 2 for more), a mask of the
+    windows of ``span`` bytes and the symbol that stand more than once: bit k for the window that begins k bytes before
+    the symbol. Bytes next to the symbol that all contents have are taken into it."""
+    p, q = _shared_end([c[0][::-1] for c in contents]), _shared_end([c[1] for c in contents])
     text: list[int] = []
-    first, middle, end = [], [], []
-    for left, right in contents:  # 0 ends all, 1 ends a content, 2 is the common symbol, bytes are from 3 on
-        first.append(len(text))
-        text += [x + 3 for x in left]
-        middle.append(len(text))
-        text.append(2)
-        text += [x + 3 for x in right]
-        end.append(len(text))
-        text.append(1)
+    middle, owner = [], []
+    for c, (left, right, copies) in enumerate(contents):  # 0 ends all, 1 ends a content, 2 is the symbol, bytes are from 3 on
+        own = [x + 3 for x in left[: len(left) - p]] + [2] + [x + 3 for x in right[q:]] + [1]
+        for _ in range(copies):
+            middle.append(len(text) + max(0, len(left) - p))
+            text += own
+            owner.append(c)
     text.append(0)
-    owner = [-1] * len(text)
-    for c in range(len(contents)):
-        for k in range(max(first[c], middle[c] - span), middle[c] + 1):
-            if k + span + 1 <= end[c]:
-                owner[k] = c
+    of = {}
+    for n, at in enumerate(middle):
+        for k in range(min(at - (0 if not n else middle[n - 1]), max(0, span - p)) + 1):
+            if text[at - k] == 1:
+                break
+            of[at - k] = n
     masks, last = [0] * len(contents), -1
     for i in suffix_array(text):
-        c = owner[i]
-        if c < 0:
+        n = of.get(i)
+        if n is None:
             continue
-        if last >= 0 and text[last : last + span + 1] == text[i : i + span + 1]:
-            masks[c] |= 1 << (middle[c] - i)
-            d = owner[last]
-            masks[d] |= 1 << (middle[d] - last)
+        if last >= 0:
+            m = of[last]
+            before = middle[n] - i
+            if before == middle[m] - last:
+                for k in [before + p] if before else range(min(p, span) + 1):
+                    left, right, _ = contents[owner[n]]
+                    if k > len(left) or span - k > len(right):
+                        continue
+                    size = before + 1 + max(0, span - k - q)
+                    if text[i : i + size] == text[last : last + size]:
+                        masks[owner[n]] |= 1 << k
+                        masks[owner[m]] |= 1 << k
         last = i
     return masks
 
 
+def _shared_end(parts: list[bytes]) -> int:
+    """Bytes from the start on that all parts have."""
+    low, high = min(parts), max(parts)
+    if low == high:
+        return len(low)
+    return next((k for k, (x, y) in enumerate(zip(low, high)) if x != y), len(low))
+
+
 class Hashed:
-    """Prefix hashes of a text's bytes, from which the hash of any range is had."""
+    """Prefix hashes of some bytes, from which the hash of any range is had."""
 
-    def __init__(self, data: bytes):
-        self.data = np.frombuffer(data, np.uint8)
+    def __init__(self, data: np.ndarray):
         n = len(data)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self.total[1:], dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=self.total[1:], dtype=np.uint64)
         self.back = _power(_BACK, n + 1)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes of grams) of the anchors of all LENGTH-byte strings; of equal hashes the first."""
-        m = len(self.data) - GRAM + 1
-        if m < FLANK + 1:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        grams = (self.total[GRAM:] - self.total[:-GRAM]) * self.back[:m]
-        keyed = ((grams * np.uint64(0xD6E8FEB86659FD93)) & ~_PLACE) | np.arange(m, dtype=np.uint64)  # high bits are the well mixed ones
-        w = FLANK + 1
-        rows = -(-m // w)
-        padded = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-        padded[:m] = keyed
-        block = padded.reshape(rows, w)
-        ahead = np.minimum.accumulate(block, axis=1).ravel()
-        behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
-        place = (least & _PLACE).astype(np.int64)
-        place = place[np.r_[True, place[1:] != place[:-1]]]
-        return place, mix(grams[place])
-
-
-def _key(id_col: str, text_col: str):
-    return F.xxhash64(id_col, text_col)
+    def grams(self, first: int, end: int) -> np.ndarray:
+        """Hashes of the grams that begin in a range."""
+        return (self.total[first + GRAM : end + GRAM] - self.total[first:end]) * self.back[first:end]
+
+
+def _least(keyed: np.ndarray, w: int) -> np.ndarray:
+    """Places of the least of each ``w`` keys in a row; places are in the low bits of the keys."""
+    m = len(keyed)
+    rows = -(-m // w)
+    padded = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
+    padded[:m] = keyed
+    block = padded.reshape(rows, w)
+    ahead = np.minimum.accumulate(block, axis=1).ravel()
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(behind[: m - w + 1], ahead[w - 1 : m]) & _PLACE).astype(np.int64)
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, one after the other, and where each ends."""
+    column = column.cast(pa.string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)), offsets[1:] - offsets[0]
+
+
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(texts, places, hashes of grams, hashes of contexts, whether it is an anchor of LENGTH bytes) of the anchors of all
+    strings of SHORT bytes in texts that follow one another. Anchors of longer strings are among those of shorter ones."""
+    none = np.zeros(0, np.int64)
+    m = len(data) - GRAM + 1
+    if len(data) < SHORT:
+        return none, none, none.view(np.uint64), none.view(np.uint64), none.astype(bool)
+    h = Hashed(data)
+    grams = h.grams(0, m)
+    keyed = ((grams * np.uint64(0xD6E8FEB86659FD93)) & ~_PLACE) | np.arange(m, dtype=np.uint64)  # high bits are the well mixed ones
+
+    def of(size: int) -> np.ndarray:
+        own = np.ones(max(0, len(data) - size + 1), bool)  # strings that lie in one text
+        for e in ends.tolist():
+            own[max(0, e - size + 1) : e] = False
+        found = np.zeros(m, bool)
+        if len(own):
+            found[_least(keyed, size - GRAM + 1)[own]] = True
+        return found
+
+    at = np.flatnonzero(of(SHORT))
+    text = np.searchsorted(ends, at, side="right")
+    first = np.r_[0, ends][text]
+    begin, close = np.maximum(at - FLANK, first), np.minimum(at + LENGTH, ends[text])
+    # the distance to the text's ends is part of a context that they cut short
+    return text, at - first, mix(grams[at]), mix(h.ranges(begin, close) + (at - begin).astype(np.uint64)), of(LENGTH)[at]
+
+
+def anchors_of(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """What _anchors() gives, for texts of any length: a text over BLOCK bytes comes alone, and in blocks."""
+    n = len(data)
+    if n <= BLOCK or len(ends) > 1:
+        yield _anchors(data, ends)
+        return
+    for start in range(0, n, BLOCK):
+        low, high = max(0, start - FLANK), min(n, start + BLOCK + 2 * LENGTH)
+        text, at, *rest = _anchors(data[low:high], np.array([high - low]))
+        own = (at + low >= start) & (at + low < start + BLOCK)
+        yield text[own], at[own] + low, *(x[own] for x in rest)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """(key, at, gram, context) for (key, text): hashes of the gram and of the gram with its flanks."""
+    """(key, at, gram, context) for (key, text): hashes of the gram and, for anchors of LENGTH bytes, of its context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            keys, places, grams, contexts = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not text or len(text) * 4 < LENGTH:
-                    continue
-                h = Hashed(text.encode())
-                at, gram = h.anchors()
-                if len(at):
-                    places.append(at)
-                    grams.append(gram)
-                    # the distance to the text's ends is part of a context that they cut short
-                    start, end = np.maximum(at - FLANK, 0), np.minimum(at + LENGTH, len(h.data))
-                    contexts.append(mix(h.ranges(start, end) + (at - start).astype(np.uint64)))
-                    keys.append(np.full(len(at), key, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(contexts).view(np.int64))], ["key", "at", "gram", "context"])
+        for batch in sliced(batches, BLOCK):
+            keys = batch.column(0).to_numpy()
+            for text, at, gram, context, long in anchors_of(*_texts(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(at.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64), mask=~long)], ["key", "at", "gram", "context"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, at int, gram long, context long")
 
 
+#: Rows for the suffix array: the group; the wording; first and last window; how often the wording stands (1, or 2 for
+#: more); whether its windows are to be told; whether they are one symbol as a whole; the bytes around what is common.
+ROW = "common long, gram long, context long, lo int, hi int, copies int, told boolean, whole boolean, left binary, right binary"
+_lo, _hi = np.array(SLICES, np.int64).T
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of each range."""
+    ends = np.r_[0, np.cumsum(size)]
+    at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data[at].tobytes())])
+
+
+def _slices_of(data: np.ndarray, first: np.ndarray, end_of: np.ndarray, at: np.ndarray, gram: np.ndarray, context: np.ndarray, twice: np.ndarray) -> list[pa.Array]:
+    """The columns of ROW for wordings at places of ``data``, in texts that begin and end at others."""
+    h = Hashed(data)
+    start, end = at[:, None] - _lo, at[:, None] + LENGTH - _hi
+    row, number = np.nonzero((start >= first[:, None]) & (end <= end_of[:, None]))
+    start, end, lo, hi, gram, twice = start[row, number], end[row, number], _lo[number], _hi[number], gram[row], twice[row]
+    common = mix(h.ranges(start, end) ^ mix(gram.view(np.uint64) + number.astype(np.uint64) + np.uint64(1))).view(np.int64)
+    left, right = np.minimum(hi - lo, start - first[row]), np.minimum(hi - lo, end_of[row] - end)
+    columns = [pa.array(x) for x in (common, gram, context[row], lo.astype(np.int32), hi.astype(np.int32), (1 + twice).astype(np.int32), ~twice, np.zeros(len(row), bool))]
+    return [*columns, _gather(data, start - left, left), _gather(data, end, right)]
+
+
 def slices(docs: DataFrame) -> DataFrame:
-    """(common, gram, context, lo, hi, left, right, alone) for (key, text, wanted): each slice of each wanted context
-    whose common part lies in the text. ``alone``: the context stands once."""
-    schema = "common long, gram long, context long, lo int, hi int, alone boolean, left binary, right binary"
+    """ROW for each slice of each wanted wording whose common part lies in the text, for (key, text, wanted)."""
+    names = T._parse_datatype_string(ROW).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        names = ["common", "gram", "context", "lo", "hi", "alone", "left", "right"]
-        cols: list[list] = [[] for _ in kinds]
-        for batch in sliced(batches):
-            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = text.encode()
-                h = Hashed(data)
-                at = np.array([w["at"] for w in wanted], np.int64)
-                gram = np.array([w["gram"] for w in wanted], np.int64)
-                for number, (lo, hi) in enumerate(SLICES):
-                    start, end = at - lo, at + LENGTH - hi
-                    inside = np.flatnonzero((start >= 0) & (end <= len(data)))
-                    common = mix(h.ranges(start[inside], end[inside]) ^ mix(gram[inside].view(np.uint64) + np.uint64(number + 1))).view(np.int64)
-                    for k, c in zip(inside.tolist(), common.tolist()):
-                        a, b, w = int(start[k]), int(end[k]), wanted[k]
-                        for col, x in zip(cols, (c, w["gram"], w["context"], lo, hi, w["alone"], data[max(0, a - (hi - lo)) : a], data[b : b + hi - lo])):
-                            col.append(x)
-                    if len(cols[0]) >= ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names)
-                        cols = [[] for _ in kinds]
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names)
-
-    return docs.select("key", "text", "wanted").mapInArrow(run, schema)
+        for batch in sliced(batches, BLOCK):
+            data, ends = _texts(batch.column(1))
+            lists = batch.column(2)
+            text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            of = {k: lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("at", "gram", "context", "twice")}
+            first, end_of = np.r_[0, ends][text], ends[text]
+            at = of["at"] + first
+            order = np.argsort(at, kind="stable")
+            for k in np.split(order, np.flatnonzero(np.diff(at[order] // BLOCK)) + 1):  # stretches of a long text
+                if len(k):
+                    low, high = max(0, int(at[k[0]]) - FLANK), min(len(data), int(at[k[-1]]) + LENGTH)
+                    bounds = np.maximum(first[k] - low, 0), np.minimum(end_of[k], high) - low
+                    yield pa.RecordBatch.from_arrays(_slices_of(data[low:high], *bounds, at[k] - low, of["gram"][k], of["context"][k], of["twice"][k]), names)
+
+    return docs.select("key", "text", "wanted").mapInArrow(run, ROW)
+
+
+def finer(rows: DataFrame, step: int) -> DataFrame:
+    """The rows with their slices cut into slices of ``step`` windows: their keys hold more of the bytes."""
+    rows = rows.withColumn("a", F.explode(F.expr(f"sequence(lo, hi, {step})"))).withColumn("b", F.least(F.col("hi"), F.col("a") + (step - 1)))
+    # all windows of a new slice hold these many bytes before and after the common part
+    rows = rows.withColumn("x", F.col("a") - F.col("lo")).withColumn("y", F.col("hi") - F.col("b")).where("length(left) >= x and length(right) >= y")
+    kept = F.expr("substring(left, greatest(1, length(left) - x - (b - a) + 1), least(b - a, length(left) - x))")
+    common = F.xxhash64("common", "a", F.expr("substring(left, length(left) - x + 1, x)"), F.expr("substring(right, 1, y)"))
+    return rows.select(common.alias("common"), "gram", "context", F.col("a").alias("lo"), F.col("b").alias("hi"), "copies", "told", "whole", kept.alias("left"), F.expr("substring(right, y + 1, b - a)").alias("right"))
+
+
+#: The masks of a group of one content that stands more than once, by its windows and bytes: its suffix array has the
+#: same few symbols each time, whatever the bytes are.
+_alike = lru_cache(maxsize=4096)(lambda left, right, span: repeated_windows([(b"\0" * left, b"\0" * right, 2)], span)[0])
+
+
+def _judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(common, gram, context, first, last) of the repeated windows of a group."""
+    lo, hi, whole = group[0][3], group[0][4], group[0][7]
+    by: dict[tuple[bytes, bytes], list[tuple]] = {}
+    for row in group:
+        by.setdefault((row[8], row[9]), []).append(row)
+    span = 0 if whole else hi - lo
+    if len(by) == 1:
+        left, right = next(iter(by))
+        masks = [_alike(len(left), len(right), span) if len(group) > 1 or group[0][5] > 1 else 0]
+    else:
+        masks = repeated_windows([(left, right, min(2, sum(r[5] for r in own))) for (left, right), own in by.items()], span)
+    for own, mask in zip(by.values(), masks):
+        if mask:
+            runs = [(lo, hi)] if whole else [(lo + a, lo + b) for a, b in _runs(mask)]
+            for row in own:
+                if row[6]:
+                    for a, b in runs:
+                        yield row[0], row[1], row[2], a, b
 
 
 def covered(rows: DataFrame) -> DataFrame:
-    """(gram, context, first, last): windows that are repeated, as ranges of bytes before the gram at which they begin.
-    Rows come sorted by their common part; contents that only one context has are compared by a suffix array."""
-
-    def judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-        lo, hi = group[0][3], group[0][4]
-        by: dict[tuple[bytes, bytes], list[tuple]] = {}
-        for row in group:
-            by.setdefault((row[6], row[7]), []).append(row)
-        contents = list(by)
-        if len(contents) > 1:
-            masks = repeated_windows(contents, hi - lo)
-        else:
-            masks = [0]
-        for content, mask in zip(contents, masks):
-            own = by[content]
-            if len(own) > 1 or not own[0][5]:
-                mask = _all(content, hi - lo)
-            if mask:
-                for row in own:
-                    if row[5]:  # contexts that stand more than once are covered as a whole already
-                        for a, b in _runs(mask):
-                            yield row[1], row[2], lo + a, lo + b
+    """(common, gram, context, first, last): windows that are repeated, as ranges of bytes before the gram at which they
+    begin. The rows of a group go to one task, in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in sliced(batches):
+        for batch in sliced(batches, BYTES):
             common = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.r_[True, common[1:] != common[:-1]]) if len(common) else np.zeros(0, np.int64)
-            out: list[tuple[int, int, int, int]] = []
-            lists = None
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(common)]):
-                if b - a == 1 and 0 < a and b < len(common):
-                    continue  # alone with its common part
-                lists = lists or [c.to_pylist() for c in batch.columns]
-                part = [tuple(c[k] for c in lists) for k in range(a, b)]
-                if held and held[0][0] != part[0][0]:
-                    if len(held) > 1:
-                        out += judge(held)
+            edge = np.r_[True, common[1:] != common[:-1], True]
+            some = ~(edge[:-1] & edge[1:]) | (batch.column(5).to_numpy() > 1)
+            some[0] = some[-1] = True  # these may go on in other batches
+            out: list[tuple[int, int, int, int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.filter(pa.array(some)).columns)):
+                if held and held[0][0] != row[0]:
+                    out += _judge(held)
                     held = []
-                held += part
+                held.append(row)
             yield _ranges(out)
-        if len(held) > 1:
-            yield _ranges(list(judge(held)))
-
-    return rows.mapInArrow(run, "gram long, context long, first int, last int")
-
+        if held:
+            yield _ranges(list(_judge(held)))
 
-def _all(content: tuple[bytes, bytes], span: int) -> int:
-    """All windows that the content has bytes for."""
-    left, right = content
-    return sum(1 << k for k in range(span + 1) if k <= len(left) and span - k <= len(right))
+    # dealt by a function of the key: where a plain repartition by the key of a join is left out, a skew join may split it
+    dealt = rows.repartition(F.xxhash64("common")).sortWithinPartitions("common")
+    return dealt.mapInArrow(run, "common long, gram long, context long, first int, last int")
 
 
 def _runs(mask: int) -> Iterator[tuple[int, int]]:
@@ -302,47 +378,52 @@ def _runs(mask: int) -> Iterator[tuple[int, int]]:
         k += 1
 
 
-def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["gram", "context", "first", "last"])
+def _ranges(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["common", "gram", "context", "first", "last"])
 
 
-def by_window(rows: DataFrame) -> DataFrame:
-    """What covered() returns, for common parts with too many contents for a task: windows are counted one by one."""
-    span = F.col("hi") - F.col("lo")
-    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), span))).where((F.col("k") <= F.length("left")) & (span - F.col("k") <= F.length("right")))
-    each = each.withColumn("window", F.xxhash64("common", "k", F.expr("substring(left, length(left) - k + 1, k)"), F.expr("substring(right, 1, hi - lo - k)")))
-    twice = each.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("alone")).alias("more")).where("n > 1 or more")
-    return each.where("alone").join(checkpoint(twice.select("window")), "window").select("gram", "context", (F.col("lo") + F.col("k")).cast("int").alias("first"), (F.col("lo") + F.col("k")).cast("int").alias("last"))
+def windows(rows: DataFrame, steps: tuple[int, ...] = FINER, once: bool = False) -> DataFrame:
+    """What covered() returns, for groups of any size; ``rows`` should be written. In groups with too many rows, rows of
+    the same content are put together; those that then have too many contents are dealt anew by the next symbols.
+    ``once``: no group has a content twice."""
+    hot = checkpoint(rows.groupBy("common").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_ROWS).select("common"))
+    n = hot.count()
+    if not n:
+        return covered(rows)
+    hot = hot.hint("broadcast") if n <= BROADCAST_KEYS else hot
+    large = rows.join(hot, "common", "left_semi")
+    if once:
+        more = windows(written(finer(large, steps[0])), steps[1:])
+    else:
+        content = F.xxhash64("common", "left", "right")
+        same = large.groupBy("common", content.alias("gram")).agg(F.lit(0).cast("long").alias("context"), *(F.first(c).alias(c) for c in ("lo", "hi")), F.least(F.lit(2), F.sum("copies")).cast("int").alias("copies"), F.max("told").alias("told"), *(F.first(c).alias(c) for c in ("whole", "left", "right")))
+        found = windows(written(same.select(rows.columns)), steps, True).select(F.col("gram").alias("_content"), "first", "last")
+        more = large.where("told").join(found, content == F.col("_content")).select("common", "gram", "context", "first", "last")
+    return covered(rows.join(hot, "common", "left_anti")).unionByName(more)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(key, start, end): ranges of bytes of each (key, text) that are covered by repeated strings, not yet joined."""
-    found = anchors(docs)
-    shared = checkpoint(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("a"), F.max("context").alias("b")).where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))
-    here = checkpoint(found.join(shared, "gram"))
-    same = here.where("not mixed").select("key", (F.col("at") - FLANK).alias("start"), (F.col("at") + LENGTH).alias("end"))
-    mixed = here.where("mixed")
-    wordings = mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    wordings = checkpoint(wordings.select("gram", "context", (F.col("n") == 1).alias("alone"), "one.key", "one.at"))
-    wanted = wordings.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("gram", "context", "at", "alone")).alias("wanted"))
-    few = wordings.select("key").distinct().count() <= BROADCAST_KEYS
-    if few:
-        keys = F.broadcast(wordings.select(F.col("key").alias("_own")).distinct())
-        docs = docs.join(keys, F.col("key") == F.col("_own"), "left_semi")
+    """(key, start, end) for (key, text): ranges of bytes that are covered by repeated strings, not yet joined; and a row
+    without range for each anchor whose gram stands elsewhere too."""
+    found = written(anchors(docs))
+    shared = checkpoint(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    here = written(found.join(shared, "gram"))
+    main = here.where("context is not null")
+    wordings = main.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
+    wordings = checkpoint(wordings.select("gram", "context", (F.col("n") > 1).alias("twice"), "one.key", "one.at"))
+    none = F.lit(b"").cast("binary")
+    alike = wordings.where("twice").select(F.xxhash64("gram", "context", F.lit("whole")).alias("common"), "gram", "context", F.lit(0).alias("lo"), F.lit(FLANK).alias("hi"), F.lit(2).alias("copies"), F.lit(True).alias("told"), F.lit(True).alias("whole"), none.alias("left"), none.alias("right"))
+    others = wordings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    mixed = checkpoint(wordings.join(others, "gram", "left_semi"))
+    wanted = mixed.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("gram", "context", "at", "twice")).alias("wanted"))
+    few = mixed.select("key").distinct()
+    if few.count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(few.select(F.col("key").alias("_own"))), F.col("key") == F.col("_own"), "left_semi")
     texts = docs.dropDuplicates(["key"]).join(wanted, F.col("key") == F.col("_key")).select("key", "text", "wanted")
-    cut = checkpoint(slices(texts))
-    sizes = cut.groupBy("common").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = checkpoint(sizes)
-    some = cut.join(sizes.where(F.col("n") <= MOST_CONTENTS).select("common"), "common")
-    order = ["common", "gram", "context", "lo", "hi", "alone", "left", "right"]
-    # dealt by a function of the key: a plain repartition by the join's key is left out, and a skew join may split the key
-    windows = covered(some.select(order).repartition(F.xxhash64("common")).sortWithinPartitions("common"))
-    windows = windows.unionByName(by_window(cut.join(sizes.where(F.col("n") > MOST_CONTENTS).select("common"), "common")))
-    full = wordings.where("not alone").select("gram", "context", F.lit(0).alias("first"), F.lit(FLANK).alias("last"))
-    windows = checkpoint(windows.unionByName(full))
-    apart = mixed.join(windows, ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
-    return same.unionByName(apart)
+    found = windows(written(slices(texts).unionByName(alike)))
+    apart = main.join(written(found.drop("common")), ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
+    return apart.unionByName(here.select("key", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
 
 
 def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
@@ -363,16 +444,17 @@ def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, in
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, spans array<struct<start, end>>, kept binary): the removed byte spans and what stays of each row."""
+    """(id, n_bytes, n_shared, spans array<struct<start, end>>, kept binary): the removed byte spans, what stays of each
+    row, and the anchors whose gram stands elsewhere too."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("id", "text"))
-    ranges = repeats(docs.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    ranges = ranges.select(F.col("key").alias("_key"), "ranges")
+    ranges = repeats(docs.select("key", "text")).groupBy("key").agg(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("ranges"), F.count_if(F.col("start").isNull()).alias("shared"))
+    ranges = ranges.select(F.col("key").alias("_key"), "ranges", "shared")
     kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T._parse_datatype_string("array<struct<start:int,end:int>>")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_shared", T.LongType()), T.StructField("spans", T._parse_datatype_string("array<struct<start:int,end:int>>")), T.StructField("kept", T.BinaryType())])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, BYTES):
             sizes, spans, kept = [], [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = (text or "").encode()
@@ -380,12 +462,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in own])
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), batch.column(3), pa.array(spans, span), pa.array(kept, pa.binary())], schema.names)
 
-    return docs.join(ranges, F.col("key") == F.col("_key"), "left").select("id", "text", "ranges").mapInArrow(run, schema)
+    return docs.join(ranges, F.col("key") == F.col("_key"), "left").select("id", "text", "ranges", F.coalesce("shared", F.lit(0).cast("long")).alias("shared")).mapInArrow(run, schema)
 
 
 def op10_suffix_array(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_shared")

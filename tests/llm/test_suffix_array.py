@@ -137,7 +137,7 @@ def hard_rows():
     return rows
 
 
-@pytest.mark.parametrize("most,block", [(1_000, 1 << 20), (2, 1 << 20), (5, 300)])
+@pytest.mark.parametrize("most,block", [(128, 1 << 20), (2, 1 << 20), (5, 300)])
 def test_changed_passages(spark, monkeypatch, most, block):
     """Groups with more rows than ``most`` are dealt anew by their next symbols, down to single windows."""
     monkeypatch.setattr(suffix_array, "MOST_ROWS", most)

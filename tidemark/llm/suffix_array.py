@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,7 +49,7 @@ FINER = (5, 1)
 #: First and last window offset of each slice.
 SLICES = [(lo, min(FLANK, lo + STEP - 1)) for lo in range(0, FLANK + 1, STEP)]
 #: Rows of a group that a task holds.
-MOST_ROWS = 1_000
+MOST_ROWS = 128
 #: Keys of documents, or of groups with too many rows, that are broadcast at most: 8 bytes each.
 BROADCAST_KEYS = 2_000_000
 #: Bytes of rows that a Python worker holds at once; bytes of texts that are hashed at once.
@@ -383,6 +383,19 @@ def _ranges(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["common", "gram", "context", "first", "last"])
 
 
+def _runs_of(ranges: Column) -> Column:
+    """Ranges (first, last) of which those that touch are joined."""
+    start = F.array().cast("array<struct<first:int,last:int>>")
+
+    def add(out: Column, x: Column) -> Column:
+        old = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(old["first"].alias("first"), F.greatest(old["last"], x["last"]).alias("last"))
+        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))
+        return F.when((F.size(out) > 0) & (x["first"] <= old["last"] + 1), joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(ranges), start, add)
+
+
 def windows(rows: DataFrame, steps: tuple[int, ...] = FINER, once: bool = False) -> DataFrame:
     """What covered() returns, for groups of any size; ``rows`` should be written. In groups with too many rows, rows of
     the same content are put together; those that then have too many contents are dealt anew by the next symbols.
@@ -392,14 +405,14 @@ def windows(rows: DataFrame, steps: tuple[int, ...] = FINER, once: bool = False)
     if not n:
         return covered(rows)
     hot = hot.hint("broadcast") if n <= BROADCAST_KEYS else hot
-    large = rows.join(hot, "common", "left_semi")
+    large = written(rows.join(hot, "common", "left_semi").select(rows.columns))
     if once:
         more = windows(written(finer(large, steps[0])), steps[1:])
     else:
         content = F.xxhash64("common", "left", "right")
         same = large.groupBy("common", content.alias("gram")).agg(F.lit(0).cast("long").alias("context"), *(F.first(c).alias(c) for c in ("lo", "hi")), F.least(F.lit(2), F.sum("copies")).cast("int").alias("copies"), F.max("told").alias("told"), *(F.first(c).alias(c) for c in ("whole", "left", "right")))
-        found = windows(written(same.select(rows.columns)), steps, True).select(F.col("gram").alias("_content"), "first", "last")
-        more = large.where("told").join(found, content == F.col("_content")).select("common", "gram", "context", "first", "last")
+        found = windows(written(same.select(rows.columns)), steps, True).groupBy(F.col("gram").alias("_content")).agg(_runs_of(F.collect_set(F.struct("first", "last"))).alias("_runs"))
+        more = large.where("told").join(found, content == F.col("_content")).select("common", "gram", "context", F.inline("_runs"))
     return covered(rows.join(hot, "common", "left_anti")).unionByName(more)
 
 

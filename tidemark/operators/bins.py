@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import peri_event, theta_pairs
+from tidemark.operators.intervals import peri_event, range_join, theta_pairs
 
 
 def bin_of(x: Column, width: float, start: float = 0.0) -> Column:
@@ -108,6 +110,94 @@ def shift_predictor(a: DataFrame, b: DataFrame, at: str, trial: str, width: int,
     return out.select("lag", F.try_divide((F.col("all") - F.coalesce("own", F.lit(0))).cast("double"), (F.col("_n") * (F.col("_n") - 1)).cast("double")).alias("mean"))
 
 
+def joint_predictor(a: DataFrame, b: DataFrame, at: str, trial: str, width: int, reach: int) -> DataFrame:
+    """(lag, mean): what two trains would give by their mean rates alone: products of the mean counts of bins ``lag`` apart (a - b),
+    over the trials that either has. It is what the joint histogram of a pair is freed of."""
+    n = a.select(trial).union(b.select(trial)).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    binned = lambda df, name: df.groupBy(F.floor(F.col(at) / F.lit(width)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias(name))
+    x = binned(a, "x").withColumn("lag", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))).withColumn("_other", F.col("bin") - F.col("lag"))
+    y = binned(b, "y").withColumnRenamed("bin", "_other")
+    out = x.join(y, "_other").groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("_s")).join(F.broadcast(n))
+    return out.select("lag", (F.col("_s") / (F.col("_n") * F.col("_n"))).alias("mean"))
+
+
+def jitter_predictor(a: DataFrame, b: DataFrame, at: str, trial: str, width: int, window: int, reach: int) -> DataFrame:
+    """(lag, expected): pairs by lag when each event of ``a`` moves to any bin of its window of ``window`` bins with equal
+    chance: the mean of all jittered trains, without drawing any. Counts of a window are spread over its bins."""
+    binned = lambda df, size, name: df.groupBy(trial, F.floor(F.col(at) / F.lit(size)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias(name))
+    start = F.col("bin") * window
+    x = binned(a, width * window, "x").withColumn("_at", F.explode(F.sequence(start, start + (window - 1))))
+    x = x.withColumn("lag", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")))).withColumn("_other", F.col("_at") - F.col("lag"))
+    y = binned(b, width, "y").withColumnRenamed("bin", "_other")
+    return x.join(y, [trial, "_other"]).groupBy("lag").agg((F.sum(F.col("x") * F.col("y")) / F.lit(float(window))).alias("expected"))
+
+
+def jittered(df: DataFrame, at: str, keys: list[str], window: int, rounds: int, seed: int = 0) -> DataFrame:
+    """(round, keys, at): trains with each event drawn anew in its window, ``rounds`` times. Draws go by a hash of round and event,
+    so they are the same on every run and in every partition."""
+    draw = F.pmod(F.xxhash64("round", F.lit(seed), *keys, at), F.lit(window))
+    return df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn(at, F.col(at) - F.pmod(F.col(at), F.lit(window)) + draw)
+
+
+def correlogram_band(a: DataFrame, b: DataFrame, at: str, keys: list[str], reach: int, width: int, window: int, rounds: int = 100, share: float = 0.95, seed: int = 0) -> DataFrame:
+    """(lag, n, low, high): the correlogram and the band that holds ``share`` of those of jittered trains."""
+    own = correlogram(a, b, at, keys, reach, width)
+    drawn = jittered(a.select(*keys, at), at, keys, window, rounds, seed)
+    pairs = theta_pairs(drawn.withColumnRenamed(at, "_a"), b.select(*keys, F.col(at).alias("_b")), "_a", "_b", reach, keys)
+    lag = F.floor((F.col("_a") - F.col("_b") + F.lit(width / 2)) / F.lit(width)).cast("long")
+    counts = pairs.groupBy("round", lag.alias("lag")).agg(F.count(F.lit(1)).alias("n"))
+    # rounds without a pair at a lag have none in the list of counts: they are zeros
+    full = F.concat(F.collect_list("n"), F.array_repeat(F.lit(0).cast("long"), (F.lit(rounds) - F.count(F.lit(1))).cast("int")))
+    ranked = counts.groupBy("lag").agg(F.array_sort(full).alias("_n"))
+    place = lambda q: F.lit(max(1, min(rounds, round(q * rounds))))
+    band = ranked.select("lag", F.element_at("_n", place((1 - share) / 2)).alias("low"), F.element_at("_n", place((1 + share) / 2)).alias("high"))
+    return own.join(band, "lag", "full").select("lag", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "low", "high")))
+
+
+def interval_jackknife(df: DataFrame, at: str, trial: str, width: int, stop: int) -> DataFrame:
+    """(bin, n, error): counts of intervals within trials in bins centred on multiples of ``width``, and the jackknife error over
+    trials; it is null for four trials or fewer."""
+    near = F.floor((F.col("isi") + F.lit(width / 2)) / F.lit(width)).cast("long")
+    own = intervals(df, at, [trial])
+    each = own.where(F.col("isi") <= stop).groupBy(trial, near.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    trials = df.select(trial).distinct().agg(F.count(F.lit(1)).alias("_t"))
+    sums = each.groupBy("bin").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("_q")).join(F.broadcast(trials))
+    # leaving out trial i gives (n - c_i) / (t - 1): their spread is that of the counts
+    spread = (F.col("_q") - F.col("n") * F.col("n") / F.col("_t")) / (F.col("_t") * (F.col("_t") - 1))
+    return sums.select("bin", "n", F.when(F.col("_t") > 4, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("error"))
+
+
+def interval_bins(df: DataFrame, at: str, by: list[str]) -> DataFrame:
+    """(by, bins, longest): the number of bins for a histogram of intervals: a thirtieth of their number, times longest over
+    median, ten at least."""
+    own = intervals(df, at, by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("isi").alias("longest"), F.percentile("isi", F.lit(0.5)).alias("_median"))
+    n = F.floor(F.floor(F.col("_n") / 30) * F.try_divide(F.col("longest").cast("double"), F.col("_median")))
+    return own.select(*by, F.greatest(F.coalesce(n, F.lit(0)), F.lit(10)).cast("long").alias("bins"), "longest")
+
+
+def _mean_rate(df: DataFrame, at: str, grid: DataFrame, point: str, sigma: Column, reach: Column, width: int, trials: int) -> DataFrame:
+    spans = grid.withColumn("_sigma", sigma).withColumn("_from", (F.col(point) - reach).cast("long")).withColumn("_to", (F.col(point) + reach).cast("long"))
+    pairs = range_join(df.select(at), spans.where("_sigma is not null"), at, "_from", "_to", width, closed="both")
+    bell = F.exp(-F.pow((F.col(at) - F.col(point)) / F.col("_sigma"), 2) / 2) / (F.col("_sigma") * (2 * math.pi) ** 0.5)
+    sums = pairs.groupBy(point).agg((F.sum(bell) / trials).alias("_rate"))
+    return spans.join(sums, point, "left").select(point, "_sigma", F.coalesce("_rate", F.lit(0.0)).alias("rate"))
+
+
+def trial_rate(df: DataFrame, at: str, grid: DataFrame, point: str, sigma: float, trials: int, adaptive: bool = False, reach: float = 4.0) -> DataFrame:
+    """(point, rate, error): mean over trials of Gaussians of ``sigma`` at the events, with the Poisson error sqrt(rate / (2 trials
+    sigma sqrt(pi))). ``adaptive``: once more with a sigma for each point, the mean rate over its rate times sigma; points of
+    no rate keep the first."""
+    first = _mean_rate(df, at, grid, point, F.lit(float(sigma)), F.lit(reach * sigma), max(1, int(2 * reach * sigma)), trials)
+    if adaptive:
+        mean = first.agg(F.avg("rate").alias("_mean"))  # one row
+        own = first.join(F.broadcast(mean)).withColumn("_own", F.coalesce(F.try_divide(F.col("_mean") * F.lit(float(sigma)), F.col("rate")), F.lit(float(sigma))))
+        # beyond what the whole grid spans a wider bell is flat there
+        span = grid.agg((F.max(point) - F.min(point)).cast("double").alias("_span"))
+        own = own.join(F.broadcast(span)).withColumn("_own", F.least("_own", F.greatest("_span", F.lit(float(sigma)))))
+        first = _mean_rate(df, at, own.select(point, "_own"), point, F.col("_own"), reach * F.col("_own"), max(1, int(2 * reach * sigma)), trials)
+    return first.select(point, "rate", F.sqrt(F.col("rate") / (F.col("_sigma") * (2 * trials * math.pi**0.5))).alias("error"))
+
+
 def kernel_rate(df: DataFrame, at: str, grid: DataFrame, point: str, sigma: float, reach: float = 4.0) -> DataFrame:
     """Sum of Gaussians of ``sigma`` at each grid point, from events within ``reach`` sigmas."""
     pairs = peri_event(df, grid, at, point, int(reach * sigma), int(reach * sigma), closed="both")

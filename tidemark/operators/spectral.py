@@ -149,6 +149,44 @@ def coherence(df: DataFrame, keys: list[str], x: str, y: str, p: Taper, level: f
     return s.select(*keys, "f", c.alias("c"), F.atan2("im", "re").alias("phase"), "trials", limit.alias("limit"))
 
 
+def coherence_matrix(df: DataFrame, keys: list[str], trial: str, channel: str, samples: str, p: Taper) -> DataFrame:
+    """(keys, a, b, f, c, phase, trials) of all pairs of channels a < b of the same trials. Each channel is transformed once;
+    pairs meet by (trial, f), so neither a trial's channels nor all trials come together in a task."""
+    parts = _each(df, [*keys, trial, channel], [samples], "f double, re array<double>, im array<double>", lambda x: (p.grid(len(x))[0], list((j := transforms(x, p)).real), list(j.imag)))
+    a = parts.select(*keys, trial, "f", F.col(channel).alias("a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
+    b = parts.select(*keys, trial, "f", F.col(channel).alias("b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    pairs = a.join(b, [*keys, trial, "f"]).where("a < b")
+    sums = {"re": dot("ra", "rb") + dot("ia", "ib"), "im": dot("ra", "ib") - dot("ia", "rb"), "sa": dot("ra", "ra") + dot("ia", "ia"), "sb": dot("rb", "rb") + dot("ib", "ib")}
+    s = pairs.groupBy(*keys, "a", "b", "f").agg(*(F.sum(v).alias(k) for k, v in sums.items()), F.count(F.lit(1)).alias("trials"))
+    c = F.try_divide(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.sqrt(F.col("sa") * F.col("sb")))
+    return s.select(*keys, "a", "b", "f", c.alias("c"), F.atan2("im", "re").alias("phase"), "trials")
+
+
+def jackknife_coherence(df: DataFrame, keys: list[str], x: str, y: str, p: Taper, level: float = 0.05) -> DataFrame:
+    """(keys, f, c, low, high): interval from z = sqrt(2 n - 2) atanh(c) without one of the n tapers of trials each. What leaves
+    one out comes from the totals."""
+
+    def one(u: np.ndarray, v: np.ndarray):
+        j, k = transforms(u, p), transforms(v, p)
+        cross = (j.conj() * k).ravel()
+        return np.repeat(p.grid(len(u))[0], p.k), cross.real, cross.imag, (np.abs(j) ** 2).ravel(), (np.abs(k) ** 2).ravel()
+
+    from tidemark.functions.distributions import student_quantile
+
+    names = ("re", "im", "sx", "sy")
+    each = _each(df, keys, [x, y], "f double, re double, im double, sx double, sy double", one)
+    total = each.groupBy(*keys, "f").agg(*(F.sum(c).alias(f"_{c}") for c in names), F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = lambda re, im, sx, sy: F.try_divide(F.sqrt(re**2 + im**2), F.sqrt(sx * sy))
+    z = lambda c: F.sqrt(2 * F.col("n") - 2) * F.atanh(F.least(c, F.lit(1 - 1e-15)))
+    left = each.join(total, [*keys, "f"]).withColumn("_z", z(size(*(F.col(f"_{c}") - F.col(c) for c in names))))
+    out = left.groupBy(*keys, "f").agg(*(F.first(f"_{c}").alias(f"_{c}") for c in names), F.first("n").alias("n"), F.stddev_pop("_z").alias("_sd"))
+    out = out.withColumn("c", size(*(F.col(f"_{c}") for c in names)))
+    reach = student_quantile(F.lit(1 - level / 2), 2 * F.col("n") - 1) * F.sqrt(F.col("n") - 1) * F.col("_sd")
+    back = lambda v: F.tanh(v / F.sqrt(2 * F.col("n") - 2))
+    return out.select(*keys, "f", "c", F.greatest(back(z(F.col("c")) - reach), F.lit(0.0)).alias("low"), back(z(F.col("c")) + reach).alias("high"))
+
+
 def jackknife_spectrum(df: DataFrame, keys: list[str], samples: str, p: Taper, level: float = 0.05) -> DataFrame:
     """(keys, f, s, low, high): interval from the logarithms of the means without one taper of one trial. The sums that
     leave one out come from the total, so each part is looked at once."""

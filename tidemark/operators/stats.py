@@ -146,3 +146,16 @@ def count_test(df: DataFrame, count: str, is_first: Column, by: list[str]) -> Da
     """(by, z): abs(X - Y) / sqrt(X + Y) over the totals of two conditions."""
     x, y = F.sum(F.when(is_first, F.col(count)).otherwise(0)), F.sum(F.when(~is_first, F.col(count)).otherwise(0))
     return df.groupBy(*by).agg(F.try_divide(F.abs(x - y).cast("double"), F.sqrt((x + y).cast("double"))).alias("z"))
+
+
+def pooled_groups(df: DataFrame, value: str, group: str, weights: dict, by: list[str] | None = None) -> DataFrame:
+    """(by, estimate, se, dof, t): a weighted contrast of the groups' means with the variance pooled over all groups, from
+    counts, sums and squares. Groups without a weight count for the variance alone."""
+    by = by or []
+    g = df.where(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0)).alias("q"))
+    w = F.lit(0.0)
+    for k, v in weights.items():
+        w = F.when(F.col(group) == F.lit(k), F.lit(float(v))).otherwise(w)
+    s = g.withColumn("w", w).groupBy(*by).agg(F.sum(F.col("w") * F.col("m")).alias("estimate"), F.sum(F.col("w") * F.col("w") / F.col("n")).alias("_v"), F.sum("q").alias("_q"), (F.sum("n") - F.count(F.lit(1))).alias("dof"))
+    se = F.sqrt(F.try_divide("_q", F.col("dof").cast("double")) * F.col("_v"))
+    return s.select(*by, "estimate", se.alias("se"), "dof", F.try_divide(F.col("estimate"), se).alias("t"))

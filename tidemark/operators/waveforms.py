@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _long(df: DataFrame, wave: str, *keep: str) -> DataFrame:
@@ -45,6 +50,45 @@ def nearest_centroid(df: DataFrame, key: str, wave: str, cluster: str, most_clus
     return ranked.select(key, F.col("_best.cluster").alias("cluster"), F.col("_best.d").alias("distance"))
 
 
+def knn_vote(queries: DataFrame, labelled: DataFrame, key: str, features: str, label: str, k: int, most: float | None = None, block: int = 256) -> DataFrame:
+    """(key, label, votes) of each query: the label of most of its k nearest labelled rows (squared distance, at most ``most``), of equal
+    numbers the least label. All queries are compared with all labelled rows of other keys: queries go by blocks of ``block``
+    rows, sent once to each part of the labelled rows, whose own k nearest are then merged by key."""
+    parts = labelled.select(F.col(key).alias("_key"), F.col(features).cast("array<double>").alias("_f"), F.col(label).alias("_label")).where("_f is not null and _label is not null")
+    asked = queries.select(F.col(key).alias("_q"), F.col(features).cast("array<double>").alias("_x")).where("_x is not null")
+    q_blocks = max(1, -(-asked.count() // block))
+    l_blocks = max(1, -(-parts.count() // (16 * block)))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.withColumn("_i", spread("_q", q_blocks)).withColumn("_j", every(l_blocks)).groupBy("_i", "_j")
+    b = parts.withColumn("_j", spread("_key", l_blocks)).withColumn("_i", every(q_blocks)).groupBy("_i", "_j")
+    schema = T.StructType([T.StructField("_q", queries.schema[key].dataType), T.StructField("_d", T.DoubleType()), T.StructField("_key", labelled.schema[key].dataType), T.StructField("_label", labelled.schema[label].dataType)])
+
+    def near(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.combine_chunks(), y.combine_chunks()
+        asker, given = [], []
+        distance: list[float] = []
+        if x.num_rows and y.num_rows:
+            p, q = np.stack(x.column("_x").to_numpy()), np.stack(y.column("_f").to_numpy())
+            own, keys = x.column("_q").to_numpy(), y.column("_key").to_numpy()
+            for i in range(len(p)):
+                d = ((q - p[i]) ** 2).sum(1)
+                ok = np.flatnonzero((keys != own[i]) & (d <= (np.inf if most is None else most)))
+                order = ok[np.lexsort((keys[ok], d[ok]))][:k]
+                asker += [i] * len(order)
+                given += order.tolist()
+                distance += d[order].tolist()
+        at, of = pa.array(asker, pa.int64()), pa.array(given, pa.int64())
+        return pa.table([x.column("_q").take(at), pa.array(distance, pa.float64()), y.column("_key").take(of), y.column("_label").take(of)], schema.names)
+
+    found = a.cogroup(b).applyInArrow(near, schema)
+    first = Window.partitionBy("_q").orderBy("_d", "_key")
+    nearest = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    votes = nearest.groupBy("_q", "_label").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("_q").agg(F.max("votes").alias("votes"))
+    return best.join(votes, ["_q", "votes"]).groupBy(F.col("_q").alias(key), "votes").agg(F.min("_label").alias(label))
+
+
 def top_features(df: DataFrame, wave: str, k: int) -> DataFrame:
     """The k samples of largest variance."""
     return _long(df, wave).groupBy("k").agg(F.var_samp("v").alias("variance")).orderBy(F.desc("variance")).limit(k)
@@ -70,21 +114,21 @@ def keep_after_refractory(df: DataFrame, at: str, keys: list[str], gap: int) ->
     """Events of each key more than ``gap`` after the last kept one, as ``at`` and the keys.
 
     Greedy, so no window frame has it: stretches between pauses longer than the gap are independent, and each is walked
-    in order. The group of a task is one such stretch, not a whole channel."""
+    in order; they are dealt to tasks, not whole channels."""
     w = Window.partitionBy(*keys).orderBy(at)
     parts = df.select(*keys, at).withColumn("_new", F.when(F.col(at) - F.lag(at).over(w) > gap, 1).otherwise(0))
-    parts = parts.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = parts.withColumn("_part", F.xxhash64(*keys, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     schema = df.select(*keys, at).schema
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        times, kept, last = group[at].sort_values().to_numpy(), [], None
-        for t in times:
-            if last is None or t - last > gap:
-                kept.append(t)
-                last = t
-        out = pd.DataFrame({at: kept})
-        for k in keys:
-            out[k] = group[k].iloc[0]
-        return out[[*keys, at]]
-
-    return parts.groupBy(*keys, "_part").applyInPandas(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = last = None
+        for batch in batches:
+            kept = []
+            for p, t in zip(batch.column(len(keys) + 1).to_pylist(), batch.column(len(keys)).to_pylist()):
+                kept.append(p != part or t - last > gap)
+                if kept[-1]:
+                    part, last = p, t
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(keys) + 1], schema.names).filter(pa.array(kept, pa.bool_()))
+
+    dealt = parts.select(*keys, at, "_part").repartition("_part").sortWithinPartitions("_part", at)
+    return dealt.mapInArrow(walk, schema)

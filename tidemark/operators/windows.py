@@ -94,6 +94,43 @@ def opening(df: DataFrame, value: str, keys: list[str], order: list[str], side:
     return df.withColumn("_low", F.min(value).over(w)).withColumn("opened", F.max("_low").over(w)).drop("_low")
 
 
+def closing(df: DataFrame, value: str, keys: list[str], order: list[str], side: int) -> DataFrame:
+    """Morphological closing: rolling maximum, then rolling minimum."""
+    w = _by(keys, order).rowsBetween(-side, side)
+    return df.withColumn("_high", F.max(value).over(w)).withColumn("closed", F.min("_high").over(w)).drop("_high")
+
+
+def smoothed(df: DataFrame, value: str, keys: list[str], order: list[str], side: int) -> DataFrame:
+    """Moving average over ``side`` rows on both sides, with the first and last values repeated beyond the ends."""
+    all_rows = _by(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = _by(keys, order).rowsBetween(-side, side)
+    before = F.greatest(F.lit(0), F.lit(side + 1) - F.row_number().over(_by(keys, order)))
+    after = F.lit(2 * side + 1) - before - F.count(F.lit(1)).over(near)
+    total = F.sum(value).over(near) + before * F.first(value).over(all_rows) + after * F.last(value).over(all_rows)
+    return df.withColumn("smooth", total / F.lit(2 * side + 1))
+
+
+def running_line(df: DataFrame, value: str, keys: list[str], index: str, length: int, step: int) -> DataFrame:
+    """Adds ``line``: lines fitted by least squares in windows of ``length`` rows every ``step``, blended with tricube weights.
+    ``index`` counts the rows of the keys from 0 without gaps. Rows beyond the last window get its line."""
+    ends = df.groupBy(*keys).agg((F.max(index) + 1).alias("_rows"))
+    # windows begin at 0, step, ... and lie within the rows; the last one is the longest that fits
+    last = F.greatest(F.ceil((F.col("_rows") - length) / F.lit(step)) - 1, F.lit(0))
+    rows = df.join(ends, keys).withColumn("_last", last.cast("long"))
+    low = F.greatest(F.floor((F.col(index) - length) / F.lit(step)).cast("long") + 1, F.lit(0).cast("long"))
+    high = F.least(F.floor(F.col(index) / F.lit(step)).cast("long"), F.col("_last"))
+    inside = rows.where(low <= high).withColumn("_w", F.explode(F.sequence(low, high))).withColumn("_j", F.col(index) - F.col("_w") * step + 1)
+    fit = inside.groupBy(*keys, "_w").agg(F.avg(value).alias("_y1"), (F.avg(F.col("_j") * F.col(value)) * 2 / (length + 1)).alias("_y2"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == length)
+    fit = fit.withColumn("_a", (F.col("_y2") - F.col("_y1")) * (6 / (length - 1))).withColumn("_b", F.col("_y1") - F.col("_a") * ((length + 1) / 2))
+    weight = F.pow(1 - F.pow(F.abs((F.col("_j") - length / 2) / (length / 2)), 3), 3)
+    blended = inside.select(*keys, index, "_w", "_j").join(fit, [*keys, "_w"]).groupBy(*keys, index).agg(F.sum(weight).alias("_sw"), F.sum(weight * (F.col("_j") * F.col("_a") + F.col("_b"))).alias("_sl"))
+    tail = fit.withColumnRenamed("_w", "_last").select(*keys, "_last", "_a", "_b")
+    out = rows.join(tail, [*keys, "_last"], "left").join(blended, [*keys, index], "left")
+    beyond = (F.col(index) - F.col("_last") * step + 1) * F.col("_a") + F.col("_b")
+    line = F.when(F.col(index) >= F.col("_last") * step + length - 1, beyond).otherwise(F.coalesce(F.try_divide("_sl", "_sw"), F.lit(0.0)))
+    return out.withColumn("line", line).select(*df.columns, "line")
+
+
 def running_count(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("count", F.count(F.lit(1)).over(_by(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 

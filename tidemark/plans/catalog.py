@@ -605,10 +605,11 @@ def design_matrix(spark, sf_dir):
     return models.design(v, "user_id", "event_type", "on", "off", 720, [0.2, 0.5, 0.3]).select("user_id", "event_type", "volume", r("x", 6).alias("x"))
 
 
-def _register_numeric() -> None:
-    from tidemark.plans import numeric
+def _register_others() -> None:
+    """The queries of the other modules: fields adds its own with query(), numeric has those without SQL."""
+    from tidemark.plans import fields, numeric  # noqa: F401
 
     QUERIES.update(numeric.QUERIES)
 
 
-_register_numeric()
+_register_others()

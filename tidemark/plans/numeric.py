@@ -66,6 +66,20 @@ def click_view_coherence(spark, sf_dir):
     return spectral.coherence(channels(spark, sf_dir, a).join(y, "user_id").select(F.lit("all").alias("group"), "samples", "other"), ["group"], "samples", "other", DAILY)
 
 
+@query
+def coherence_matrix(spark, sf_dir):
+    """Coherence of all pairs of event types, users being trials."""
+    rows = hourly(spark, sf_dir).groupBy("user_id", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))
+    rows = rows.select("user_id", "event_type", F.transform(F.sequence(F.lit(0), F.lit(HOURS - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("samples"))
+    return spectral.coherence_matrix(rows.withColumn("group", F.lit("all")), ["group"], "user_id", "event_type", "samples", Taper(fs=24.0, tw=3.0, k=5, high=2.0))
+
+
+@query
+def coherence_jackknife(spark, sf_dir):
+    x = channels(spark, sf_dir, "click").select("user_id", "samples").join(channels(spark, sf_dir, "view").select("user_id", F.col("samples").alias("other")), "user_id")
+    return spectral.jackknife_coherence(x.select(F.lit("all").alias("group"), "samples", "other"), ["group"], "samples", "other", DAILY)
+
+
 @query
 def event_point_spectrum(spark, sf_dir):
     e = table(spark, sf_dir, "events")

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.operators import bins, fields, spectral, waveforms, windows
+from tidemark.operators import bins, fields, spectral, stats, waveforms, windows
 from tidemark.operators.spectral import Taper
 
 
@@ -90,3 +90,26 @@ def test_coherence_matrix_and_interval(spark):
         z, t = np.sqrt(2 * n - 2) * np.arctanh(mid), 2.0010  # 59 degrees of freedom
         assert abs(r.c - mid) < 1e-9
         assert abs(r.low - max(0, np.tanh((z - t * sd) / np.sqrt(2 * n - 2)))) < 1e-4 and abs(r.high - np.tanh((z + t * sd) / np.sqrt(2 * n - 2))) < 1e-4
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_sums_and_ranks_over_ranges(spark, monkeypatch, most):
+    """Keys with too many rows for a task are cut into ranges; nulls are a key."""
+    monkeypatch.setattr(stats, "WINDOW_ROWS", most)
+    rng = np.random.default_rng(2)
+    rows = [(k, i, int(v)) for k in ("a", "b", None) for i, v in enumerate(rng.integers(0, 9, 300))]
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(5)
+    got = {(r.k, r.i): r.s for r in stats.running_sum(df, ["k"], "i", "v", "s").collect()}
+    want = {}
+    for k, i, v in rows:
+        want[(k, i)] = want.get((k, i - 1), 0) + v
+    assert got == want
+    assert {r.i: r.s for r in stats.running_sum(df.where("k = 'a'").drop("k"), [], "i", "v", "s").collect()} == {i: s for (k, i), s in want.items() if k == "a"}
+    p = np.sort(rng.random(500) ** 3)
+    ps = spark.createDataFrame([(float(x),) for x in p], "p double")
+    best = max([x for i, x in enumerate(p) if x * 500 / (i + 1) <= 0.05], default=p[0] / 2.001)
+    assert abs(stats.fdr(ps, "p", [], 0.05).first().threshold - best) < 1e-12
+    y, x = rng.integers(0, 2, 400), rng.integers(0, 30, 400)
+    roc = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)], "x long, y long")
+    pairs = [(a > b) + 0.5 * (a == b) for a in x[y == 1] for b in x[y == 0]]
+    assert abs(stats.roc_area(roc, "x", "y", []).first().area - np.mean(pairs)) < 1e-12

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import checkpoint
+
+#: Rows of a key that are ordered in one task at most.
+WINDOW_ROWS = 1_000_000
+
 
 def _zero(x: Column) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.lit(0.0))
@@ -91,22 +96,49 @@ def jackknife_mean(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return pseudo.groupBy(*by).agg(F.avg("_p").alias("estimate"), F.sqrt(F.try_divide(F.var_samp("_p"), F.count("_p").cast("double"))).alias("sd"))
 
 
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same keys up to each row's ``order``, of which a key has each value once.
+
+    Up to WINDOW_ROWS rows of a key that is a window. Beyond, rows are cut into ranges of (by, order), summed in each range,
+    and the sums of the ranges before are added, so no key's rows meet in one task."""
+    most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if most <= WINDOW_ROWS:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = checkpoint(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy("_range", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("_range", *by).agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    sums = sums.select(F.col("_range").alias("_r"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(by)), "_before")
+    on = cut["_range"] == sums["_r"]
+    for i, k in enumerate(by):
+        on = on & cut[k].eqNullSafe(sums[f"_k{i}"])
+    return cut.withColumn("_own", F.sum(value).over(own)).join(sums, on).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
+def _with_totals(df: DataFrame, by: list[str], **sums: str) -> DataFrame:
+    """The rows with sums over their keys, joined on from sums in parts."""
+    t = df.groupBy(*(F.col(k).alias(f"_t{i}") for i, k in enumerate(by))).agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    if not by:
+        return df.join(F.broadcast(t))  # one row
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & df[k].eqNullSafe(t[f"_t{i}"])
+    return df.join(t, on).drop(*(f"_t{i}" for i in range(len(by))))
+
+
 def fdr(df: DataFrame, p: str, by: list[str], level: float, dependent: bool = False) -> DataFrame:
     """(by, threshold): the largest p_i with p_i n / i <= level over sorted p, with level / (ln n + 0.5772) if dependent;
     p_1 / 2.001 if there is none. Ties share the last of their ranks; counts come from distinct p, not from a global sort."""
-    w = Window.partitionBy(*by)
     counts = df.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_k"))
-    ranked = counts.withColumn("_i", F.sum("_k").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_k").over(w))
+    ranked = _with_totals(running_sum(counts, by, "_p", "_k", "_i"), by, _n="_k")
     q = F.lit(level) / (F.log("_n") + 0.5772) if dependent else F.lit(level)
     return ranked.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_p") * F.col("_n") / F.col("_i") <= q, F.col("_p"))), F.min("_p") / 2.001).alias("threshold"))
 
 
 def roc_area(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, area) by ranks, ties averaged."""
-    w = Window.partitionBy(*by)
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.col(label)).alias("_p"), F.sum(1 - F.col(label)).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_q") / F.lit(2.0)))
+    won = running_sum(counts, by, "_s", "_q", "_to").withColumn("_won", F.col("_p") * (F.col("_to") - F.col("_q") / F.lit(2.0)))
     return won.groupBy(*by).agg(F.try_divide(F.sum("_won"), (F.sum("_p") * F.sum("_q")).cast("double")).alias("area"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.checkpoints import checkpoint
+from tidemark.operators.stats import running_sum
 
 MOST_CLUSTERS = 10_000
 #: Rows of a block that is compared with another.
@@ -110,15 +111,15 @@ def mahalanobis(df: DataFrame, features: str, cluster: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(shapes)  # MOST_CLUSTERS at most
 
     def batch(x: pd.Series, c: pd.Series) -> pd.Series:
-        out = []
-        for v, k in zip(x, c):
-            if v is None or k not in sent.value:
-                out.append(None)
-                continue
-            m, s = sent.value[k]
-            d = np.asarray(v, float) - m
-            out.append(float(d @ s @ d))
-        return pd.Series(out, dtype=float)
+        out = np.full(len(x), np.nan)
+        known = x.notna().to_numpy()
+        for k, rows in c.groupby(c).indices.items():
+            rows = rows[known[rows]]
+            if k in sent.value and len(rows):
+                m, s = sent.value[k]
+                d = np.stack(x.iloc[rows].to_numpy()).astype(float) - m
+                out[rows] = np.einsum("ij,jk,ik->i", d, s, d, optimize=True)
+        return pd.Series(out)
 
     batch.__annotations__ = {"x": pd.Series, "c": pd.Series, "return": pd.Series}
     return df.withColumn("distance", F.pandas_udf(batch, "double")(F.col(features).cast("array<double>"), F.col(cluster)))
@@ -177,8 +178,10 @@ def missed_share(df: DataFrame, height: str, by: list[str], threshold: float) ->
 def censored_share(df: DataFrame, at: str, by: list[str], dead: float, span: float) -> DataFrame:
     """(by, censored): share of the time that other units' detections keep blind, dead time times their rate."""
     n = df.groupBy(*by[:-1], by[-1]).agg(F.count(at).alias("n"))
-    w = Window.partitionBy(*by[:-1]) if by[:-1] else Window.partitionBy(F.lit(0))
-    return n.select(*by, F.least(F.lit(1.0), (F.sum("n").over(w) - F.col("n")) * dead / span).alias("censored"))
+    rest = by[:-1]
+    total = n.groupBy(*rest).agg(F.sum("n").alias("_all"))
+    both = n.join(total, rest) if rest else n.join(F.broadcast(total))  # one row
+    return both.select(*by, F.least(F.lit(1.0), (F.col("_all") - F.col("n")) * dead / span).alias("censored"))
 
 
 def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int = 10, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
@@ -247,8 +250,8 @@ def rank_sum(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
             cond = cond & (F.col(k) == F.col(f"_{k}"))
         parts.append(pairs.join(c, cond).select(*by, "a", "b", "v", F.when(F.lit(side == "a"), F.col("n")).otherwise(0).alias("na"), F.when(F.lit(side == "b"), F.col("n")).otherwise(0).alias("nb")))
     v = parts[0].unionByName(parts[1]).groupBy(*by, "a", "b", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    below = F.coalesce(F.sum(F.col("na") + F.col("nb")).over(Window.partitionBy(*by, "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = v.withColumn("_rank", below + (F.col("na") + F.col("nb") + 1) / 2.0)
+    v = running_sum(v.withColumn("_own", F.col("na") + F.col("nb")), [*by, "a", "b"], "v", "_own", "_to")
+    r = v.withColumn("_rank", F.col("_to") - F.col("_own") + (F.col("_own") + 1) / 2.0)
     s = r.groupBy(*by, "a", "b").agg(F.sum(F.col("na") * F.col("_rank")).alias("w"), F.sum("na").alias("n"), F.sum("nb").alias("m"))
     mean, spread = F.col("n") * (F.col("n") + F.col("m") + 1) / 2.0, F.sqrt(F.col("n") * F.col("m") * (F.col("n") + F.col("m") + 1) / 12.0)
     return s.select(*by, "a", "b", F.coalesce(F.try_divide(F.col("w") - mean, spread), F.lit(0.0)).alias("z"))

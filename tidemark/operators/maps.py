@@ -39,7 +39,8 @@ def formula(text: str, columns: dict[str, str]) -> Column:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of (a, b) is connected with. Labels spread to neighbours and jump to
     their own label's label, so rounds grow with the logarithm of a component's length; each is checkpointed."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpoint(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("label")))
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))

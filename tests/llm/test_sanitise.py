@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -75,21 +76,39 @@ def corpus():
     return rows
 
 
-def brute_disclosure(rows, reach=8, threshold=0.8, support=3):
-    n = len(rows)
-    contexts = {}
-    for _, text in rows:
-        for a, b, kind in brute_spans(text):
-            left, right = re.findall(r"\w+", text[:a].lower())[-reach:], re.findall(r"\w+", text[b:].lower())[:reach]
-            contexts.setdefault((kind, text[a:b].lower()), {})[(tuple(left), tuple(right))] = {t for t in left + right if re.search("[a-z]", t)}
+def classes(kind, value):
+    return [(kind, value.lower())] + ([("domain", value.lower().split("@")[1])] if kind == "email" else []) + [("kind", kind)]
+
+
+def brute_disclosure(rows, reach=8, threshold=0.5, support=2):
+    """{(entity, term)} by the formula, over distinct texts."""
+    texts = sorted({t for _, t in rows if t is not None})
+    n, n_t, seen = len({t for _, t in rows}), Counter(), {}
+    for x, text in enumerate(texts):
+        n_t.update(set(re.findall(r"\w+", text.lower())))
+        spans = brute_spans(text)
+        plain = list(text)
+        for a, b, _ in spans:
+            plain[a:b] = " " * (b - a)
+        plain = "".join(plain)
+        for a, b, kind in spans:
+            left, right = re.findall(r"\w+", plain[:a].lower())[-reach:], re.findall(r"\w+", plain[b:].lower())[:reach]
+            for e in classes(kind, text[a:b]):
+                seen.setdefault(e, []).append((x, (tuple(left), tuple(right))))
     out = set()
-    for e, seen in contexts.items():
-        for t in {t for x in seen.values() for t in x}:
-            n_te, n_e = sum(t in x for x in seen.values()), len(seen)
-            n_t = sum(t in re.findall(r"\w+", (text or "").lower()) for _, text in rows)
-            if n_te >= support and n_e >= support:
-                info = math.log(n / min(n_e, n))
-                if info > 0 and math.log(n_te * n / (max(n_t, n_te) * n_e)) / info >= threshold:
+    for e, contexts in seen.items():
+        by = {}
+        for x, c in contexts:
+            for t in {*c[0], *c[1]}:
+                by.setdefault(t, []).append((x, c))
+        n_e = len({x for x, _ in contexts})
+        if len({c for _, c in contexts}) < support:
+            continue
+        for t, own in by.items():
+            n_te = len({x for x, _ in own})
+            if len({c for _, c in own}) >= support and re.search(r"[^\W\d_]", t):
+                info = math.log(n / n_e)
+                if info > 0 and math.log(n_te * n / (max(n_t[t], n_te) * n_e)) / info >= threshold:
                     out.add((e, t))
     return out
 
@@ -103,10 +122,42 @@ def test_disclosing_terms(spark, monkeypatch, most):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.entity, r.term) for r in sanitise.disclosing(df).collect()}
     assert got == {(sanitise.hashed(*e), t) for e, t in want}
-    for out in (sanitise.sanitise(df), sanitise.sanitised(df)):
+    # other columns may have any name
+    odd = df.selectExpr("*", "1 as _key", "2 as own", "3 as _own_pairs", "4 as key", "5 as row", "6 as entity", "7 as term")
+    for out in (sanitise.sanitise(df), sanitise.sanitised(odd)):
         clean = {r.doc_id: r.text for r in out.collect()}
         assert clean[200] == rows[-1][1]  # without the entity the term says nothing
         assert "zephyrine" not in clean[100] and "jo.smith" not in clean[100] and "[EMAIL]" in clean[100] and "weather" in clean[1]
+    assert sanitise.sanitised(odd).columns == odd.columns and {r.own for r in sanitise.sanitised(odd).collect()} == {2}
+
+
+def test_terms_of_a_whole_table(spark, data):
+    """Terms that give away a class of entities, and the spans of the query, against the formula."""
+    docs = spark.read.parquet(f"{data}/sf0.1/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute_disclosure(rows)
+    assert want
+    of = {}
+    for e, t in want:
+        of.setdefault(e, set()).add(t)
+    got = {r.doc_id: r for r in sanitise.op1_sanitise(spark, f"{data}/sf0.1").collect()}
+    terms = 0
+    for i, text in rows:
+        spans = brute_spans(text)
+        words = {t for a, b, k in spans for e in classes(k, text[a:b]) for t in of.get(e, ())}
+        extra = [(m.start(), m.end(), "term") for m in re.finditer(r"\w+", text or "") if m[0].lower() in words and not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        terms += len(extra)
+        order = (*sanitise.KINDS, "term")
+        assert got[i].spans == told(sorted(spans + extra, key=lambda x: (x[0], order.index(x[2])))) and got[i].n_terms == len(extra) and got[i].n_spans == len(spans) + len(extra)
+    assert terms
+
+
+def test_context_reaches_over_long_words():
+    long = "w" * 5000
+    text = f"alpha {long} beta x@y.zz gamma {long} delta epsilon"
+    a = text.index("x@y")
+    assert sanitise.terms_beside(text, a, a + 6, 3) == (["alpha", long, "beta"], ["gamma", long, "delta"])
+    assert sanitise.terms_beside(text, a, a + 6, 9) == (["alpha", long, "beta"], ["gamma", long, "delta", "epsilon"])
 
 
 @pytest.mark.parametrize("most", [500_000, 0])

@@ -1,18 +1,21 @@
 """Information-theoretic sanitisation of personal data.
 
-Entities to protect are the values that the patterns find (e-mail and IP addresses, card and phone numbers). A term
-near an entity's value may give it away: over the whole corpus, for entity e and term t,
+Entities to protect are the values that the patterns find (e-mail and IP addresses, card and phone numbers), and the
+classes that they belong to: their kind, and for e-mail addresses the domain. A term near an entity may give it away:
+over the whole corpus, for entity e and term t,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e))
 
 where all four count distinct texts: N all of them, n(t) those with t, n(e) those with e, and n(t, e) those with t in a
-context of e (the ``reach`` words on both sides). It is 1 when t stands nowhere but near e, and about 0 when t is
-independent of e; copies of a text change nothing. Terms at or above ``threshold`` that stand in ``support`` contexts of
-different wording are generalised (``[TERM]``) wherever a document has both, or taken out.
+context of e (the ``reach`` words on both sides, without those inside of any value). It is 1 when t stands nowhere but
+near e, and about 0 when t is independent of e; copies of a text change nothing. Terms at or above ``threshold`` that
+stand in ``support`` contexts of different wording are generalised (``[TERM]``) wherever a document has both, or taken
+out.
 
 Cases: a null or empty text has no spans; a value that repeats in a document is a span each time; repeated rows give a
-row each; without documents, entities or terms above the threshold only base spans remain; other columns are not
-carried. Entities are joined by a hash of kind and value, so values of any length are handled alike.
+row each; without documents, entities or terms above the threshold only base spans remain; sanitised() carries all other
+columns, whatever their names, sanitise() none. Entities are joined by a hash of kind and value, so values of any length
+are handled alike.
 """
 
 from __future__ import annotations
@@ -100,27 +103,51 @@ def base_spans(text: str | None) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in out]
 
 
+def entities_of(kind: str, value: str) -> list[int]:
+    """The value and its classes, as hashes."""
+    domain = [hashed("domain", value.rpartition("@")[2])] if kind == "email" else []
+    return [hashed(kind, value), *domain, hashed("kind", kind)]
+
+
+def blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with blanks in the place of all spans."""
+    out, at = [], 0
+    for a, b, _ in spans:
+        out += [text[at:a], " " * (b - max(a, at))]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
 def terms_beside(text: str, a: int, b: int, reach: int) -> tuple[list[str], list[str]]:
     """The ``reach`` words before and after a span, lower-cased; the text is read outwards as far as needed only."""
-    step = 64 * reach
-    left = [m[0] for m in _word.finditer(text[max(0, a - step) : a].lower())][-reach:]
-    right = [m[0] for m in _word.finditer(text[b : b + step].lower())][:reach]
-    return left, right
+    step = 16 * reach
+    while True:  # one word more is read, so that those taken are whole
+        left = [m[0] for m in _word.finditer(text[max(0, a - step) : a])]
+        right = [m[0] for m in _word.finditer(text[b : b + step])]
+        if (len(left) > reach or a <= step) and (len(right) > reach or b + step >= len(text)):
+            break
+        step *= 2
+    return [w.lower() for w in left[-reach:]], [w.lower() for w in right[:reach]]
 
 
 def contexts(df: DataFrame, text_col: str = "text", reach: int = 8) -> DataFrame:
-    """(entity, context, copy, terms) for every base span of every text; entity, context and copy, the text, are hashes."""
+    """(entity, context, copy, terms) for the entities of every base span of every text; entity, context and copy, the
+    text, are hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             entity, context, copy, terms = [], [], [], []
             for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b, kind in base_spans(text):
-                    left, right = terms_beside(text, a, b, reach)
-                    entity.append(hashed(kind, text[a:b]))
-                    context.append(hashed(" ".join(left), " ".join(right)))
-                    copy.append(h)
-                    terms.append(list({t for t in left + right if any(map(str.isalpha, t))}))
+                spans = base_spans(text)
+                plain = blanked(text, spans) if spans else ""
+                for a, b, kind in spans:
+                    left, right = terms_beside(plain, a, b, reach)
+                    own = [t for t in {*left, *right} if any(map(str.isalpha, t))]
+                    for e in entities_of(kind, text[a:b]):
+                        entity.append(e)
+                        context.append(hashed(" ".join(left), " ".join(right)))
+                        copy.append(h)
+                        terms.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(context, pa.int64()), pa.array(copy, pa.int64()), pa.array(terms, pa.list_(pa.string()))], ["entity", "context", "copy", "terms"])
 
     return df.select(text_col, F.xxhash64(text_col)).mapInArrow(run, "entity long, context long, copy long, terms array<string>")
@@ -129,24 +156,28 @@ def contexts(df: DataFrame, text_col: str = "text", reach: int = 8) -> DataFrame
 def document_frequency(df: DataFrame, terms: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): distinct texts with each of the given terms. ``copies`` has (copy, rows) of the texts that more than one
     row has; each of their rows counts as its part of one text. Each task counts its own documents' terms before the
-    shuffle, so a hot term is one row from each task."""
+    shuffle, so a hot term is a row from each batch. Few terms are sent to the tasks, more are joined."""
+    few = terms.count() <= BROADCAST_PAIRS
+    sent = df.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
         for batch in sliced(batches):
             n: dict[str, float] = {}
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = 1 / rows if rows else 1.0
-                for t in set(_word.findall(text.lower())) if text else ():
+                own = set(_word.findall(text.lower())) if text else set()
+                for t in own if wanted is None else own & wanted:
                     n[t] = n.get(t, 0.0) + part
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
 
     copies = copies.hint("broadcast") if copies.count() <= BROADCAST_COPIES else copies
     rows = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy")).join(copies, "copy", "left").select("text", "rows")
     counts = rows.mapInArrow(run, "term string, n double")
-    return counts.join(terms.hint("broadcast") if terms.count() <= BROADCAST_PAIRS else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    return (counts if few else counts.join(terms, "term", "left_semi")).groupBy("term").agg(F.round(F.sum("n")).cast("long").alias("n"))
 
 
-def disclosing(df: DataFrame, text_col: str = "text", reach: int = 8, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def disclosing(df: DataFrame, text_col: str = "text", reach: int = 8, threshold: float = 0.5, support: int = 2) -> DataFrame:
     """(entity, term, disclosure) at or above the threshold, checkpointed."""
     seen = checkpoint(contexts(df, text_col, reach).groupBy("entity", "context", "copy").agg(F.first("terms").alias("terms")))
     wordings = F.count_distinct("context") >= support
@@ -171,7 +202,7 @@ def _spans(text: str | None, of: dict[int, set[str]]) -> list[tuple[int, int, st
     spans = base_spans(text)
     if not spans or not of:
         return spans
-    words = {t for e in {hashed(k, text[a:b]) for a, b, k in spans} for t in of.get(e, ())}
+    words = {t for a, b, k in spans for e in entities_of(k, text[a:b]) for t in of.get(e, ())}
     if not words:
         return spans
     covered = sorted((a, b) for a, b, _ in spans)
@@ -194,25 +225,33 @@ def _of(own: list[dict]) -> dict[int, set[str]]:
     return of
 
 
+def _free(name: str, df: DataFrame) -> str:
+    """The name, made longer until no column has it."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def _with_own_pairs(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows and ``own``, the pairs of entity and term that the row itself has, for any number of pairs. Only rows with
+    """The rows and, last, the pairs of entity and term that the row itself has, for any number of pairs. Only rows with
     entities give their words, and a list holds no more than a row's own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             keys, entity, term = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                entities = {hashed(k, text[a:b]) for a, b, k in base_spans(text)}
+                entities = {e for a, b, k in base_spans(text) for e in entities_of(k, text[a:b])}
                 for t in set(_word.findall(text.lower())) if entities else ():
                     for e in entities:
                         keys.append(key), entity.append(e), term.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entity, pa.int64()), pa.array(term, pa.string())], ["_key", "entity", "term"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(entity, pa.int64()), pa.array(term, pa.string())], ["key", "entity", "term"])
 
-    keyed = df.select("*", F.xxhash64(id_col, text_col).alias("_key"))
-    pairs = keyed.select("_key", text_col).mapInArrow(run, "_key long, entity long, term string")
-    own = pairs.join(found.select("entity", "term"), ["entity", "term"]).groupBy("_key").agg(F.collect_set(F.struct("entity", "term")).alias("own"))
-    own = own.select(F.col("_key").alias("_own_key"), F.col("own").alias("_own_pairs"))
-    return keyed.join(own, F.col("_key") == F.col("_own_key"), "left").select(*df.columns, F.col("_own_pairs").alias("own"))
+    rows = df.select(F.xxhash64(id_col, text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    pairs = rows.select("key", F.col("row").getField(text_col).alias("text")).mapInArrow(run, "key long, entity long, term string")
+    own = pairs.join(found.select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.collect_set(F.struct("entity", "term")).alias("own"))
+    rows = rows.join(own, "key", "left")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in df.columns), F.col("own").alias(_free("own", df)))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]], remove: bool = False) -> str | None:
@@ -227,7 +266,7 @@ def redact(text: str | None, spans: list[tuple[int, int, str]], remove: bool = F
     return "".join([*out, text[at:]])
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, threshold: float = 0.8, support: int = 3, remove: bool = False, with_text: bool = True) -> DataFrame:
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 8, threshold: float = 0.5, support: int = 2, remove: bool = False, with_text: bool = True) -> DataFrame:
     """(id, spans array<struct<start, end, kind>>, text): base spans and disclosing terms, and the text without them."""
     found = disclosing(df, text_col, reach, threshold, support)
     kind_of_id = df.schema[id_col].dataType
@@ -239,7 +278,7 @@ def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", reac
     if few:
         for r in found.collect():
             pairs.setdefault(r.entity, set()).add(r.term)
-        rows = df.select(F.col(id_col), F.col(text_col), F.array().cast("array<struct<entity:bigint,term:string>>").alias("own"))
+        rows = df.select(F.col(id_col), F.col(text_col), F.array().cast("array<struct<entity:bigint,term:string>>"))
     else:
         rows = _with_own_pairs(df.select(id_col, text_col), found, id_col, text_col)
     sent = df.sparkSession.sparkContext.broadcast(pairs)
@@ -290,4 +329,4 @@ def op1_sanitise(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "term")
     kinds = F.transform("spans", lambda x: x["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, hex_sha256(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, hex_sha256(told(base)).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_terms"))

@@ -139,3 +139,22 @@ def without_frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
 def op8_line_frequency(spark, sf_dir: str) -> DataFrame:
     out = line_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_chars")
+
+
+#: The same rows, with lines and windows as they are instead of their hashes.
+OP8_SQL = r"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+i AS (SELECT row, w, unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS i FROM w),
+k AS (SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(w[i:i + 7], ' ')) AS n FROM i),
+r AS (SELECT row, count(DISTINCT j) AS n FROM (SELECT row, unnest(range(i, i + 8)) AS j FROM k WHERE n > 1) GROUP BY 1),
+l AS (SELECT row, host, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT row, host, line, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT host, count(*) AS n FROM d GROUP BY 1), c AS (SELECT host, norm, count(DISTINCT row) AS n FROM m GROUP BY 1, 2),
+f AS (SELECT c.host, norm FROM c JOIN s ON c.host IS NOT DISTINCT FROM s.host WHERE c.n > 10 AND c.n > 0.01 * s.n),
+g AS (SELECT row, sum(length(line)) AS chars, sum(len(string_split(m.norm, ' '))) AS words FROM m JOIN f ON m.host IS NOT DISTINCT FROM f.host AND m.norm = f.norm GROUP BY 1),
+u AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM m GROUP BY 1),
+b AS (SELECT d.row, doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, coalesce(g.words, 0) AS gone, CAST(coalesce(g.chars, 0) AS BIGINT) AS n_removed_chars
+FROM d JOIN w USING (row) LEFT JOIN u USING (row) LEFT JOIN r USING (row) LEFT JOIN g USING (row))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - gone >= 20 AND 2 * (n_words - gone) >= n_words AS kept, n_removed_chars FROM b"""

@@ -28,6 +28,29 @@ def test_kernel_against_enumeration():
             assert abs(got[i, k] - want) < 1e-4, (w, m)
 
 
+def test_words_share_their_beginnings():
+    rng = np.random.default_rng(4)
+    words = list({"".join(rng.choice(list("abcxyé"), rng.integers(0, 9))) for _ in range(1500)})
+    marks = toxicity.Landmarks(["abca", "bcab", "cccab"])
+    together, apart = marks.kernels(words), np.vstack([marks.kernels([w]) for w in words])
+    assert np.allclose(together, apart, atol=1e-6)
+
+
+def test_map_is_that_of_the_kernel():
+    """Texts made of landmarks have the kernel of texts, summed over pairs of pieces and scaled, as products of their maps."""
+    marks = ["idiot", "loser", "weather", "pathetic"]
+    landmarks = toxicity.Landmarks(marks)
+    k = landmarks.kernels(marks).astype(float) ** toxicity.POWER
+    vals, vecs = np.linalg.eigh(k)
+    whiten = vecs @ np.diag(vals**-0.5) @ vecs.T
+    texts = ["idiot", "loser idiot idiot", "weather pathetic", "loser", ""]
+    mapped = toxicity.nystrom(toxicity.Pool(landmarks)(texts), whiten)
+    count = np.array([[t.split().count(m) for m in marks] for t in texts], float)
+    raw = count @ k @ count.T
+    want = raw / np.sqrt((1 + np.diag(raw))[:, None] * (1 + np.diag(raw))[None, :])
+    assert np.allclose(mapped @ mapped.T, want, atol=1e-3)
+
+
 def test_gapped_insults_stay_near():
     near = toxicity.Landmarks(["idiot"]).kernels(["idi0ot", "id-iot", "weather"])[:, 0]
     assert near[0] > 0.4 and near[1] > 0.4 and near[2] < 0.1
@@ -49,7 +72,7 @@ def test_held_out_documents_are_told(spark, data):
     held = [(labels[i], r.score, r.predicted) for i, r in got.items() if r.held_out and i in labels]
     y, s, p = (np.array(x) for x in zip(*held))
     precision, recall = (y * p).sum() / max(1, p.sum()), (y * p).sum() / max(1, y.sum())
-    assert y.sum() > 20 and precision > 0.8 and recall > 0.7
+    assert y.sum() > 20 and precision > 0.85 and recall > 0.83
     ranks = s.argsort().argsort()
     area = (ranks[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (1 - y).sum())
     assert area > 0.95

@@ -3,9 +3,11 @@
 The kernel of two strings sums, over common subsequences of ``ORDER`` characters, DECAY to the length each spans in both,
 so that "i-d-i-o-t" or "idiiot" is still near "idiot"; it is normalised to 1 for equal strings. Sentences are taken as
 their pieces: the words split by white space in lower case without marks at their ends, runs of three or more single
-characters written apart taken together, and pieces over PIECE characters in halves that overlap. A text's kernel with a
-landmark is the sum of its pieces' kernels to the power POWER, as a logarithm. The Nyström map K_mm^(-1/2) k(text) feeds a linear machine with squared hinge loss, whose margin a logistic
-curve turns into a probability.
+characters written apart taken together, and pieces over PIECE characters in halves that overlap. The kernel of two texts
+is the sum over their pairs of pieces of the pieces' kernel to the power POWER, k(x, y), scaled to
+k(x, y) / sqrt((1 + k(x, x)) (1 + k(y, y))), so that long texts don't outweigh. Landmarks are texts of one piece: with
+f(x) = K_mm^(-1/2) k_m(x), the Nyström map is f(x) / sqrt(1 + |f(x)|^2). It feeds a linear machine with squared hinge loss,
+whose margin a logistic curve turns into a probability.
 
 Landmarks are the pieces whose document frequency tells the classes of the labelled sample apart best, no two alike,
 and some common ones of the other class. The sample is bounded: about ``sample`` labelled documents of each class, drawn by a hash of the id; documents are scored whole.
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import remainder, sliced, table
+from tidemark.llm.common import checkpoint, remainder, sliced, table
 
 ORDER, DECAY, PIECE, POWER = 3, np.float32(0.75), 24, 6
 #: Lengths of the stems of pieces that can be landmarks, beside whole pieces.
@@ -84,37 +86,67 @@ class Landmarks:
     words: list[str]
     code: dict[int, int] = field(default_factory=dict)
     match: np.ndarray | None = None
+    faded: np.ndarray | None = None
     own: np.ndarray | None = None
 
     def __post_init__(self):
         width = max(map(len, self.words), default=1)
-        self.code = {ord(c): i + 1 for i, c in enumerate(sorted(set("".join(self.words))))}
-        self.match = np.zeros((len(self.code) + 1, len(self.words), width), np.float32)
+        self.code = {ord(c): i + 2 for i, c in enumerate(sorted(set("".join(self.words))))}
+        self.match = np.zeros((len(self.code) + 2, len(self.words), width), np.float32)
         for k, w in enumerate(self.words):
             for t, c in enumerate(w):
                 self.match[self.code[ord(c)], k, t] = 1
+        self.faded = self.match @ _decays(width)
         self.own = np.array([float(own_kernel(_codes([w]))[0]) for w in self.words], np.float32)
 
     def kernels(self, words: list[str]) -> np.ndarray:
-        """(words, landmarks) normalised kernels."""
+        """(words, landmarks) normalised kernels. The words are taken in order, so that those that begin alike, with the
+        same letters or with letters that no landmark has, share the sums of their beginnings."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) >= ORDER:
-                by.setdefault(len(w), []).append(i)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        some = np.flatnonzero(size >= ORDER)
+        if not len(some) or not self.words:
+            return out
+        size = size[some]
+        width = int(size.max())
+        raw = np.frombuffer("".join([words[i].ljust(width, "\0") for i in some.tolist()]).encode("utf-32-le"), np.uint32).reshape(len(some), width)
         known = np.array(sorted(self.code), np.uint32)
-        decays = _decays(self.match.shape[2])
-        faded = self.match @ decays
-        for length, rows in by.items():
-            for start in range(0, len(rows), 512):
-                part = rows[start : start + 512]
-                raw = _codes([words[i] for i in part])
-                at = np.minimum(np.searchsorted(known, raw), max(0, len(known) - 1))
-                x = np.where(known[at] == raw, at + 1, 0) if len(known) else np.zeros(raw.shape, int)
-                near = _subsequences(lambda j: (self.match[x[:, j]], faded[x[:, j]]), length, decays)
-                out[part] = near / np.sqrt(np.maximum(own_kernel(raw)[:, None] * self.own[None, :], 1e-20))
+        at = np.minimum(np.searchsorted(known, raw), len(known) - 1)
+        codes = np.where(known[at] == raw, at + 2, 1).astype(np.uint16)  # 1: in no landmark
+        codes[np.arange(width) >= size[:, None]] = 0
+        order = np.lexsort(codes.T[::-1])
+        for start in range(0, len(order), 1024):
+            part = order[start : start + 1024]
+            out[some[part]] = self._of_sorted(codes[part], size[part])
+        own = np.ones(len(some), np.float32)
+        for n in np.unique(size).tolist():
+            own[size == n] = own_kernel(raw[size == n, :n])
+        out[some] /= np.sqrt(np.maximum(own[:, None] * self.own[None, :], 1e-20))
         return out
 
+    def _of_sorted(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Kernels of words in order, by dynamic programming over their beginnings: each of these is looked at once."""
+        same = np.vstack([np.zeros((1, codes.shape[1]), bool), codes[1:] == codes[:-1]])
+        alike = np.where(same.all(1), codes.shape[1], same.argmin(1))  # letters that a word shares with the one before
+        decays = _decays(self.match.shape[2])
+        one = two = np.zeros((1, *self.match.shape[1:]), np.float32)
+        total = np.zeros((1, self.match.shape[1]), np.float32)
+        state, out = np.zeros(len(codes), np.int64), np.zeros((len(codes), self.match.shape[1]), np.float32)
+        for j in range(codes.shape[1]):
+            alive = np.flatnonzero(size > j)
+            new = alike[alive] <= j
+            first = alive[new]
+            before, letter = state[first], codes[first, j]
+            later = self.match[letter][:, :, 1:]
+            total = total[before] + (later * two[before][:, :, :-1]).sum(2)
+            two = two[before] * DECAY
+            two += (later * one[before][:, :, :-1]) @ decays[1:]
+            one = one[before] * DECAY + self.faded[letter]
+            state[alive] = np.cumsum(new) - 1
+            done = alive[size[alive] == j + 1]
+            out[done] = total[state[done]]
+        return out * DECAY * DECAY
+
 
 def own_kernel(x: np.ndarray) -> np.ndarray:
     """Kernel of each row with itself."""
@@ -152,7 +184,13 @@ class Pool:
         for i, s in enumerate(split):
             if s:
                 out[i] = self.rows[np.fromiter(map(get, s), np.int64, len(s))].sum(axis=0)
-        return np.log1p(out)
+        return out
+
+
+def nystrom(kernels: np.ndarray, whiten: np.ndarray) -> np.ndarray:
+    """The scaled map of texts from their kernels with the landmarks."""
+    f = kernels.astype(np.float64) @ whiten
+    return f / np.sqrt(1 + (f**2).sum(axis=1, keepdims=True))
 
 
 @dataclass
@@ -168,7 +206,7 @@ class Model:
     def score(self, kernels: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(kernels), self.constant)
-        margin = kernels.astype(np.float64) @ self.whiten @ self.weight + self.bias
+        margin = nystrom(kernels, self.whiten) @ self.weight + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
@@ -212,7 +250,7 @@ def choose(frame: DataFrame, rows: DataFrame, positives: int, negatives: int, n_
     it has. The top of each order alone is collected, and which of those a document of the bounded sample has."""
     p, q = (F.col("pos") + 0.5) / (n_pos + 1), (F.col("neg") + 0.5) / (n_neg + 1)
     scored = frame.where(F.length("piece") > ORDER).withColumn("gain", p * F.log(p / q))
-    top = [(r.piece, r.gain * (n_pos + 1) / (r.pos + 0.5)) for r in scored.where(F.length("piece") <= 8).orderBy(F.desc(F.round("gain", 9)), F.desc(F.length("piece")), "piece").limit(40 * positives).collect() if r.gain > 0]
+    top = [(r.piece, r.gain * (n_pos + 1) / (r.pos + 0.5)) for r in scored.orderBy(F.desc(F.round("gain", 9)), F.desc(F.length("piece")), "piece").limit(40 * positives).collect() if r.gain > 0]
     number = {w: i for i, (w, _) in enumerate(top)}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +278,7 @@ def choose(frame: DataFrame, rows: DataFrame, positives: int, negatives: int, n_
     return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, positives: int = 22, negatives: int = 2, ridge: float = 0.01, sizes: dict[int, int] | None = None) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, positives: int = 40, negatives: int = 4, ridge: float = 0.01, sizes: dict[int, int] | None = None) -> Model:
     """A model of label 1. ``labelled`` should be the bounded sample of sample_of(); ``sizes``: label counts of all."""
     rows = labelled.select(F.col(text_col).alias("text"), (F.col(label_col) == 1).alias("is"))
 
@@ -272,8 +310,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     x, y = np.array([r.k for r in got]).reshape(len(got), m), np.array([1.0 if r["is"] else -1.0 for r in got])
     vals, vecs = np.linalg.eigh(np.atleast_2d(landmarks.kernels(landmarks.words).astype(np.float64) ** POWER))
     whiten = vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-3))) @ vecs.T
-    weight, bias = _machine(x @ whiten, y, np.where(y > 0, n0, n1) / max(n0, n1), ridge)
-    margin = x @ whiten @ weight + bias
+    mapped = nystrom(x, whiten)
+    weight, bias = _machine(mapped, y, np.where(y > 0, n0, n1) / max(n0, n1), ridge)
+    margin = mapped @ weight + bias
     slope, offset = _logistic(margin, y, np.where(y > 0, total.get(1, n1) / n1, total.get(0, n0) / n0) / max(1e-9, (total.get(1, n1) + total.get(0, n0)) / len(y)))
     return Model(landmarks, whiten, weight, bias, slope, offset)
 
@@ -308,5 +347,5 @@ HOLD_OUT, HELD = 4, 2
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     drawn, sizes = sample_of(docs, labels.where(remainder("doc_id", HOLD_OUT) != HELD))
-    out = score(docs, fit(drawn.persist(), sizes=sizes))
+    out = score(docs, fit(checkpoint(drawn), sizes=sizes))
     return out.select("doc_id", (remainder("doc_id", HOLD_OUT) == HELD).alias("held_out"), "score", "predicted")

@@ -74,11 +74,30 @@ def test_near_copies_of_all_sizes(spark, percent, size):
     check(spark, near_copies(percent, [1, 2, 3, 4, 5, 6, 8, 11, 17, 30, 55, 120, 400, 1500], 12), size, percent)
 
 
-def test_blocks_of_a_large_component(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 600)
+@pytest.mark.parametrize("tokens", [600, 150])
+def test_blocks_of_a_large_component(spark, monkeypatch, tokens):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", tokens)
     check(spark, near_copies(3, [60, 61], 60), 3, 90)
 
 
+def test_chains_over_many_blocks(spark, monkeypatch):
+    """Neighbours of a chain link, others don't: pairs with the first block don't join all."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 250)
+    words = words_of(260, 4)
+    check(spark, [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(14)], 3, 90)
+
+
+@pytest.mark.parametrize("middle", [None, 7])
+def test_links_through_a_null_id(spark, middle):
+    words = words_of(100, 8)
+    rows = [(2, " ".join(words[:90])), (middle, " ".join(words[3:93])), (middle, " ".join(words[3:93])), (5, " ".join(words[6:96]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 3) for _, t in rows]
+    near = lambda a, b: 100 * len(a & b) / len(a | b)
+    assert near(sets[0], sets[1]) >= 90 and near(sets[1], sets[3]) >= 90 and near(sets[0], sets[3]) < 90
+    assert [r.component_id for r in jaccard_join.jaccard_components(df, size=3, percent=90).collect()] == [2] * 4
+
+
 def test_pairs_at_the_threshold(spark):
     base = [f"w{k}" for k in range(40)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:38])), (3, " ".join(base[:36])), (4, " ".join(base[2:])), (5, "A b"), (6, "a  B\n"), (7, "a b c"), (8, "")]

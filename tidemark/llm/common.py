@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.checkpoints import checkpoint, written  # noqa: F401  used by the operators
 
 #: Bytes of Arrow data of which Python objects are made at once; very long texts then come in small batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,5 +16,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL,
+    "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op6_preference": preference.OP6_SQL,
+    "op8_line_frequency": line_frequency.OP8_SQL,
 }

@@ -13,13 +13,13 @@
 3. Signature trees. In each component the nodes, in order of size and content, are leaves of a tree whose nodes hold the
    OR of the token bitmaps below and their range of sizes. Two trees (or one with itself) are walked together; a pair of
    nodes goes when the common bits of the two can't make the overlap that their smallest sizes ask for. Components
-   over ``BLOCK_TOKENS`` are cut into blocks, each pair of which is a task of its own.
+   over ``BLOCK_TOKENS`` are cut into blocks: pairs with the first block come first, others only where sets are apart.
 4. Links are joined to components of documents.
 
 No link is lost: all steps before the bitmaps keep every pair that can link, and bitmaps are exact, as a bit is one
 token of the task. Cases: null or empty texts and texts without words have no set and link with nothing; a text of
-fewer words than a shingle is one shingle; repeated rows are one node and give a row each; a null id is never the
-smallest of a component; other columns are not carried.
+fewer words than a shingle is one shingle; repeated rows are one node and give a row each; a null id links as any
+other but is never the smallest of a component; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import checkpoint, sliced, table
+from tidemark.llm.common import checkpoint, sliced, table, written
 from tidemark.llm.shingles import mix, shingle_hashes
 from tidemark.operators.maps import connected
 
@@ -41,7 +41,7 @@ from tidemark.operators.maps import connected
 BLOCK_TOKENS = 150_000
 #: Parts for each token in which linking sets may differ: more parts leave fewer candidates and cost more rows.
 PARTS = 1.25
-#: Candidate documents that are picked by a broadcast of their ids; more are picked by a join.
+#: Candidate documents that are picked by a broadcast of their hashes; more are picked by a join.
 BROADCAST_IDS = 2_000_000
 LEAF, FANOUT = 8, 8
 
@@ -98,16 +98,20 @@ def node_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def nodes(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, node): node is a hash of the whole set, null for an empty one."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
+    """(id, n, node, row): node is a hash of the whole set, null for an empty one; row is a hash of id and text."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = [shingle_hashes(text, size) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) for x in sets], pa.int64()), batch.column(2)], schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col, _row_key(id_col, text_col)).mapInArrow(run, schema)
 
 
 def parts(df: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
@@ -142,10 +146,10 @@ def _shared(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have enough parts in common with others, by candidate component. A node is in a
     component for each of its intervals."""
-    rows = checkpoint(_shared(rows).select("node", "k", "need", "s").distinct())
+    rows = written(_shared(rows).select("node", "k", "need", "s").distinct())
     enough = lambda r: r.join(r.groupBy("node", "k").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("_need")).where("n >= _need").select("node", "k"), ["node", "k"], "left_semi")
-    rows = checkpoint(_shared(enough(rows)).select("node", "k", "need", "s"))
-    rows = checkpoint(_shared(enough(rows)).select("node", "k", "leader"))
+    rows = written(_shared(enough(rows)).select("node", "k", "need", "s"))
+    rows = written(_shared(enough(rows)).select("node", "k", "leader").distinct())
     edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b").distinct()
     labels = connected(edges).select(F.col("node").alias("_vertex"), "label")
     return rows.select("node", F.xxhash64("node", "k").alias("vertex")).distinct().join(labels, F.col("vertex") == F.col("_vertex")).select("node", "label")
@@ -228,10 +232,11 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return bits
 
 
-def links(sets: list[np.ndarray], names: np.ndarray, blocks: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
-    """Links between the sets of one task that join its components: all pairs are judged, those already joined aren't told."""
+def links(sets: list[np.ndarray], names: np.ndarray, blocks: np.ndarray, percent: int, known: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Links between the sets of one task that join its components: all pairs are judged, those already joined aren't
+    told. ``known``: a component for each set that is had before."""
     bits, sizes = bitmaps(sets), np.array([len(s) for s in sets], np.int64)
-    root = list(range(len(sets)))
+    root = list(range(len(sets))) if known is None else np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -255,52 +260,81 @@ def links(sets: list[np.ndarray], names: np.ndarray, blocks: np.ndarray, percent
     return out_a, out_b
 
 
-def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(a, b): links between nodes that span the components of all links."""
-    near = checkpoint(candidates(parts(df, text_col, size, percent)))
-    first = found.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    picked = checkpoint(near.join(first, "node").where("id is not null"))
-    sums = picked.groupBy("label").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("blocks"))
-    picked = checkpoint(picked.join(sums, "label"))
-    ids = picked.select(F.col("id").alias("_id"), "node", "label", "blocks")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = docs.join(ids.hint("broadcast") if picked.count() <= BROADCAST_IDS else ids, F.col("id") == F.col("_id")).select("node", "label", "blocks", "text")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            sets = [shingle_hashes(x, size).view(np.int64) for x in batch.column(3).to_pylist()]
-            # a repeated id may come with other texts: the set must be that of the node
-            own = [node_of(s) for s in sets]
-            ok = [i for i, (x, y) in enumerate(zip(own, batch.column(0).to_pylist())) if x == y]
-            sets = [sets[i] for i in ok]
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            kept = batch.take(pa.array(ok, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "label", "blocks", "tokens"])
-
-    rows = rows.mapInArrow(tokens, "node long, label long, blocks int, tokens array<long>")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "label", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def _tasks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links in each pair (i, j) of blocks of a candidate component, for (node, label, block, known, tokens, i, j)."""
 
     def task(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         names, blocks = group.column("node").to_numpy(), group.column("block").to_numpy()
         _, once = np.unique(names, return_index=True)
         lists = group.column("tokens")
-        sets = [np.asarray(lists[int(k)].values.to_numpy(), np.int64).view(np.uint64) for k in once]
-        names, blocks = names[once], blocks[once]
+        names, blocks, known = names[once], blocks[once], group.column("known").to_numpy()[once]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        a, b = links(sets, names, blocks, percent) if len(sets) > 1 and (i == j or len(np.unique(blocks)) > 1) else ([], [])
+        a, b = [], []
+        if len(once) > 1 and (i == j or len(np.unique(blocks)) > 1) and len(np.unique(known)) > 1:
+            sets = [np.asarray(lists[int(k)].values.to_numpy(), np.int64).view(np.uint64) for k in once]
+            a, b = links(sets, names, blocks, percent, known)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("label", "i", "j").applyInArrow(task, "a long, b long")
 
 
+def linked(df: DataFrame, found: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(a, b): links between nodes that span the components of all links.
+
+    A component of more than BLOCK_TOKENS is cut into blocks. First each block is compared with itself and with the first
+    block. In a group of near copies this joins all there is to join; only candidate components that are still apart go
+    on to all other pairs of blocks, in which pairs that are joined already need no link."""
+    near = checkpoint(candidates(parts(df, text_col, size, percent)))
+    first = found.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"))
+    picked = checkpoint(near.join(first, "node"))
+    sums = picked.groupBy("label").agg((F.floor(F.sum("n") / BLOCK_TOKENS) + 1).cast("int").alias("blocks"))
+    picked = checkpoint(picked.join(sums, "label"))
+    docs = df.select(_row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+
+    def of(some: DataFrame) -> DataFrame:
+        """(node, label, blocks, block, tokens) of picked nodes."""
+        rows = some.select(F.col("row").alias("_row"), "node", "label", "blocks")
+        rows = docs.join(rows.hint("broadcast") if some.count() <= BROADCAST_IDS else rows, F.col("row") == F.col("_row")).select("node", "label", "blocks", "text")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        return rows.mapInArrow(tokens, "node long, label long, blocks int, tokens array<long>").withColumn("block", block)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat are one
+        for batch in sliced(batches):
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            new = [k for k, x in enumerate(pairs) if x not in seen and not seen.add(x)]
+            if not new:
+                continue
+            kept = batch.take(pa.array(new, pa.int64()))
+            sets = [shingle_hashes(x, size).view(np.int64) for x in kept.column(3).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "label", "blocks", "tokens"])
+
+    whole = of(picked.where("blocks = 1"))
+    whole = _tasks(whole.select("node", "label", "block", F.col("node").alias("known"), "tokens", F.lit(0).alias("i"), F.lit(0).alias("j")), percent)
+    large = picked.where("blocks > 1")
+    if large.isEmpty():
+        return whole
+    whole, rows = checkpoint(whole), written(of(large))
+    to_first = F.when(F.col("block") > 0, F.array(F.lit(0), F.col("block"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    star = rows.withColumn("other", F.explode(to_first))
+    star = checkpoint(_tasks(star.select("node", "label", "block", F.col("node").alias("known"), "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), percent))
+    joined = connected(star).select(F.col("node").alias("_node"), F.col("label").alias("known"))
+    apart = picked.where("blocks > 2").join(joined, F.col("node") == F.col("_node"), "left").select("node", F.col("label").alias("_label"), F.coalesce("known", "node").alias("known"))
+    some = apart.groupBy("_label").agg(F.min("known").alias("x"), F.max("known").alias("y")).where("x != y").select("_label")
+    apart = checkpoint(apart.join(some, "_label").select(F.col("node").alias("_node"), "_label", "known"))
+    if apart.isEmpty():
+        return whole.unionByName(star)
+    rest = rows.join(apart, (F.col("node") == F.col("_node")) & (F.col("label") == F.col("_label"))).where("block > 0")
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1))).where("other != block")
+    return whole.unionByName(star).unionByName(_tasks(rest.select("node", "label", "block", "known", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), percent))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents are connected by links of ``percent`` in 100 or more."""
     found = checkpoint(nodes(df, id_col, text_col, size))
-    labels = connected(linked(df, found, id_col, text_col, size, percent))
+    labels = connected(checkpoint(linked(df, found, id_col, text_col, size, percent)))
     first = found.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
     first = first.join(labels, "node", "left").select(F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "least")
     least = first.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("component_id"))
@@ -311,3 +345,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+#: The same rows, by all pairs that share a shingle and the closure of their links.
+OP3_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT row, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0), s AS (SELECT DISTINCT row, array_to_string(w[i:i + 2], ' ') AS s FROM i), n AS (SELECT row, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.row AS a, b.row AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.row <> b.row GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.row = a JOIN n y ON y.row = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+r AS (SELECT row, row AS x FROM d UNION SELECT r.row, e.b FROM r JOIN e ON r.x = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id FROM d JOIN r ON r.row = d.row JOIN d o ON o.row = r.x LEFT JOIN n ON n.row = d.row GROUP BY d.row, d.doc_id, n.n"""

@@ -15,8 +15,14 @@ from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, sanitise
 from tidemark.llm.common import checkpoint, table
 
 
+#: Ids that are broadcast at most, so that texts needn't be shuffled; more are joined: 8 bytes each.
+BROADCAST_IDS = 2_000_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose ids aren't among those given (_gone)."""
+    ids = checkpoint(ids)
+    ids = ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids
     return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
 
 

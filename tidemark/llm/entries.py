@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, chunk_dedup, decontaminate, jaccard_join, language_id, line_frequency, preference, sanitise, suffix_array, toxicity
+from tidemark.llm import bpe, chunk_dedup, decontaminate, jaccard_join, language_id, line_frequency, merkle, preference, sanitise, suffix_array, toxicity
 
 QUERIES = {
     "op1_sanitise": sanitise.op1_sanitise,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_frequency": line_frequency.op8_line_frequency,
     "op9_bpe": bpe.op9_bpe,
     "op10_suffix_array": suffix_array.op10_suffix_array,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -20,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.OP3_SQL,
     "op6_preference": preference.OP6_SQL,
     "op8_line_frequency": line_frequency.OP8_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }

@@ -11,7 +11,7 @@ from tidemark.llm import entries
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_against_sql(spark, data, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
+    for table in ("documents", "benchmark", "conversations", "embeddings"):
         path = Path(data, "sf0.001", f"{table}.parquet")
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/*.parquet'" if path.is_dir() else f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
     want = con.execute(entries.ORACLES[name])

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that checks them, by name."""
 
-from tidemark.llm import bpe, chunk_dedup, decontaminate, hard_negatives, jaccard_join, language_id, line_frequency, merkle, preference, sanitise, suffix_array, toxicity
+from tidemark.llm import bpe, chunk_dedup, decontaminate, hard_negatives, jaccard_join, language_id, line_frequency, merkle, preference, quality, sanitise, suffix_array, toxicity
 
 QUERIES = {
     "op1_sanitise": sanitise.op1_sanitise,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_line_frequency": line_frequency.op8_line_frequency,
     "op9_bpe": bpe.op9_bpe,
     "op10_suffix_array": suffix_array.op10_suffix_array,
+    "op11_quality": quality.op11_quality,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_merkle": merkle.op13_merkle,
 }

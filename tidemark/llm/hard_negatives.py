@@ -90,7 +90,7 @@ def pack(anchors: DataFrame, scale: float) -> tuple[DataFrame, list[tuple[int, i
             yield block(d)
 
     parts = -(-anchors.count() // (BLOCK_ROWS // 2)) or 1
-    blocks = written(anchors.repartitionByRange(parts, "id").mapInArrow(run, "part int, k int, d int, ids binary, labels binary, vectors binary"))
+    blocks = written(anchors.repartitionByRange(parts, "id").coalesce(parts).mapInArrow(run, "part int, k int, d int, ids binary, labels binary, vectors binary"))
     return blocks, [(r.part, r.k) for r in blocks.select("part", "k").orderBy("part", "k").collect()]
 
 

@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last
 returns a row of token counts and digests for each document. Null texts and texts without letters go at the first
-stage; rows that repeat an id and its text are one document after the second; rows that share an id with other texts are
-decided on together; rows without an id stay where a stage decides by id; an empty table stays empty.
+stage. Near duplicates and benchmark passages are decided by row, by a hash of id and text, whether ids are null or stand
+with other texts too: rows that repeat both are one document after the second stage. Of near duplicates the least id
+stays, a null one only where there is no other, then the least hash. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,15 +16,21 @@ from tidemark.llm import bpe, decontaminate, jaccard_join, language_id, sanitise
 from tidemark.llm.common import checkpoint, table
 
 
-#: Ids that are broadcast at most, so that texts needn't be shuffled; more are joined: 8 bytes each.
-BROADCAST_IDS = 2_000_000
+#: Keys that are broadcast at most, so that texts needn't be shuffled; more are joined: 8 bytes each.
+BROADCAST_KEYS = 2_000_000
+KEY = "_stage_key"
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids aren't among those given (_gone)."""
-    ids = checkpoint(ids)
-    ids = ids.hint("broadcast") if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A hash of id and text instead of an id. Null ids have the hashes of their texts alone."""
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose keys aren't among those given (_gone)."""
+    keys = checkpoint(keys)
+    keys = keys.hint("broadcast") if keys.count() <= BROADCAST_KEYS else keys
+    return keyed.join(keys, keyed[KEY] == keys["_gone"], "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +40,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of five-word shingle similarity 0.8 or more."""
-    groups = checkpoint(jaccard_join.jaccard_components(docs))
-    kept = _without(docs, groups.where("component_id is not null and (doc_id is null or doc_id != component_id)").select(F.col("doc_id").alias("_gone")))
-    twice = checkpoint(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone")))
+    keyed = _keyed(docs)
+    groups = jaccard_join.jaccard_components(keyed, KEY).groupBy(KEY, "component_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = keyed.select(F.col(KEY).alias("_own"), "doc_id").distinct()
+    groups = checkpoint(groups.join(ids, F.col(KEY) == F.col("_own")).select(KEY, "component_id", "n", "doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    stays = groups.groupBy(F.col("component_id").alias("_component")).agg(F.min_by(KEY, order).alias("_stays"))
+    gone = groups.join(stays, F.col("component_id") == F.col("_component")).where(F.col(KEY) != F.col("_stays"))
+    kept = _without(keyed, gone.select(F.col(KEY).alias("_gone")))
+    twice = checkpoint(groups.where("n > 1").select(F.col(KEY).alias("_gone")))
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept["doc_id"] == twice["_gone"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, twice).unionByName(again)
+        return kept.drop(KEY)
+    again = kept.join(twice, kept[KEY] == twice["_gone"], "left_semi").dropDuplicates([KEY])
+    return _without(kept, twice).unionByName(again).drop(KEY)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents without a window of ten words of the benchmark."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_gone")))
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), KEY)
+    return _without(keyed, found.where(F.size("spans") > 0).select(F.col(KEY).alias("_gone"))).drop(KEY)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,6 +171,24 @@ def test_nearest_quality_covers_all_rows(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[j], want[j], atol=1e-9) for j in want)
 
 
+def test_principal_axes_and_scores(spark):
+    """Against the singular values of the whole matrix; a null array has no scores, and equal rows are no harm."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 5)) @ np.diag([5, 3, 2, 1, 0]) + 100
+    x[7] = x[8]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(-1, None)], "id long, x array<double>").repartition(3)
+    got = {r.id: r.scores for r in waveforms.principal_scores(df, "x", 3).collect()}
+    u, s, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    signs = [np.sign(a[np.abs(a).argmax()]) for a in axes[:3]]
+    assert got.pop(-1) is None
+    assert np.allclose([got[k] for k in range(200)], (u * s)[:, :3] * signs, atol=1e-8)
+    v = waveforms.explained_variance(df, "x").orderBy("k").collect()
+    assert np.allclose([r.variance for r in v], s**2 / 199, atol=1e-8) and abs(sum(r.share for r in v) - 1) < 1e-12
+    one = waveforms.principal_scores(df.where("id = 3"), "x", 2).collect()
+    assert one[0].scores == [0.0, 0.0]
+    assert waveforms.principal_scores(df.where("id = 999"), "x", 2).collect() == []
+
+
 def test_unit_measures(spark):
     df = spark.createDataFrame([("a", t) for t in (0.0, 1.0, 10.0, 20.0, 30.0)], "u string, t double")
     r = sorting.refractory_share(df, "t", ["u"], 1.0).first()

@@ -77,6 +77,7 @@ def mixture(df: DataFrame, features: str, ks: list[int], seed: int = 1) -> DataF
         score = -2 * model.summary.logLikelihood + (k - 1 + k * d + k * d * (d + 1) / 2) * np.log(n)
         if best is None or score < best[0]:
             best = (score, model)
+    v.unpersist()
     return best[1].transform(v).withColumn("probability", F.array_max(vector_to_array("_p"))).drop("_v", "_p")
 
 

@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,9 +99,62 @@ def features(df: DataFrame, wave: str) -> DataFrame:
     return df.withColumn("trough", F.array_position(w, F.array_min(w)) - 1).withColumn("height", F.array_max(w) - F.array_min(w))
 
 
+def covariance(df: DataFrame, wave: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean, sample covariance and number of the arrays that aren't null. Tasks give sums and products about one of the
+    arrays, which are added up by place: the driver gets numbers of the arrays' length squared, whatever the rows."""
+    rows = df.select(F.col(wave).cast("array<double>").alias("x")).where("x is not null")
+    first = rows.first()
+    if first is None:
+        return np.zeros(0), np.zeros((0, 0)), 0
+    origin = np.array(first.x)
+    d = len(origin)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - origin
+                n, total, products = n + len(x), total + x.sum(0), products + x.T @ x
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(1 + d + d * d), pa.int32()), "v": np.r_[float(n), total, products.ravel()]})
+
+    got = {r.k: r.v for r in rows.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    n, total = int(got[0]), np.array([got[1 + i] for i in range(d)])
+    products = np.array([got[1 + d + i] for i in range(d * d)]).reshape(d, d)
+    return origin + total / n, (products - np.outer(total, total) / n) / max(1, n - 1), n
+
+
+def principal_axes(df: DataFrame, wave: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, (k, length) axes of largest variance and all variances in falling order. An axis points to where its largest
+    entry is positive."""
+    mean, cov, _ = covariance(df, wave)
+    values, vectors = np.linalg.eigh(cov) if len(mean) else (np.zeros(0), np.zeros((0, 0)))
+    axes = vectors.T[::-1][:k]
+    top = np.abs(np.round(axes, 9)).argmax(1) if len(axes) else np.zeros(0, int)
+    return mean, axes * np.where(axes[np.arange(len(axes)), top] < 0, -1, 1)[:, None], np.maximum(values[::-1], 0)
+
+
 def principal_scores(df: DataFrame, wave: str, k: int) -> DataFrame:
-    v = df.withColumn("_v", array_to_vector(F.col(wave).cast("array<double>")))
-    return PCA(k=k, inputCol="_v", outputCol="_s").fit(v).transform(v).withColumn("scores", vector_to_array("_s")).drop("_v", "_s")
+    """Adds ``scores``: the places of the arrays, less their mean, on the k axes of largest variance; null for null arrays."""
+    mean, axes, _ = principal_axes(df, wave, k)
+    sent = df.sparkSession.sparkContext.broadcast((mean, axes))  # k + 1 arrays
+
+    def batch(x: pd.Series) -> pd.Series:
+        mean, axes = sent.value
+        known = x.notna().to_numpy()
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        if known.any():
+            out[known] = list((np.stack(x[known].to_numpy()) - mean) @ axes.T)
+        return out
+
+    batch.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return df.withColumn("scores", F.pandas_udf(batch, "array<double>")(F.col(wave).cast("array<double>")))
+
+
+def explained_variance(df: DataFrame, wave: str) -> DataFrame:
+    """(k, variance, share): variances along the principal axes, from 1 on, and their shares of the whole."""
+    _, _, values = principal_axes(df, wave, 0)
+    total = float(values.sum()) or 1.0
+    return df.sparkSession.createDataFrame([(i + 1, float(v), float(v) / total) for i, v in enumerate(values)], "k int, variance double, share double")
 
 
 def kmeans(df: DataFrame, wave: str, k: int, seed: int = 1) -> DataFrame:

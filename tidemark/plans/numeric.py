@@ -142,6 +142,11 @@ def principal_scores(spark, sf_dir):
     return waveforms.principal_scores(table(spark, sf_dir, "embeddings"), "embedding", 3).select("vec_id", "scores")
 
 
+@query
+def explained_variance(spark, sf_dir):
+    return waveforms.explained_variance(table(spark, sf_dir, "embeddings"), "embedding")
+
+
 @query
 def kmeans_clusters(spark, sf_dir):
     return waveforms.kmeans(table(spark, sf_dir, "embeddings"), "embedding", 10).select("vec_id", "cluster")

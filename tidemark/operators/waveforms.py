@@ -141,10 +141,8 @@ def principal_scores(df: DataFrame, wave: str, k: int) -> DataFrame:
     def batch(x: pd.Series) -> pd.Series:
         mean, axes = sent.value
         known = x.notna().to_numpy()
-        out = pd.Series([None] * len(x), index=x.index, dtype=object)
-        if known.any():
-            out[known] = list((np.stack(x[known].to_numpy()) - mean) @ axes.T)
-        return out
+        found = iter((np.stack(x[known].to_numpy()) - mean) @ axes.T if known.any() else ())
+        return pd.Series([next(found) if k else None for k in known], dtype=object)
 
     batch.__annotations__ = {"x": pd.Series, "return": pd.Series}
     return df.withColumn("scores", F.pandas_udf(batch, "array<double>")(F.col(wave).cast("array<double>")))

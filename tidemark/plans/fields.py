@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bins, fields, intervals, models, stats, waveforms, windows
+from tidemark.operators import bins, fields, intervals, localfit, models, stats, waveforms, windows
 from tidemark.plans.catalog import _CCG, _W_SQL, E_SQL, HOUR, MINUTE, S_SQL, _ccg, _markers, events, query, r, samples, table, trials
 
 #: 2024-01-01 in microseconds, and the hours from there that are a field.
@@ -223,3 +223,21 @@ k AS (SELECT user_id, min(us) AS us FROM e GROUP BY 1 UNION ALL SELECT k.user_id
 SELECT user_id, us FROM k""")
 def refractory_events(spark, sf_dir):
     return waveforms.keep_after_refractory(events(spark, sf_dir).select("user_id", "us"), "us", ["user_id"], HOUR)
+
+
+#: Prices by quantity, a local line at 11 places of each flag's range, a third of the rows in its window.
+_LOCAL = localfit.Smooth(nn=1 / 3, degree=1)
+
+
+@query("""WITH p AS (SELECT l_returnflag AS flag, l_discount * 100 + l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem), g AS (SELECT flag, min(x) AS lo, max(x) AS hi, count(*) AS n FROM p GROUP BY 1),
+v AS (SELECT flag, lo + (hi - lo) * i.range / 10 AS v, n FROM g, range(11) i),
+h AS (SELECT v.flag, v.v, abs(x - v.v) AS h FROM v JOIN p USING (flag) QUALIFY row_number() OVER (PARTITION BY v.flag, v.v ORDER BY abs(x - v.v)) = greatest(1, floor(max(n) OVER (PARTITION BY v.flag, v.v) / 3.0 + 1e-9))),
+w AS (SELECT h.flag, h.v, h.h, (x - h.v) / h.h AS u, y, pow(1 - pow(abs(x - h.v) / h.h, 3), 3) AS w FROM h JOIN p ON p.flag = h.flag AND abs(x - h.v) < h.h),
+s AS (SELECT flag, v, h, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * w) AS q0, sum(w * w * u) AS q1, sum(w * w * u * u) AS q2 FROM w GROUP BY 1, 2, 3)
+SELECT flag, round(v, 4) + 0.0 AS v, round(h, 4) + 0.0 AS h, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 4) + 0.0 AS value, round((s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1) / h, 4) + 0.0 AS slope,
+round(1e4 * s2 / (s0 * s2 - s1 * s1), 4) + 0.0 AS influence, round(1e4 * (s2 * s2 * q0 - 2 * s1 * s2 * q1 + s1 * s1 * q2) / pow(s0 * s2 - s1 * s1, 2), 4) + 0.0 AS variance FROM s""")
+def local_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_discount") * 100 + F.col("l_quantity")).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    fit = localfit.local_fit(rows, ["flag"], "x", "y", smooth=_LOCAL, ev="grid", points=11)
+    scaled = fit.table().withColumn("influence", F.col("influence") * 1e4).withColumn("variance", F.col("variance") * 1e4)
+    return scaled.select("flag", *(r(c).alias(c) for c in ("v", "h", "value", "slope", "influence", "variance")))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import maps, models, signals, sorting, spectral, waveforms
+from tidemark.operators import localfit, maps, models, signals, sorting, spectral, waveforms
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +250,18 @@ def cluster_map(spark, sf_dir):
 def focus_density(spark, sf_dir):
     foci = table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
     return maps.kernel_density(foci, ["x", "y"], "p_brand", 1.0)
+
+
+def _local_prices(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_discount") * 100 + F.col("l_quantity")).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    return localfit.local_fit(rows, ["l_returnflag"], "x", "y", smooth=localfit.Smooth(nn=0.4))
+
+
+@query
+def local_fit_tree(spark, sf_dir):
+    return _local_prices(spark, sf_dir).table()
+
+
+@query
+def local_fit_criteria(spark, sf_dir):
+    return _local_prices(spark, sf_dir).criteria()

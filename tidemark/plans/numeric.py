@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import localfit, maps, models, signals, sorting, spectral, waveforms
+from tidemark.operators import localfit, maps, models, signals, sorting, spectral, tracking, waveforms
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,8 @@ def local_fit_tree(spark, sf_dir):
 @query
 def local_fit_criteria(spark, sf_dir):
     return _local_prices(spark, sf_dir).criteria()
+
+
+@query
+def running_fit_residuals(spark, sf_dir):
+    return channels(spark, sf_dir).select("user_id", tracking.tracked("samples", 50.0, 24).alias("clean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bins, fields, intervals, localfit, models, stats, waveforms, windows
+from tidemark.operators import bins, fields, intervals, linkage, localfit, models, stats, waveforms, windows
 from tidemark.plans.catalog import _CCG, _W_SQL, E_SQL, HOUR, MINUTE, S_SQL, _ccg, _markers, events, query, r, samples, table, trials
 
 #: 2024-01-01 in microseconds, and the hours from there that are a field.
@@ -241,3 +241,12 @@ def local_lines(spark, sf_dir):
     fit = localfit.local_fit(rows, ["flag"], "x", "y", smooth=_LOCAL, ev="grid", points=11)
     scaled = fit.table().withColumn("influence", F.col("influence") * 1e4).withColumn("variance", F.col("variance") * 1e4)
     return scaled.select("flag", *(r(c).alias(c) for c in ("v", "h", "value", "slope", "influence", "variance")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.id <> b.id AND sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: pow(z[1] - z[2], 2)))) <= 1.07),
+r AS (SELECT id, id AS x FROM e UNION SELECT r.id, p.b FROM r JOIN p ON r.x = p.a), l AS (SELECT id, min(x) AS label FROM r GROUP BY 1)
+SELECT id AS vec_id, label, count(*) OVER (PARTITION BY label) AS size FROM l""")
+def single_linkage_cut(spark, sf_dir):
+    found = linkage.single_linkage(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cut=1.07)
+    return found.select(F.col("id").alias("vec_id"), "label", "size")

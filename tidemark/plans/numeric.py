@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import localfit, maps, models, signals, sorting, spectral, tracking, waveforms
+from tidemark.operators import linkage, localfit, maps, models, signals, sorting, spectral, tracking, waveforms
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,3 +270,8 @@ def local_fit_criteria(spark, sf_dir):
 @query
 def running_fit_residuals(spark, sf_dir):
     return channels(spark, sf_dir).select("user_id", tracking.tracked("samples", 50.0, 24).alias("clean"))
+
+
+@query
+def single_linkage_clusters(spark, sf_dir):
+    return linkage.single_linkage(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", clusters=10).select("id", "label", "size", "cluster")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,3 +206,70 @@ def kernel_rate(df: DataFrame, at: str, grid: DataFrame, point: str, sigma: floa
     rate = F.exp(-F.pow(F.col("lag") / F.lit(sigma), 2) / 2) / F.lit(sigma * (2 * 3.141592653589793) ** 0.5)
     sums = pairs.groupBy(point).agg(F.sum(rate).alias("rate"))
     return grid.join(sums, point, "left").select(point, F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
+def pattern_shifted(df: DataFrame, at: str, keys: list[str], window: int, rounds: int, seed: int = 0) -> DataFrame:
+    """(round, keys, at): trains whose events move window by window, those of a window by one step, drawn from all that keep
+    them in it; intervals within a window stay. Draws go by a hash of round, keys and window."""
+    own = df.select(*keys, at, (F.col(at) - F.pmod(F.col(at), F.lit(window))).alias("_w"))
+    span = own.groupBy(*keys, "_w").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    drawn = span.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    room = F.lit(window) - (F.col("_hi") - F.col("_lo"))
+    drawn = drawn.withColumn("_step", F.col("_w") - F.col("_lo") + F.pmod(F.xxhash64("round", F.lit(seed), *keys, "_w"), room))
+    named = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    same = [F.col(f"_{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    met = own.join(drawn.select("round", "_step", F.col("_w").alias("_own"), *named), [F.col("_w") == F.col("_own"), *same])
+    return met.select("round", *keys, (F.col(at) + F.col("_step")).alias(at))
+
+
+#: Trials that are reassigned together; more are dealt to blocks, anew in each round.
+TRIALS = 4096
+
+
+def reassigned(df: DataFrame, at: str, trial: str, window: int, rounds: int, seed: int = 0) -> DataFrame:
+    """(round, trial, at): trains drawn so that in each window every trial keeps its number of events, and every place its
+    number of events over all trials; a trial has one event at a place at most. Pairs of trials again and again pool the
+    events that only one of them has and deal them out by chance, which leaves both counts as they are. Draws go by a hash
+    of round, window and block, and trials are taken in order, so that they are the same on every run."""
+    own = df.select(F.col(trial).alias("trial"), F.col(at).cast("long").alias("at")).where("at is not null").distinct()
+    n = own.select("trial").distinct().count()
+    parts = max(1, -(-n // TRIALS))
+    rows = own.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", F.floor(F.col("at") / F.lit(window)).cast("long"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("round", F.lit(seed), "trial"), F.lit(parts))).withColumn("draw", F.xxhash64("round", F.lit(seed), "w", "block"))
+
+    def deal(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("trial", "ascending"), ("at", "ascending")])
+        rng = np.random.default_rng(t.column("draw")[0].as_py() & (2**63 - 1))
+        names = t.column("trial").dictionary_encode().combine_chunks()
+        code = names.indices.fill_null(len(names.dictionary)).to_numpy()
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        at = t.column("at").to_numpy()
+        sets = [set(x.tolist()) for x in np.split(at, first[1:])]
+        for _ in range(5 * len(sets) if len(sets) > 1 else 0):
+            i, j = rng.choice(len(sets), 2, replace=False)
+            a, b = sorted(sets[i] - sets[j]), sorted(sets[j] - sets[i])
+            if a and b:
+                pool = rng.permutation(a + b).tolist()
+                both = sets[i] & sets[j]
+                sets[i], sets[j] = both | set(pool[: len(a)]), both | set(pool[len(a) :])
+        out = np.concatenate([sorted(s) for s in sets])  # a trial keeps its number of rows
+        return t.select(["round", "trial"]).append_column("at", pa.array(out, pa.int64()))
+
+    kind = df.schema[trial].dataType.simpleString()
+    out = rows.groupBy("round", "w", "block").applyInArrow(deal, f"round int, trial {kind}, at long")
+    return out.select("round", F.col("trial").alias(trial), F.col("at").alias(at))
+
+
+def resampled_band(a: DataFrame, b: DataFrame, drawn_a: DataFrame, drawn_b: DataFrame, at: str, keys: list[str], reach: int, width: int, rounds: int, share: float = 0.95) -> DataFrame:
+    """(lag, n, mean, low, high): the correlogram, and the mean and the band of those of trains drawn ``rounds`` times
+    (round, keys, at). The band's ends are the drawn values at the places floor(rounds q), the first at least."""
+    own = correlogram(a, b, at, keys, reach, width)
+    pairs = theta_pairs(drawn_a.withColumnRenamed(at, "_a"), drawn_b.select("round", *keys, F.col(at).alias("_b")), "_a", "_b", reach, ["round", *keys])
+    lag = F.floor((F.col("_a") - F.col("_b") + F.lit(width / 2)) / F.lit(width)).cast("long")
+    counts = pairs.groupBy("round", lag.alias("lag")).agg(F.count(F.lit(1)).alias("n"))
+    # rounds without a pair at a lag have none in the list of counts: they are zeros
+    full = F.array_sort(F.concat(F.collect_list("n"), F.array_repeat(F.lit(0).cast("long"), (F.lit(rounds) - F.count(F.lit(1))).cast("int"))))
+    place = lambda q: F.lit(max(1, math.floor(rounds * q + 1e-9)))
+    band = counts.groupBy("lag").agg((F.sum("n") / rounds).alias("mean"), full.alias("_n"))
+    band = band.select("lag", "mean", F.element_at("_n", place((1 - share) / 2)).alias("low"), F.element_at("_n", place((1 + share) / 2)).alias("high"))
+    return own.join(band, "lag", "full").select("lag", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "mean", "low", "high")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import bins, fields, intervals, linkage, localfit, models, stats, waveforms, windows
+from tidemark.operators import alignment, bins, fields, intervals, linkage, localfit, models, stats, waveforms, windows
 from tidemark.plans.catalog import _CCG, _W_SQL, E_SQL, HOUR, MINUTE, S_SQL, _ccg, _markers, events, query, r, samples, table, trials
 
 #: 2024-01-01 in microseconds, and the hours from there that are a field.
@@ -250,3 +250,42 @@ SELECT id AS vec_id, label, count(*) OVER (PARTITION BY label) AS size FROM l"""
 def single_linkage_cut(spark, sf_dir):
     found = linkage.single_linkage(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", cut=1.07)
     return found.select(F.col("id").alias("vec_id"), "label", "size")
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, a AS (SELECT user_id, us, event_type AS code, row_number() OVER (PARTITION BY user_id ORDER BY us, event_type) AS i FROM e),
+b AS (SELECT user_id, us, event_type AS code, row_number() OVER (PARTITION BY user_id ORDER BY us, event_type) AS j FROM e WHERE event_id % 3 <> 0),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, FALSE AS met FROM a UNION ALL
+SELECT w.user_id, w.i + 1, w.j + CASE WHEN a.code = b.code THEN 1 ELSE 0 END, coalesce(a.code = b.code, FALSE) FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i + 1 LEFT JOIN b ON b.user_id = w.user_id AND b.j = w.j + 1),
+m AS (SELECT user_id, max(j) AS j FROM w GROUP BY 1)
+SELECT a.user_id, a.us, a.code AS event_type, b.us AS other FROM w JOIN a ON a.user_id = w.user_id AND a.i = w.i LEFT JOIN b ON w.met AND b.user_id = w.user_id AND b.j = w.j
+UNION ALL SELECT b.user_id, NULL, b.code, b.us FROM b JOIN m ON m.user_id = b.user_id WHERE b.j > m.j""")
+def greedy_merge(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return alignment.greedy_merge(e, e.where("event_id % 3 <> 0"), ["user_id"], "us", "event_type")
+
+
+@query(f"""WITH {E_SQL}, t AS (SELECT event_type, user_id AS trial, min(us) AS begin, max(us) AS stop, min(event_id) AS one FROM e GROUP BY 1, 2)
+SELECT event_type, trial, CAST(begin + 5000 AS BIGINT) AS begin, CAST(stop + 5000 AS BIGINT) AS stop, one % 4 = 0 AS repaired FROM t""")
+def repaired_trials(spark, sf_dir):
+    t = events(spark, sf_dir).groupBy("event_type", F.col("user_id").alias("trial")).agg(F.min("us").alias("begin"), F.max("us").alias("stop"), F.min("event_id").alias("one"))
+    bad = t.where("one % 4 <> 0").select("event_type", "trial", (F.col("begin") + 5000).alias("begin"), (F.col("stop") + 5000).alias("stop"))
+    return alignment.repaired_trials(bad, t, ["event_type"], "trial", "stop", ["begin", "stop"])
+
+
+def _trains(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("us", F.floor(F.col("us") / (10 * MINUTE)).cast("long"))
+    return [e.where(F.col("event_type") == k).select("user_id", "us").distinct() for k in ("click", "view")]
+
+
+@query()
+def pattern_shift_band(spark, sf_dir):
+    a, b = _trains(spark, sf_dir)
+    drawn = [bins.pattern_shifted(x, "us", ["user_id"], 36, 40, seed) for seed, x in enumerate((a, b))]
+    return bins.resampled_band(a, b, *drawn, "us", ["user_id"], 12, 1, 40)
+
+
+@query()
+def reassignment_band(spark, sf_dir):
+    a, b = _trains(spark, sf_dir)
+    drawn = [bins.reassigned(x, "us", "user_id", 36, 40, seed) for seed, x in enumerate((a, b))]
+    return bins.resampled_band(a, b, *drawn, "us", ["user_id"], 12, 1, 40)

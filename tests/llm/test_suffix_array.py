@@ -145,11 +145,18 @@ def test_changed_passages(spark, monkeypatch, most, block):
     check(spark, hard_rows())
 
 
-def test_nothing_goes_without_the_suffix_array(spark, monkeypatch):
-    """What is removed is what the suffix array found."""
-    monkeypatch.setattr(suffix_array, "covered", lambda rows: rows.limit(0).selectExpr("common", "gram", "context", "lo as first", "hi as last"))
-    df = spark.createDataFrame(hard_rows(), "doc_id long, text string")
-    assert not any(r.spans for r in suffix_array.remove_repeats(df).collect())
+def test_order_of_suffixes_decides_what_differs(monkeypatch):
+    """Contents that differ are judged by the suffix array: under a wrong order their repeats are missed, while a content
+    that stands twice as it is needs none."""
+    rng = np.random.default_rng(5)
+    shared = rng.bytes(200)
+    row = lambda left, right, copies: (1, 1, len(left), 0, 200, copies, True, False, left, right)
+    differing = [row(b"x" + shared, b"y" * 150, 1), row(rng.bytes(201), b"v" * 150, 1), row(b"z" + shared, b"w" * 150, 1)]
+    found = list(suffix_array._judge(differing))
+    assert len(found) == 2
+    same = list(suffix_array._judge([row(shared, b"y" * 150, 2)]))
+    monkeypatch.setattr(suffix_array, "suffix_array", lambda text: list(range(len(text))))
+    assert len(list(suffix_array._judge(differing))) < 2 and list(suffix_array._judge([row(shared, b"y" * 150, 2)])) == same
 
 
 def test_shared_strings_of_a_shorter_length(spark):

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings with suffix arrays built by linear grouping construction.
+"""Removal of repeated byte strings: whole repeats by hashes, others by suffix arrays of linear grouping construction.
 
 Every byte that is covered by a ``LENGTH``-byte string that also starts anywhere else goes. All of this is exact:
 
@@ -6,11 +6,11 @@ Every byte that is covered by a ``LENGTH``-byte string that also starts anywhere
    equal strings have their anchors at the same place. A document has an anchor every FLANK / 2 bytes or so.
 2. Anchors whose gram stands nowhere else can't be in a repeated string. The others are taken by wordings: a wording is
    a gram with its context (FLANK bytes before it and after it), wherever it stands.
-3. The suffix array judges the wordings. What all contents of a group have in common is one symbol. A wording that
-   stands more than once is a group of its own, with two contents. Wordings that share a gram with others are cut into
-   slices: the windows that begin ``s`` bytes before the gram, s in a range of STEP; the bytes that all windows of a
+3. A wording that stands more than once is repeated as a whole. That is told by the equality of its two 64-bit hashes, not
+   by a suffix array, and it is what most removed bytes of near and exact copies go by. The suffix array judges the other
+   wordings that share a gram: what all contents of a group have in common is one symbol. They are cut into slices: the windows that begin ``s`` bytes before the gram, s in a range of STEP; the bytes that all windows of a
    slice hold are its key, and a group are the contents of one key. The suffix array of a group brings equal windows
-   together. In groups with more than MOST_ROWS rows, rows of the same content are put together; groups of more contents
+   together; a group whose rows all have one content needs none. In groups with more than MOST_ROWS rows, rows of the same content are put together; groups of more contents
    are dealt anew by the next symbols: their slices are cut finer, so that keys hold more bytes, down to a window each.
 4. Covered ranges are joined to spans by document, and cut out.
 
@@ -30,7 +30,6 @@ carried. Candidates and keys go by 64-bit hashes of bytes, contents by the bytes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -315,9 +314,9 @@ def finer(rows: DataFrame, step: int) -> DataFrame:
     return rows.select(common.alias("common"), "gram", "context", F.col("a").alias("lo"), F.col("b").alias("hi"), "copies", "told", "whole", kept.alias("left"), F.expr("substring(right, y + 1, b - a)").alias("right"))
 
 
-#: The masks of a group of one content that stands more than once, by its windows and bytes: its suffix array has the
-#: same few symbols each time, whatever the bytes are.
-_alike = lru_cache(maxsize=4096)(lambda left, right, span: repeated_windows([(b"\0" * left, b"\0" * right, 2)], span)[0])
+def _fitting(left: int, right: int, span: int) -> int:
+    """The windows that lie in a content of so many bytes before and after the common part."""
+    return sum(1 << k for k in range(span + 1) if k <= left and span - k <= right)
 
 
 def _judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -329,7 +328,7 @@ def _judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
     span = 0 if whole else hi - lo
     if len(by) == 1:
         left, right = next(iter(by))
-        masks = [_alike(len(left), len(right), span) if len(group) > 1 or group[0][5] > 1 else 0]
+        masks = [_fitting(len(left), len(right), span) if len(group) > 1 or group[0][5] > 1 else 0]
     else:
         masks = repeated_windows([(left, right, min(2, sum(r[5] for r in own))) for (left, right), own in by.items()], span)
     for own, mask in zip(by.values(), masks):

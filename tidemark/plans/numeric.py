@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import linkage, localfit, maps, models, signals, sorting, spectral, tracking, waveforms
+from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tracking, waveforms
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,10 @@ def running_fit_residuals(spark, sf_dir):
 @query
 def single_linkage_clusters(spark, sf_dir):
     return linkage.single_linkage(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", clusters=10).select("id", "label", "size", "cluster")
+
+
+@query
+def independent_sources(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    found = components.independent_components(vectors, "embedding", 4, "cube", most=60)
+    return components.source_values(vectors, "embedding", found).select("vec_id", "sources")

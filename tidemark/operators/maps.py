@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ast
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.checkpoints import checkpoint
@@ -104,3 +105,41 @@ def kernel_density(foci: DataFrame, axes: list[str], study: str, radius: float)
     studies = foci.agg(F.countDistinct(study).alias("_n"))  # one row
     near = sphere(foci, axes, study, radius).select(*axes, study).distinct().groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
     return near.join(F.broadcast(studies)).select(*axes, (F.col("n") / F.col("_n")).alias("share"))
+
+
+def placed(foci: DataFrame, mask: DataFrame, axes: list[str], study: str, rounds: int, seed: int = 0) -> DataFrame:
+    """(round, study, axes): each study's foci at points of ``mask`` drawn with equal chance, ``rounds`` times. Points are
+    numbered by slices of the first axis, foci within their study; draws go by a hash of round, study and number, so that
+    they are the same in any partitioning."""
+    first, *others = axes
+    points = mask.select(*axes).distinct()
+    slices = points.groupBy(first).agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.orderBy(first).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a slice
+    starts = slices.select(F.col(first).alias("_slice"), (F.sum("_m").over(before) - F.col("_m")).alias("_start"))
+    at = F.row_number().over(Window.partitionBy(first).orderBy(*(others or [first]))) - 1
+    numbered = points.withColumn("_at", at).join(starts, F.col(first) == F.col("_slice")).select(*axes, (F.col("_at") + F.col("_start")).cast("long").alias("_n"))
+    total = slices.agg(F.sum("_m").alias("_total"))  # one row
+    each = foci.groupBy(study).agg(F.count(F.lit(1)).cast("int").alias("_f")).join(F.broadcast(total))
+    drawn = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_f"))))
+    drawn = drawn.select("round", study, F.pmod(F.xxhash64("round", F.lit(seed), F.col(study), "_k"), F.col("_total")).alias("_n"))
+    return drawn.join(numbered, "_n").select("round", study, *axes)
+
+
+def density_limit(foci: DataFrame, mask: DataFrame, axes: list[str], study: str, radius: float, rounds: int = 100, share: float = 0.95, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The limit that the largest share of a map of kernel_density() stays under in ``share`` of maps by chance, as a row
+    (limit), and (round, largest), the largest of each drawn map within ``mask``. Maps are counted for all rounds at once."""
+    studies = foci.agg(F.countDistinct(study).alias("_s"))  # one row
+    drawn = placed(foci, mask, axes, study, rounds, seed).withColumn("_of", F.struct("round", study))
+    reached = sphere(drawn, axes, "_of", radius).select(F.col("_of.round").alias("round"), F.col(f"_of.{study}").alias("_study"), *axes).distinct()
+    inside = reached.join(mask.select(*axes).distinct(), axes, "left_semi")
+    counts = inside.groupBy("round", *axes).agg(F.count(F.lit(1)).alias("_c"))
+    largest = counts.groupBy("round").agg(F.max("_c").alias("_c")).join(F.broadcast(studies)).select("round", (F.col("_c") / F.col("_s")).alias("largest"))
+    place = max(1, min(rounds, math.ceil(rounds * share - 1e-9)))
+    return largest.agg(F.element_at(F.array_sort(F.collect_list("largest")), place).alias("limit")), largest
+
+
+def above_chance(foci: DataFrame, mask: DataFrame, axes: list[str], study: str, radius: float, rounds: int = 100, share: float = 0.95, seed: int = 0) -> DataFrame:
+    """(axes, share, limit, above) of the points of ``mask`` that a study reaches."""
+    limit, _ = density_limit(foci, mask, axes, study, radius, rounds, share, seed)
+    own = kernel_density(foci, axes, study, radius).join(mask.select(*axes).distinct(), axes, "left_semi")
+    return own.join(F.broadcast(limit)).withColumn("above", F.col("share") > F.col("limit"))  # one row

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alignment, bins, fields, intervals, linkage, localfit, models, stats, waveforms, windows
+from tidemark.operators import alignment, bins, fields, intervals, linkage, localfit, maps, models, stats, waveforms, windows
 from tidemark.plans.catalog import _CCG, _W_SQL, E_SQL, HOUR, MINUTE, S_SQL, _ccg, _markers, events, query, r, samples, table, trials
 
 #: 2024-01-01 in microseconds, and the hours from there that are a field.
@@ -289,3 +289,11 @@ def reassignment_band(spark, sf_dir):
     a, b = _trains(spark, sf_dir)
     drawn = [bins.reassigned(x, "us", "user_id", 36, 40, seed) for seed, x in enumerate((a, b))]
     return bins.resampled_band(a, b, *drawn, "us", ["user_id"], 12, 1, 40)
+
+
+@query("""WITH f AS (SELECT p_brand, CAST(p_partkey % 40 AS INT) AS x, CAST(p_size AS INT) AS y FROM part WHERE p_size <= 20),
+n AS (SELECT DISTINCT p_brand, x + dx AS x, y + dy AS y FROM f, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy))
+SELECT x, y, round(count(*) / (SELECT count(DISTINCT p_brand) FROM f)::DOUBLE, 4) + 0.0 AS share FROM n GROUP BY 1, 2""")
+def focus_density(spark, sf_dir):
+    foci = table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
+    return maps.kernel_density(foci, ["x", "y"], "p_brand", 1.0).select("x", "y", r("share").alias("share"))

@@ -246,10 +246,14 @@ def cluster_map(spark, sf_dir):
     return maps.cluster_table(maps.clusters(points, "v", float(top), ["x", "y"], 2), "v", ["x", "y"])
 
 
+def _foci(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
+
+
 @query
-def focus_density(spark, sf_dir):
-    foci = table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
-    return maps.kernel_density(foci, ["x", "y"], "p_brand", 1.0)
+def density_above_chance(spark, sf_dir):
+    foci = _foci(spark, sf_dir)
+    return maps.above_chance(foci, foci.select("x", "y"), ["x", "y"], "p_brand", 1.0, 50)
 
 
 def _local_prices(spark, sf_dir):

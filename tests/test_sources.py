@@ -34,6 +34,36 @@ def test_samples_come_back(spark, nsx):
     assert {r.stamp for r in rows if r["first"] == 1000} == {90_000} and rows[0].rate == 1000.0
 
 
+@pytest.mark.parametrize("version", [(2, 1), (2, 2), (3, 0)])
+def test_all_kinds_of_files(spark, nsx, tmp_path, version):
+    """Also packets of one or few samples each, which are read as runs while their stamps go on."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-999, 999, (4000, 3)).astype(np.int16)
+    cut = [(30 * k, x[k : k + 1]) for k in range(1500)] + [(30 * k + 7_000_000, x[k : k + 5]) for k in range(1500, 3000, 5)] + [(2**31, x[3000:])]
+    (tmp_path / "a.ns2").write_bytes(recordings.nsx_bytes([4, 5, 9], 1000.0, cut, version=version))
+    head = recordings.nsx_header(str(tmp_path / "a.ns2"))
+    assert head.channels == [4, 5, 9] and head.rate == 1000.0
+    assert [(p.stamp, p.samples) for p in head.packets] == ([(0, 4000)] if version == (2, 1) else [(0, 1500), (7_045_000, 1500), (2**31, 1000)])
+    for size in (32 << 20, 700):
+        rows = spark.read.format("nsx").option("path", f"{tmp_path}/a.ns2").option("chunk_bytes", size).load().collect()
+        assert all(joined(rows, c).tolist() == x[:, k].tolist() for k, c in enumerate((4, 5, 9)))
+    rows = spark.read.format("nsx").option("path", f"{tmp_path}/a.ns2").option("start", 1490).option("end", 2003).option("skip", 7).load().collect()
+    assert joined(rows, 5).tolist() == x[1490:2003:7, 1].tolist()
+
+
+def test_what_is_no_packet_is_an_error(nsx, tmp_path):
+    data = recordings.nsx_bytes([1], 1000.0, [(0, np.zeros((5, 1), np.int16)), (9, np.zeros((5, 1), np.int16))])
+    second = len(data) - 10 - 9
+    (tmp_path / "b.ns2").write_bytes(data[:second] + b"\7" + data[second + 1 :])
+    with pytest.raises(ValueError, match=f"no packet at byte {second}"):
+        recordings.nsx_header(str(tmp_path / "b.ns2"))
+    (tmp_path / "c.ns2").write_bytes(data[: second - 19] + bytes(12))  # no packet at all: six samples
+    assert [(p.stamp, p.samples) for p in recordings.nsx_header(str(tmp_path / "c.ns2")).packets] == [(0, 6)]
+    (tmp_path / "d.ns2").write_bytes(b"else")
+    with pytest.raises(ValueError, match="not a sampled recording"):
+        recordings.nsx_header(str(tmp_path / "d.ns2"))
+
+
 def test_channels_ranges_and_steps(spark, nsx):
     folder, packets = nsx
     whole = np.concatenate([x for _, x in packets])

@@ -1,4 +1,4 @@
-"""Recordings as Spark tables: sampled channels (NSx 2.2/2.3), event packets (NEV), volumes (NIfTI-1) and text logs.
+"""Recordings as Spark tables: sampled channels (NSx 2.1 to 3.0), event packets (NEV), volumes (NIfTI-1) and text logs.
 
 The two recording formats are Python data sources: the driver reads headers only, and each partition reads its own byte range
 of one file. Paths may be local or any URI that pyarrow's file systems open. Writers make one file for each partition.
@@ -12,7 +12,7 @@ from __future__ import annotations
 import fnmatch
 import posixpath
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: File ids, and the resolution of the clock that time stamps count.
-NSX_ID, NEV_ID = b"NEURALCD", b"NEURALEV"
+#: File ids of sampled recordings without and with described channels, and of events; ticks of the clock a
+#: second where a file doesn't tell.
+NSX_PLAIN, NSX_ID, NSX_GROUP, NEV_ID = b"NEURALSG", b"NEURALCD", b"BRSMPGRP", b"NEURALEV"
+CLOCK = 30_000
+#: Bytes that are read at once while packets are looked for.
+AHEAD = 1 << 20
 CHUNK_BYTES = 32 << 20
 #: Samples of all channels that are turned at once, so that they stay in the cache.
 TURNED = 2048
@@ -61,11 +65,14 @@ def _size(path: str) -> int:
 
 @dataclass
 class Packet:
-    """A run of samples without a pause: the time stamp of its first, where its data begin, and its number of samples."""
+    """A run of samples without a pause: the time stamp of its first, where its data begin, and its number of samples. A run
+    can be of packets of ``each`` samples that follow one another, with ``gap`` bytes between their data."""
 
     stamp: int
     offset: int
     samples: int
+    each: int = 0
+    gap: int = 0
 
 
 @dataclass
@@ -78,38 +85,88 @@ class NsxHeader:
 
 
 def nsx_header(path: str) -> NsxHeader:
-    head = _read(path, 0, 314)
-    if head[:8] != NSX_ID:
+    """Channels and packets of a file of any of the three kinds. Packets are found in one pass that skips their data, small
+    ones through a buffer; those whose time stamps continue the ones before make one run. A file without packets is one
+    run, and a mark that is none within a file with packets is an error."""
+    head = _read(path, 0, min(314, _size(path)))
+    if head[:8] not in (NSX_PLAIN, NSX_ID, NSX_GROUP):
         raise ValueError(f"not a sampled recording: {path}")
-    size, = struct.unpack_from("<I", head, 10)
-    period, clock = struct.unpack_from("<II", head, 286)
-    n, = struct.unpack_from("<I", head, 310)
-    more = _read(path, 314, 66 * n)
-    channels, scale = [], []
-    for k in range(n):
-        at = 66 * k
-        channels.append(struct.unpack_from("<H", more, at + 2)[0])
-        low, high, analog_low, analog_high = struct.unpack_from("<hhhh", more, at + 22)
-        scale.append((analog_high - analog_low) / (high - low) if high != low else 1.0)
-    packets, at, end = [], size, _size(path)
-    while at + 9 <= end:
-        mark, stamp, count = struct.unpack("<BII", _read(path, at, 9))
-        if mark != 1:
-            break
-        at += 9
-        count = min(count, (end - at) // (2 * n)) if n else 0
-        packets.append(Packet(stamp, at, count))
-        at += 2 * n * count
-    return NsxHeader(channels, scale, clock / period, clock, packets)
-
-
-def nsx_bytes(channels: list[int], rate: float, packets: list[tuple[int, np.ndarray]], clock: int = 30_000) -> bytes:
-    """A file of packets (time stamp, samples x channels of int16)."""
-    head = NSX_ID + bytes([2, 3]) + struct.pack("<I", 314 + 66 * len(channels)) + b"tidemark".ljust(16, b"\0") + bytes(256) + struct.pack("<II", round(clock / rate), clock) + bytes(16) + struct.pack("<I", len(channels))
+    if head[:8] == NSX_PLAIN:
+        period, n = struct.unpack_from("<II", head, 24)
+        clock, size, wide = CLOCK, 32 + 4 * n, None
+        channels, scale = list(struct.unpack(f"<{n}I", _read(path, 32, 4 * n))), [1.0] * n
+    else:
+        wide = 8 if head[8] >= 3 else 4  # bytes of time stamps
+        size, = struct.unpack_from("<I", head, 10)
+        period, clock = struct.unpack_from("<II", head, 286)
+        n, = struct.unpack_from("<I", head, 310)
+        more = _read(path, 314, 66 * n)
+        channels, scale = [], []
+        for k in range(n):
+            at = 66 * k
+            channels.append(struct.unpack_from("<H", more, at + 2)[0])
+            low, high, analog_low, analog_high = struct.unpack_from("<hhhh", more, at + 22)
+            scale.append((analog_high - analog_low) / (high - low) if high != low else 1.0)
+    rate = clock / period if period else float(CLOCK)
+    return NsxHeader(channels, scale, rate, clock, _packets(path, size, n, wide, clock / rate))
+
+
+def _packets(path: str, at: int, n: int, wide: int | None, ticks: float) -> list[Packet]:
+    """``wide``: bytes of time stamps; None for files that have no packets."""
+    out: list[Packet] = []
+    store, plain = _store(path)
+    with store.open_input_file(plain) as file:
+        end, start, held = file.size(), 0, b""
+        first, head = at, 5 + (wide or 0)
+        while wide and at + head <= end:
+            if not start <= at <= start + len(held) - head:
+                # far ahead of what is held: only a header is read, since the packets are large
+                start, held = at, file.read_at(min(head if at - start > AHEAD else AHEAD, end - at), at)
+            mark, stamp, count = struct.unpack_from("<BQI" if wide == 8 else "<BII", held, at - start)
+            if mark != 1:
+                if at == first:
+                    break
+                raise ValueError(f"{path}: no packet at byte {at}")
+            at += head
+            count = min(count, (end - at) // (2 * n)) if n else 0
+            last = out[-1] if out else None
+            if last and count and (last.each or last.samples) == count and last.offset + _width(last, n) + head == at and round(last.stamp + last.samples * ticks) == stamp:
+                last.each, last.gap, last.samples = count, head, last.samples + count
+            else:
+                out.append(Packet(stamp, at, count))
+            at += 2 * n * count
+        if not out and n and end > first:
+            out.append(Packet(0, first, (end - first) // (2 * n)))
+    return out
+
+
+def _width(p: Packet, n: int) -> int:
+    """Bytes from the first sample of a run to its last."""
+    return 2 * n * p.samples + (p.gap * (p.samples // p.each - 1) if p.each else 0)
+
+
+def _samples(path: str, p: Packet, first: int, samples: int, n: int) -> np.ndarray:
+    """(samples, n) of a run from sample ``first`` on."""
+    if not p.each:
+        return np.frombuffer(_read(path, p.offset + 2 * n * first, 2 * n * samples), "<i2").reshape(-1, n)
+    a, b = first // p.each, -(-(first + samples) // p.each)
+    row = 2 * n * p.each
+    data = _read(path, p.offset + a * (row + p.gap), (b - a) * (row + p.gap) - p.gap) + bytes(p.gap)
+    x = np.frombuffer(data, np.uint8).reshape(b - a, row + p.gap)[:, :row]
+    return np.ascontiguousarray(x).view("<i2").reshape(-1, n)[first - a * p.each :][:samples]
+
+
+def nsx_bytes(channels: list[int], rate: float, packets: list[tuple[int, np.ndarray]], clock: int = CLOCK, version: tuple[int, int] = (2, 3)) -> bytes:
+    """A file of packets (time stamp, samples x channels of int16). Version 2.1 has no packets: their samples follow one
+    another; from 3.0 on time stamps have 8 bytes."""
+    if version == (2, 1):
+        head = NSX_PLAIN + b"tidemark".ljust(16, b"\0") + struct.pack("<II", round(CLOCK / rate), len(channels)) + struct.pack(f"<{len(channels)}I", *channels)
+        return head + b"".join(np.ascontiguousarray(x, "<i2").tobytes() for _, x in packets)
+    head = (NSX_GROUP if version[0] >= 3 else NSX_ID) + bytes(version) + struct.pack("<I", 314 + 66 * len(channels)) + b"tidemark".ljust(16, b"\0") + bytes(256) + struct.pack("<II", round(clock / rate), clock) + bytes(16) + struct.pack("<I", len(channels))
     for c in channels:
         head += b"CC" + struct.pack("<H", c) + f"ch{c}".encode().ljust(16, b"\0") + bytes(2) + struct.pack("<hhhh", -8191, 8191, -8191, 8191) + b"uV".ljust(16, b"\0") + bytes(20)
     for stamp, x in packets:
-        head += struct.pack("<BII", 1, stamp, len(x)) + np.ascontiguousarray(x, "<i2").tobytes()
+        head += struct.pack("<BQI" if version[0] >= 3 else "<BII", 1, stamp, len(x)) + np.ascontiguousarray(x, "<i2").tobytes()
     return head
 
 
@@ -122,6 +179,19 @@ class Part(InputPartition):
     first: int
 
 
+@dataclass
+class Run(InputPartition):
+    """Samples of a run of packets; ``head`` without the packets."""
+
+    path: str
+    head: NsxHeader | None
+    run: Packet | None
+    at: int
+    samples: int
+    stamp: int
+    first: int
+
+
 class NsxReader(DataSourceReader):
     def __init__(self, options):
         self.files = expand(options["path"])
@@ -135,22 +205,23 @@ class NsxReader(DataSourceReader):
         out = []
         for path in self.files:
             h, first = nsx_header(path), 0
+            head = replace(h, packets=[])
             wide = 2 * max(1, len(h.channels))
             step = max(self.every, self.chunk // wide // self.every * self.every)
             for p in h.packets:
                 a, b = max(self.start - first, 0), min(self.end - first, p.samples)
                 a += -(a + first - self.start) % self.every if self.every > 1 else 0
                 for k in range(a, b, step):
-                    out.append(Part(path, p.offset + k * wide, min(step, b - k), round(p.stamp + k * h.clock / h.rate), first + k))
+                    out.append(Run(path, head, p, k, min(step, b - k), round(p.stamp + k * h.clock / h.rate), first + k))
                 first += p.samples
-        return out or [Part("", 0, 0, 0, 0)]
+        return out or [Run("", None, None, 0, 0, 0, 0)]
 
     def read(self, part):
         if not part.path:
             return
-        h = nsx_header(part.path) if not hasattr(self, "_h") or self._h[0] != part.path else self._h[1]
+        h = part.head
         n = len(h.channels)
-        x = np.frombuffer(_read(part.path, part.offset, 2 * n * part.samples), "<i2").reshape(-1, n)[:: self.every]
+        x = _samples(part.path, part.run, part.at, part.samples, n)[:: self.every]
         own = [k for k, c in enumerate(h.channels) if not self.only or c in self.only]
         if not own:
             return

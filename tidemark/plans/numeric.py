@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tracking, waveforms
+from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tensors, tracking, waveforms
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,3 +286,16 @@ def independent_sources(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     found = components.independent_components(vectors, "embedding", 4, "cube", most=60)
     return components.source_values(vectors, "embedding", found).select("vec_id", "sources")
+
+
+def daily_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bank, day, event_type, samples): 24 hourly sums of the events of a sixteenth of the users."""
+    h = hourly(spark, sf_dir).groupBy(F.pmod("user_id", F.lit(16)).alias("bank"), F.floor(F.col("h") / 24).cast("int").alias("day"), "event_type", (F.col("h") % 24).alias("h")).agg(F.sum("v").alias("v"))
+    packed = h.groupBy("bank", "day", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("h", "v"))).alias("m"))
+    return packed.select("bank", "day", "event_type", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("samples"))
+
+
+@query
+def pulse_artifacts(spark, sf_dir):
+    """Days are pulses, event types channels, banks of users trials."""
+    return tensors.clean_pulses(daily_segments(spark, sf_dir), "bank", "day", "event_type", "samples", 2, 2, 2)

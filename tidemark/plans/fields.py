@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alignment, bins, fields, intervals, linkage, localfit, maps, models, stats, waveforms, windows
+from tidemark.operators import alignment, bins, fields, intervals, linkage, localfit, maps, models, stats, waveforms, wavelets, windows
 from tidemark.plans.catalog import _CCG, _W_SQL, E_SQL, HOUR, MINUTE, S_SQL, _ccg, _markers, events, query, r, samples, table, trials
 
 #: 2024-01-01 in microseconds, and the hours from there that are a field.
@@ -297,3 +297,15 @@ SELECT x, y, round(count(*) / (SELECT count(DISTINCT p_brand) FROM f)::DOUBLE, 4
 def focus_density(spark, sf_dir):
     foci = table(spark, sf_dir, "part").where("p_size <= 20").select("p_brand", (F.pmod("p_partkey", F.lit(40))).cast("int").alias("x"), F.col("p_size").cast("int").alias("y"))
     return maps.kernel_density(foci, ["x", "y"], "p_brand", 1.0).select("x", "y", r("share").alias("share"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, CAST(len(embedding) AS BIGINT) AS n FROM embeddings),
+p AS (SELECT vec_id, x, n, unnest(range(n)) AS k FROM e WHERE n % 4 = 0),
+c AS (SELECT vec_id, k, CASE WHEN k < n // 4 THEN (x[4 * k + 1] + x[4 * k + 2] + x[4 * k + 3] + x[4 * k + 4]) / 2
+WHEN k < n // 2 THEN (x[4 * k - n + 1] + x[4 * k - n + 2] - x[4 * k - n + 3] - x[4 * k - n + 4]) / 2
+ELSE (x[2 * k - n + 1] - x[2 * k - n + 2]) / sqrt(2) END AS v FROM p)
+SELECT vec_id, CAST(k AS INT) AS k, round(v, 4) + 0.0 AS v FROM c""")
+def haar_coefficients(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").where(F.size("embedding") % 4 == 0)
+    done = vectors.select("vec_id", wavelets.decomposed("embedding", wavelets.wavelet_nodes(2), 1).alias("c"))
+    return done.select("vec_id", F.posexplode("c").alias("k", "v")).select("vec_id", "k", r("v").alias("v"))

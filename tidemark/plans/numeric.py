@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tensors, tracking, waveforms
+from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tensors, tracking, waveforms, wavelets
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,3 +299,17 @@ def daily_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pulse_artifacts(spark, sf_dir):
     """Days are pulses, event types channels, banks of users trials."""
     return tensors.clean_pulses(daily_segments(spark, sf_dir), "bank", "day", "event_type", "samples", 2, 2, 2)
+
+
+@query
+def packet_features(spark, sf_dir):
+    """The ten packet coefficients that are farthest from normal, of the basis that suits the mean vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    basis = wavelets.best_basis(vectors, "embedding", 4)
+    return wavelets.best_features(vectors.select("vec_id", wavelets.decomposed("embedding", basis).alias("c")), "c", 10).select("vec_id", "best")
+
+
+@query
+def multiwavelet_distances(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(wavelets.multiwavelet("embedding", 3, scaling=False).alias("c"))
+    return wavelets.normal_distances(vectors, "c")

@@ -30,4 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     """As checkpoint(), but as a compressed table, for what is wide or large; it is read by columns."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote for these tables; nothing that is still to run may read them."""
+    for df in tables:
+        path = df.__dict__.get("written_at")
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

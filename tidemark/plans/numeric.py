@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import components, linkage, localfit, maps, models, signals, sorting, spectral, tensors, tracking, waveforms, wavelets
+from tidemark.operators import components, linkage, localfit, maps, models, paramagnetic, signals, sorting, spectral, tensors, tracking, waveforms, wavelets
 from tidemark.operators.spectral import Taper
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,3 +313,9 @@ def packet_features(spark, sf_dir):
 def multiwavelet_distances(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(wavelets.multiwavelet("embedding", 3, scaling=False).alias("c"))
     return wavelets.normal_distances(vectors, "c")
+
+
+@query
+def superparamagnetic_clusters(spark, sf_dir):
+    found = paramagnetic.superparamagnetic(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [0.02, 0.08, 0.2], rounds=1, replicas=8, settle=1)
+    return found.clusters(least=5)

@@ -98,3 +98,18 @@ def test_awkward_and_empty(spark, awkward, empty):
     assert [r.doc_id for r in decontaminate.contamination(awkward, items).where("size(spans) > 0").collect()] == [8]
     assert decontaminate.contamination(awkward, none).where("size(spans) > 0").count() == 0
     assert decontaminate.contamination(empty, items).count() == 0
+
+
+def test_windows_by_their_rarest_term():
+    rng = random.Random(2)
+    block = {tuple(rng.choice([b"a", b"b", b"c", b"d%d" % rng.randrange(40)]) for _ in range(rng.randint(1, 5))): [str(k)] for k in range(200)}
+    told = decontaminate.by_rarest(block)
+    assert sorted((terms, names) for group in told.values() for terms, names in group) == sorted(block.items())
+    having = {t: sum(t in terms for terms in block) for terms in block for t in terms}
+    assert all(t == min(terms, key=lambda x: (having[x], x)) for t, group in told.items() for terms, _ in group)
+
+
+
+def test_windows_of_foreign_words_need_no_look_up():
+    block = {(b"the", b"foreign%d" % k): ["x"] for k in range(100)} | {(b"the", b"word"): ["y"]}
+    assert decontaminate.by_rarest(block).keys() & {b"the", b"word"} == {b"word"}

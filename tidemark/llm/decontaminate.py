@@ -18,7 +18,9 @@ rows give a row each; no items: nothing is hit; other columns are not carried.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,9 +189,19 @@ def blocks(items: DataFrame, item_col: str, text_col: str, size: int, block_byte
         yield out
 
 
+def by_rarest(block: dict[tuple[bytes, ...], list[str]]) -> dict[bytes, list[tuple[tuple[bytes, ...], list[str]]]]:
+    """The windows of a block, with their items, under the term of each that the fewest windows have, of equal ones the
+    least. A segment need only look for windows whose term it has, so windows of foreign words cost it nothing."""
+    having = Counter(t for terms in block for t in set(terms))
+    out: dict[bytes, list] = {}
+    for terms, names in block.items():
+        out.setdefault(min(terms, key=lambda t: (having[t], t)), []).append((terms, names))
+    return out
+
+
 def _hits(index: DataFrame, block: dict[tuple[bytes, ...], list[str]], slop: int, all_rows: bool) -> DataFrame:
     """(segment, place, id, n_words, spans, items) of the documents of the index, or of those alone that are hit."""
-    sent = index.sparkSession.sparkContext.broadcast(block)
+    sent = index.sparkSession.sparkContext.broadcast(by_rarest(block))
     kind = index.schema["docs"].dataType.elementType
     schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T.ArrayType(T.StringType()))])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -199,7 +211,7 @@ def _hits(index: DataFrame, block: dict[tuple[bytes, ...], list[str]], slop: int
             for s, number in zip(segments([batch]), batch.column(5).to_pylist()):
                 edges = np.zeros(int((s.sizes + 1).sum()) + 1, np.int32)
                 of: dict[int, set[str]] = {}
-                for terms, names in sent.value.items():
+                for terms, names in chain.from_iterable(map(sent.value.__getitem__, sent.value.keys() & s.number.keys())):
                     first, last = (x := s.phrase(terms), x + len(terms) - 1) if not slop else s.near(terms, slop)
                     if len(first):
                         np.add.at(edges, first, 1)

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings: whole repeats by hashes, others by suffix arrays of linear grouping construction.
+"""Removal of repeated byte strings by suffix arrays of linear grouping construction.
 
 Every byte that is covered by a ``LENGTH``-byte string that also starts anywhere else goes. All of this is exact:
 
@@ -6,12 +6,16 @@ Every byte that is covered by a ``LENGTH``-byte string that also starts anywhere
    equal strings have their anchors at the same place. A document has an anchor every FLANK / 2 bytes or so.
 2. Anchors whose gram stands nowhere else can't be in a repeated string. The others are taken by wordings: a wording is
    a gram with its context (FLANK bytes before it and after it), wherever it stands.
-3. A wording that stands more than once is repeated as a whole. That is told by the equality of its two 64-bit hashes, not
-   by a suffix array, and it is what most removed bytes of near and exact copies go by. The suffix array judges the other
-   wordings that share a gram: what all contents of a group have in common is one symbol. They are cut into slices: the windows that begin ``s`` bytes before the gram, s in a range of STEP; the bytes that all windows of a
-   slice hold are its key, and a group are the contents of one key. The suffix array of a group brings equal windows
-   together; a group whose rows all have one content needs none. In groups with more than MOST_ROWS rows, rows of the same content are put together; groups of more contents
-   are dealt anew by the next symbols: their slices are cut finer, so that keys hold more bytes, down to a window each.
+3. A wording whose two 64-bit hashes stand more than once is a candidate for a repeat as a whole. The bytes of its first
+   and its last occurrence are fetched, those of neighbouring wordings in the same two documents as one stretch. The
+   stretch is cut where windows of its wordings begin or end, each string between two cuts is a symbol (the same for the
+   same bytes), and the suffix array over the symbols of both occurrences tells which windows stand elsewhere.
+   The other wordings that share a gram differ somewhere: what all contents of a group have in common is one symbol.
+   They are cut into slices: the windows that begin ``s`` bytes before the gram, s in a range of STEP; the bytes that all
+   windows of a slice hold are its key, and a group are the contents of one key. The suffix array of a group brings equal
+   windows together; a group whose rows all have one content needs none. In groups with more than MOST_ROWS rows, rows
+   of the same content are put together; groups of more contents are dealt anew by the next symbols: their slices are cut
+   finer, so that keys hold more bytes, down to a window each.
 4. Covered ranges are joined to spans by document, and cut out.
 
 The suffix array (``suffix_array``) sorts suffixes into groups by their Lyndon prefix: groups are taken in descending
@@ -24,7 +28,8 @@ too. It is above 0 wherever a string of SHORT bytes does, and each anchor that c
 
 Cases: a null or empty text, and one under LENGTH bytes, keeps all its bytes; repeated rows are each other's copies;
 overlapping repeats within a document count; a null id is an id; long texts are hashed in blocks; other columns are not
-carried. Candidates and keys go by 64-bit hashes of bytes, contents by the bytes.
+carried. Rows that repeat both id and text are one document that stands twice. Candidates and keys go by 64-bit hashes
+of bytes, contents and stretches by the bytes.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ STEP = 25
 FINER = (5, 1)
 #: First and last window offset of each slice.
 SLICES = [(lo, min(FLANK, lo + STEP - 1)) for lo in range(0, FLANK + 1, STEP)]
+#: Places of a document whose wordings make a stretch.
+PLACES = 1 << 14
 #: Rows of a group that a task holds.
 MOST_ROWS = 128
 #: Keys of documents, or of groups with too many rows, that are broadcast at most: 8 bytes each.
@@ -258,8 +265,10 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 #: Rows for the suffix array: the group; the wording; first and last window; how often the wording stands (1, or 2 for
-#: more); whether its windows are to be told; whether they are one symbol as a whole; the bytes around what is common.
-ROW = "common long, gram long, context long, lo int, hi int, copies int, told boolean, whole boolean, left binary, right binary"
+#: more); whether its windows are to be told; the bytes around what is common.
+ROW = "common long, gram long, context long, lo int, hi int, copies int, told boolean, left binary, right binary"
+#: Rows of ROW or, if ``piece``, bytes (left) of a stretch (common): where they begin (lo) and of which occurrence (hi).
+FETCHED = f"{ROW}, piece boolean"
 _lo, _hi = np.array(SLICES, np.int64).T
 
 
@@ -278,17 +287,30 @@ def _slices_of(data: np.ndarray, first: np.ndarray, end_of: np.ndarray, at: np.n
     start, end, lo, hi, gram, twice = start[row, number], end[row, number], _lo[number], _hi[number], gram[row], twice[row]
     common = mix(h.ranges(start, end) ^ mix(gram.view(np.uint64) + number.astype(np.uint64) + np.uint64(1))).view(np.int64)
     left, right = np.minimum(hi - lo, start - first[row]), np.minimum(hi - lo, end_of[row] - end)
-    columns = [pa.array(x) for x in (common, gram, context[row], lo.astype(np.int32), hi.astype(np.int32), (1 + twice).astype(np.int32), ~twice, np.zeros(len(row), bool))]
-    return [*columns, _gather(data, start - left, left), _gather(data, end, right)]
+    columns = [pa.array(x) for x in (common, gram, context[row], lo.astype(np.int32), hi.astype(np.int32), (1 + twice).astype(np.int32), ~twice)]
+    return [*columns, _gather(data, start - left, left), _gather(data, end, right), pa.array(np.zeros(len(row), bool))]
+
+
+def _pieces_of(data: np.ndarray, ends: np.ndarray, lists: pa.ListArray) -> list[pa.Array]:
+    """The columns of FETCHED for pieces of texts that follow one another, cut off at the ends of their texts."""
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    stretch, side, lo, hi = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("stretch", "side", "lo", "hi"))
+    first, n = np.r_[0, ends][text], len(text)
+    start = np.minimum(first + np.maximum(lo, 0), ends[text])
+    end = np.maximum(start, np.minimum(first + hi, ends[text]))
+    none, void = pa.nulls(n, pa.int64()), _gather(data, start, np.zeros(n, np.int64))
+    return [pa.array(stretch), none, none, pa.array((start - first).astype(np.int32)), pa.array(side.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), _gather(data, start, end - start), void, pa.array(np.ones(n, bool))]
 
 
 def slices(docs: DataFrame) -> DataFrame:
-    """ROW for each slice of each wanted wording whose common part lies in the text, for (key, text, wanted)."""
-    names = T._parse_datatype_string(ROW).names
+    """FETCHED for (key, text, wanted, pieces): each slice of each wanted wording whose common part lies in the text, and
+    each piece of a stretch."""
+    names = T._parse_datatype_string(FETCHED).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, BLOCK):
             data, ends = _texts(batch.column(1))
+            yield pa.RecordBatch.from_arrays(_pieces_of(data, ends, batch.column(3)), names)
             lists = batch.column(2)
             text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
             of = {k: lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("at", "gram", "context", "twice")}
@@ -301,7 +323,7 @@ def slices(docs: DataFrame) -> DataFrame:
                     bounds = np.maximum(first[k] - low, 0), np.minimum(end_of[k], high) - low
                     yield pa.RecordBatch.from_arrays(_slices_of(data[low:high], *bounds, at[k] - low, of["gram"][k], of["context"][k], of["twice"][k]), names)
 
-    return docs.select("key", "text", "wanted").mapInArrow(run, ROW)
+    return docs.select("key", "text", "wanted", "pieces").mapInArrow(run, FETCHED)
 
 
 def finer(rows: DataFrame, step: int) -> DataFrame:
@@ -311,7 +333,7 @@ def finer(rows: DataFrame, step: int) -> DataFrame:
     rows = rows.withColumn("x", F.col("a") - F.col("lo")).withColumn("y", F.col("hi") - F.col("b")).where("length(left) >= x and length(right) >= y")
     kept = F.expr("substring(left, greatest(1, length(left) - x - (b - a) + 1), least(b - a, length(left) - x))")
     common = F.xxhash64("common", "a", F.expr("substring(left, length(left) - x + 1, x)"), F.expr("substring(right, 1, y)"))
-    return rows.select(common.alias("common"), "gram", "context", F.col("a").alias("lo"), F.col("b").alias("hi"), "copies", "told", "whole", kept.alias("left"), F.expr("substring(right, y + 1, b - a)").alias("right"))
+    return rows.select(common.alias("common"), "gram", "context", F.col("a").alias("lo"), F.col("b").alias("hi"), "copies", "told", kept.alias("left"), F.expr("substring(right, y + 1, b - a)").alias("right"))
 
 
 def _fitting(left: int, right: int, span: int) -> int:
@@ -321,11 +343,11 @@ def _fitting(left: int, right: int, span: int) -> int:
 
 def _judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
     """(common, gram, context, first, last) of the repeated windows of a group."""
-    lo, hi, whole = group[0][3], group[0][4], group[0][7]
+    lo, hi = group[0][3], group[0][4]
     by: dict[tuple[bytes, bytes], list[tuple]] = {}
     for row in group:
-        by.setdefault((row[8], row[9]), []).append(row)
-    span = 0 if whole else hi - lo
+        by.setdefault((row[7], row[8]), []).append(row)
+    span = hi - lo
     if len(by) == 1:
         left, right = next(iter(by))
         masks = [_fitting(len(left), len(right), span) if len(group) > 1 or group[0][5] > 1 else 0]
@@ -333,7 +355,7 @@ def _judge(group: list[tuple]) -> Iterator[tuple[int, int, int, int, int]]:
         masks = repeated_windows([(left, right, min(2, sum(r[5] for r in own))) for (left, right), own in by.items()], span)
     for own, mask in zip(by.values(), masks):
         if mask:
-            runs = [(lo, hi)] if whole else [(lo + a, lo + b) for a, b in _runs(mask)]
+            runs = [(lo + a, lo + b) for a, b in _runs(mask)]
             for row in own:
                 if row[6]:
                     for a, b in runs:
@@ -409,12 +431,80 @@ def windows(rows: DataFrame, steps: tuple[int, ...] = FINER, once: bool = False)
         more = windows(written(finer(large, steps[0])), steps[1:])
     else:
         content = F.xxhash64("common", "left", "right")
-        same = large.groupBy("common", content.alias("gram")).agg(F.lit(0).cast("long").alias("context"), *(F.first(c).alias(c) for c in ("lo", "hi")), F.least(F.lit(2), F.sum("copies")).cast("int").alias("copies"), F.max("told").alias("told"), *(F.first(c).alias(c) for c in ("whole", "left", "right")))
+        same = large.groupBy("common", content.alias("gram")).agg(F.lit(0).cast("long").alias("context"), *(F.first(c).alias(c) for c in ("lo", "hi")), F.least(F.lit(2), F.sum("copies")).cast("int").alias("copies"), F.max("told").alias("told"), *(F.first(c).alias(c) for c in ("left", "right")))
         found = windows(written(same.select(rows.columns)), steps, True).groupBy(F.col("gram").alias("_content")).agg(_runs_of(F.collect_set(F.struct("first", "last"))).alias("_runs"))
         more = large.where("told").join(found, content == F.col("_content")).select("common", "gram", "context", F.inline("_runs"))
     return covered(rows.join(hot, "common", "left_anti")).unionByName(more)
 
 
+def stretches(twice: DataFrame) -> DataFrame:
+    """(stretch, key, other, lo, hi, shift, wordings) for (gram, context, key, at, other, other_at): wordings whose first
+    and last occurrences lie in the same two documents, equally far apart, by PLACES places of the first document."""
+    shift, part = (F.col("other_at") - F.col("at")).alias("shift"), F.floor(F.col("at") / PLACES).alias("part")
+    found = twice.groupBy("key", "other", shift, part).agg((F.min("at") - FLANK).alias("lo"), (F.max("at") + LENGTH).alias("hi"), F.collect_list(F.struct("at", "gram", "context")).alias("wordings"))
+    return found.select(F.xxhash64("key", "other", "shift", "part").alias("stretch"), "key", "other", "lo", "hi", "shift", "wordings")
+
+
+def windows_elsewhere(a: bytes, b: bytes, starts: list[int], shift: int | None = None) -> set[int]:
+    """Those of the ``starts`` in ``a`` whose windows of LENGTH bytes stand elsewhere in ``a`` or in ``b``. Where both are of
+    one text, b begins ``shift`` bytes after a, and what lies at the same place is not elsewhere."""
+    cuts = sorted({x for s in starts for x in (s, s + LENGTH)})
+    number = {c: k for k, c in enumerate(cuts)}
+    text: list[int] = []
+    place: list[int | tuple[int, int]] = []
+    symbols: dict[bytes, int] = {}  # 0 ends all, 1 ends an occurrence
+    for n, data in enumerate((a, b)):
+        for x, y in zip(cuts, cuts[1:]):
+            text.append(symbols.setdefault(data[x:y], len(symbols) + 2))
+            place.append((n, x) if shift is None else x + n * shift)
+        text.append(1)
+        place.append(-1)
+    text.append(0)
+    place.append(-2)
+    asked = {number[s]: s for s in starts}
+    order = suffix_array(text)
+    out = set()
+    for k, i in enumerate(order):
+        if i in asked:
+            window = text[i : number[asked[i] + LENGTH]]
+            for step in (-1, 1):  # a place stands twice at most, so this ends soon
+                j = k + step
+                while 0 <= j < len(order) and text[order[j] : order[j] + len(window)] == window:
+                    if place[order[j]] != place[i]:
+                        out.add(asked[i])
+                        break
+                    j += step
+    return out
+
+
+def repeated_wordings(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, context, first, last): windows of the wordings of stretches that stand elsewhere, as ranges of bytes before the
+    gram at which they begin. The first and the last window of a wording cover it, so these two are judged."""
+    schema = "gram long, context long, first int, last int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, BYTES):
+            out: list[tuple[int, int, int, int]] = []
+            for lo, a, b, shift, wordings in zip(*(c.to_pylist() for c in batch.columns)):
+                ends = [(w, max(0, w["at"] - FLANK - lo), min(len(a), w["at"] + LENGTH - lo)) for w in wordings]
+                ends = [x for x in ends if x[2] - x[1] >= LENGTH]
+                found = windows_elsewhere(a, b, sorted({x for _, s, e in ends for x in (s, e - LENGTH)}), shift)
+                for w, s, e in ends:
+                    at = w["at"] - lo
+                    some = [at - x for x in (e - LENGTH, s) if x in found]
+                    if len(some) == 2:
+                        out.append((w["gram"], w["context"], *some))
+                    else:
+                        out += [(w["gram"], w["context"], k, k) for k in some]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [()] * 4, kinds)], ["gram", "context", "first", "last"])
+
+    side = lambda n: pieces.where(F.col("hi") == n).select(F.col("common").alias(f"_s{n}"), F.col("lo").alias(f"_lo{n}"), F.col("left").alias(f"_b{n}"))
+    one_text = F.when((F.col("key") == F.col("other")) & (F.col("shift") != 0), F.col("_lo1") - F.col("_lo0"))
+    both = side(0).join(side(1), F.col("_s0") == F.col("_s1")).join(wanted, F.col("_s0") == F.col("stretch"))
+    return both.select("_lo0", "_b0", "_b1", one_text.alias("shift"), "wordings").mapInArrow(run, schema)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, start, end) for (key, text): ranges of bytes that are covered by repeated strings, not yet joined; and a row
     without range for each anchor whose gram stands elsewhere too."""
@@ -422,19 +512,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = checkpoint(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     here = written(found.join(shared, "gram"))
     main = here.where("context is not null")
-    wordings = main.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("one"))
-    wordings = checkpoint(wordings.select("gram", "context", (F.col("n") > 1).alias("twice"), "one.key", "one.at"))
-    none = F.lit(b"").cast("binary")
-    alike = wordings.where("twice").select(F.xxhash64("gram", "context", F.lit("whole")).alias("common"), "gram", "context", F.lit(0).alias("lo"), F.lit(FLANK).alias("hi"), F.lit(2).alias("copies"), F.lit(True).alias("told"), F.lit(True).alias("whole"), none.alias("left"), none.alias("right"))
+    place = F.struct("key", "at")
+    wordings = main.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("last"))
+    wordings = checkpoint(wordings.select("gram", "context", (F.col("n") > 1).alias("twice"), "one.key", "one.at", F.when(F.col("n") > 1, F.col("last")).alias("last")))
+    alike = checkpoint(stretches(wordings.where("twice").select("gram", "context", "key", "at", F.col("last.key").alias("other"), F.col("last.at").alias("other_at"))))
     others = wordings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    mixed = checkpoint(wordings.join(others, "gram", "left_semi"))
-    wanted = mixed.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("gram", "context", "at", "twice")).alias("wanted"))
-    few = mixed.select("key").distinct()
+    mixed = wordings.join(others, "gram", "left_semi").select(F.col("key").alias("_key"), F.struct("gram", "context", "at", "twice").alias("w"))
+    fetch = lambda key, n, by: alike.select(F.col(key).alias("_key"), F.struct("stretch", F.lit(n).alias("side"), (F.col("lo") + by).cast("int").alias("lo"), (F.col("hi") + by).cast("int").alias("hi")).alias("p"))
+    asked = mixed.unionByName(fetch("key", 0, F.lit(0)).unionByName(fetch("other", 1, F.col("shift"))), allowMissingColumns=True)
+    asked = checkpoint(asked.groupBy("_key").agg(F.collect_list("w").alias("wanted"), F.collect_list("p").alias("pieces")))
+    few = asked.select(F.col("_key").alias("_own"))
     if few.count() <= BROADCAST_KEYS:
-        docs = docs.join(F.broadcast(few.select(F.col("key").alias("_own"))), F.col("key") == F.col("_own"), "left_semi")
-    texts = docs.dropDuplicates(["key"]).join(wanted, F.col("key") == F.col("_key")).select("key", "text", "wanted")
-    found = windows(written(slices(texts).unionByName(alike)))
-    apart = main.join(written(found.drop("common")), ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
+        docs = docs.join(F.broadcast(few), F.col("key") == F.col("_own"), "left_semi")
+    texts = docs.dropDuplicates(["key"]).join(asked, F.col("key") == F.col("_key")).select("key", "text", "wanted", "pieces")
+    fetched = written(slices(texts))
+    whole = repeated_wordings(fetched.where("piece"), alike)
+    found = windows(fetched.where("not piece").drop("piece")).drop("common").unionByName(whole)
+    apart = main.join(written(found), ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
     return apart.unionByName(here.select("key", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
 
 

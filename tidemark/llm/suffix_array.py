@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.checkpoints import discard
 from tidemark.llm.common import checkpoint, sliced, table, written
 from tidemark.llm.shingles import _BACK, _BASE, _power, mix
 
@@ -508,27 +509,29 @@ def repeated_wordings(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, start, end) for (key, text): ranges of bytes that are covered by repeated strings, not yet joined; and a row
     without range for each anchor whose gram stands elsewhere too."""
-    found = written(anchors(docs))
-    shared = checkpoint(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    here = written(found.join(shared, "gram"))
+    places = written(anchors(docs))
+    shared = written(places.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    here = written(places.join(shared, "gram"))
+    discard(places, shared)
     main = here.where("context is not null")
     place = F.struct("key", "at")
     wordings = main.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("last"))
-    wordings = checkpoint(wordings.select("gram", "context", (F.col("n") > 1).alias("twice"), "one.key", "one.at", F.when(F.col("n") > 1, F.col("last")).alias("last")))
-    alike = checkpoint(stretches(wordings.where("twice").select("gram", "context", "key", "at", F.col("last.key").alias("other"), F.col("last.at").alias("other_at"))))
+    wordings = written(wordings.select("gram", "context", (F.col("n") > 1).alias("twice"), "one.key", "one.at", F.when(F.col("n") > 1, F.col("last")).alias("last")))
+    alike = written(stretches(wordings.where("twice").select("gram", "context", "key", "at", F.col("last.key").alias("other"), F.col("last.at").alias("other_at"))))
     others = wordings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     mixed = wordings.join(others, "gram", "left_semi").select(F.col("key").alias("_key"), F.struct("gram", "context", "at", "twice").alias("w"))
     fetch = lambda key, n, by: alike.select(F.col(key).alias("_key"), F.struct("stretch", F.lit(n).alias("side"), (F.col("lo") + by).cast("int").alias("lo"), (F.col("hi") + by).cast("int").alias("hi")).alias("p"))
     asked = mixed.unionByName(fetch("key", 0, F.lit(0)).unionByName(fetch("other", 1, F.col("shift"))), allowMissingColumns=True)
-    asked = checkpoint(asked.groupBy("_key").agg(F.collect_list("w").alias("wanted"), F.collect_list("p").alias("pieces")))
+    asked = written(asked.groupBy("_key").agg(F.collect_list("w").alias("wanted"), F.collect_list("p").alias("pieces")))
     few = asked.select(F.col("_key").alias("_own"))
     if few.count() <= BROADCAST_KEYS:
         docs = docs.join(F.broadcast(few), F.col("key") == F.col("_own"), "left_semi")
     texts = docs.dropDuplicates(["key"]).join(asked, F.col("key") == F.col("_key")).select("key", "text", "wanted", "pieces")
     fetched = written(slices(texts))
     whole = repeated_wordings(fetched.where("piece"), alike)
-    found = windows(fetched.where("not piece").drop("piece")).drop("common").unionByName(whole)
-    apart = main.join(written(found), ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
+    found = written(windows(fetched.where("not piece").drop("piece")).drop("common").unionByName(whole))
+    discard(fetched, asked, alike, wordings)
+    apart = main.join(found, ["gram", "context"]).select("key", (F.col("at") - F.col("last")).alias("start"), (F.col("at") - F.col("first") + LENGTH).alias("end"))
     return apart.unionByName(here.select("key", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
 
 

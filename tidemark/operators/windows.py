@@ -112,23 +112,29 @@ def smoothed(df: DataFrame, value: str, keys: list[str], order: list[str], side:
 
 def running_line(df: DataFrame, value: str, keys: list[str], index: str, length: int, step: int) -> DataFrame:
     """Adds ``line``: lines fitted by least squares in windows of ``length`` rows every ``step``, blended with tricube weights.
-    ``index`` counts the rows of the keys from 0 without gaps. Rows beyond the last window get its line."""
-    ends = df.groupBy(*keys).agg((F.max(index) + 1).alias("_rows"))
+    ``index`` counts the rows of the keys from 0 without gaps. Rows beyond the last window get its line. Windows are frames
+    of one sort by keys and index, so rows are shuffled once; rows with a null key are left out."""
+    every = Window.partitionBy(*keys).orderBy(index)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead, behind = every.rowsBetween(0, length - 1), every.rowsBetween(-(length - 1), 0)
     # windows begin at 0, step, ... and lie within the rows; the last one is the longest that fits
-    last = F.greatest(F.ceil((F.col("_rows") - length) / F.lit(step)) - 1, F.lit(0))
-    rows = df.join(ends, keys).withColumn("_last", last.cast("long"))
-    low = F.greatest(F.floor((F.col(index) - length) / F.lit(step)).cast("long") + 1, F.lit(0).cast("long"))
-    high = F.least(F.floor(F.col(index) / F.lit(step)).cast("long"), F.col("_last"))
-    inside = rows.where(low <= high).withColumn("_w", F.explode(F.sequence(low, high))).withColumn("_j", F.col(index) - F.col("_w") * step + 1)
-    fit = inside.groupBy(*keys, "_w").agg(F.avg(value).alias("_y1"), (F.avg(F.col("_j") * F.col(value)) * 2 / (length + 1)).alias("_y2"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == length)
-    fit = fit.withColumn("_a", (F.col("_y2") - F.col("_y1")) * (6 / (length - 1))).withColumn("_b", F.col("_y1") - F.col("_a") * ((length + 1) / 2))
-    weight = F.pow(1 - F.pow(F.abs((F.col("_j") - length / 2) / (length / 2)), 3), 3)
-    blended = inside.select(*keys, index, "_w", "_j").join(fit, [*keys, "_w"]).groupBy(*keys, index).agg(F.sum(weight).alias("_sw"), F.sum(weight * (F.col("_j") * F.col("_a") + F.col("_b"))).alias("_sl"))
-    tail = fit.withColumnRenamed("_w", "_last").select(*keys, "_last", "_a", "_b")
-    out = rows.join(tail, [*keys, "_last"], "left").join(blended, [*keys, index], "left")
-    beyond = (F.col(index) - F.col("_last") * step + 1) * F.col("_a") + F.col("_b")
-    line = F.when(F.col(index) >= F.col("_last") * step + length - 1, beyond).otherwise(F.coalesce(F.try_divide("_sl", "_sw"), F.lit(0.0)))
-    return out.withColumn("line", line).select(*df.columns, "line")
+    last = F.greatest(F.ceil((F.max(index).over(whole) + 1 - length) / F.lit(step)) - 1, F.lit(0))
+    rows = df.dropna(subset=keys).withColumn("_last", last.cast("long"))
+    rows = rows.withColumn("_y1", F.avg(value).over(ahead)).withColumn("_m", F.count(value).over(ahead)).withColumn("_own", F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))).over(ahead))
+    full = (F.col(index) % step == 0) & (F.col(index) <= F.col("_last") * step) & (F.size("_own") == length)
+    rows = rows.withColumn("_full", full)
+    moment = F.aggregate("_own", F.lit(0.0), lambda s, x: s + F.coalesce((x["i"] - F.col(index) + 1) * x["v"], F.lit(0.0)))
+    rows = rows.withColumn("_y2", F.when(F.col("_full"), F.try_divide(moment, F.col("_m")) * 2 / (length + 1))).drop("_own", "_m")
+    rows = rows.withColumn("_a", (F.col("_y2") - F.col("_y1")) * (6 / (length - 1))).withColumn("_b", F.col("_y1") - F.col("_a") * ((length + 1) / 2))
+    fit = F.when(F.col("_full"), F.struct(F.col(index).alias("i"), F.col("_a").alias("a"), F.col("_b").alias("b")))
+    rows = rows.withColumn("_near", F.collect_list(fit).over(behind)).withColumn("_tail", F.max(F.when(F.col(index) == F.col("_last") * step, fit)).over(whole))
+    place = lambda x: F.col(index) - x["i"] + 1
+    weight = lambda x: F.pow(1 - F.pow(F.abs((place(x) - length / 2) / (length / 2)), 3), 3)
+    weights = F.aggregate("_near", F.lit(0.0), lambda s, x: s + weight(x))
+    lines = F.aggregate("_near", F.lit(0.0), lambda s, x: s + weight(x) * (place(x) * x["a"] + x["b"]))
+    beyond = (F.col(index) - F.col("_last") * step + 1) * F.col("_tail.a") + F.col("_tail.b")
+    line = F.when(F.col(index) >= F.col("_last") * step + length - 1, beyond).otherwise(F.coalesce(F.try_divide(lines, weights), F.lit(0.0)))
+    return rows.withColumn("line", line).select(*df.columns, "line")
 
 
 def running_count(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

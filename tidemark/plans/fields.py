@@ -23,7 +23,7 @@ def _field(spark, sf_dir):
     e = events(spark, sf_dir)
     sums = e.groupBy("user_id", F.floor((F.col("us") - START) / F.lit(float(HOUR))).alias("h")).agg(F.sum("value").alias("v"))
     spine = e.select("user_id").distinct().withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))))
-    return spine.join(sums, ["user_id", "h"], "left").select("user_id", "h", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return spine.join(sums.hint("merge"), ["user_id", "h"], "left").select("user_id", "h", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def _spikes(spark, sf_dir):

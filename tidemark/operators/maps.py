@@ -15,6 +15,10 @@ _BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: l
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
 
+#: Points of a mask that are broadcast at most; more are joined: some ten bytes each.
+BROADCAST_POINTS = 500_000
+
+
 def formula(text: str, columns: dict[str, str]) -> Column:
     """A column from an arithmetic expression over named maps. Only numbers, the given names, + - * / **, comparisons,
     & | - and a few functions are taken; nothing is evaluated as code."""
@@ -103,7 +107,7 @@ def pattern_similarity(df: DataFrame, condition: str, point: list[str], value: s
 def kernel_density(foci: DataFrame, axes: list[str], study: str, radius: float) -> DataFrame:
     """(axes, share): at each grid point the share of studies with a focus within the radius; a study counts once."""
     studies = foci.agg(F.countDistinct(study).alias("_n"))  # one row
-    near = sphere(foci, axes, study, radius).select(*axes, study).distinct().groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
+    near = sphere(foci.select(study, *axes).distinct(), axes, study, radius).select(*axes, study).distinct().groupBy(*axes).agg(F.count(F.lit(1)).alias("n"))
     return near.join(F.broadcast(studies)).select(*axes, (F.col("n") / F.col("_n")).alias("share"))
 
 
@@ -120,16 +124,18 @@ def placed(foci: DataFrame, mask: DataFrame, axes: list[str], study: str, rounds
     numbered = points.withColumn("_at", at).join(starts, F.col(first) == F.col("_slice")).select(*axes, (F.col("_at") + F.col("_start")).cast("long").alias("_n"))
     total = slices.agg(F.sum("_m").alias("_total"))  # one row
     each = foci.groupBy(study).agg(F.count(F.lit(1)).cast("int").alias("_f")).join(F.broadcast(total))
-    drawn = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_f"))))
+    # a row for each round and focus: by rounds to the tasks, and never the side of a join that Spark thinks small
+    drawn = each.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).repartition(rounds, "round", study).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_f"))))
     drawn = drawn.select("round", study, F.pmod(F.xxhash64("round", F.lit(seed), F.col(study), "_k"), F.col("_total")).alias("_n"))
-    return drawn.join(numbered, "_n").select("round", study, *axes)
+    numbered = checkpoint(numbered)
+    return drawn.join(numbered.hint("broadcast" if numbered.count() <= BROADCAST_POINTS else "merge"), "_n").select("round", study, *axes)
 
 
 def density_limit(foci: DataFrame, mask: DataFrame, axes: list[str], study: str, radius: float, rounds: int = 100, share: float = 0.95, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The limit that the largest share of a map of kernel_density() stays under in ``share`` of maps by chance, as a row
     (limit), and (round, largest), the largest of each drawn map within ``mask``. Maps are counted for all rounds at once."""
     studies = foci.agg(F.countDistinct(study).alias("_s"))  # one row
-    drawn = placed(foci, mask, axes, study, rounds, seed).withColumn("_of", F.struct("round", study))
+    drawn = placed(foci, mask, axes, study, rounds, seed).distinct().withColumn("_of", F.struct("round", study))
     reached = sphere(drawn, axes, "_of", radius).select(F.col("_of.round").alias("round"), F.col(f"_of.{study}").alias("_study"), *axes).distinct()
     inside = reached.join(mask.select(*axes).distinct(), axes, "left_semi")
     counts = inside.groupBy("round", *axes).agg(F.count(F.lit(1)).alias("_c"))

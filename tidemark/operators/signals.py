@@ -7,22 +7,12 @@ Null arrays stay null; empty ones stay empty.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _arrays(f: Callable[[np.ndarray], np.ndarray], x: Column | str) -> Column:
-    """f over each array, a batch of rows at a time."""
-
-    def batch(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: None if v is None else f(np.asarray(v, float)).tolist() if len(v) else [])
-
-    batch.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    return F.pandas_udf(batch, "array<double>")(F.col(x).cast("array<double>") if isinstance(x, str) else x.cast("array<double>"))
+from tidemark.operators.batches import mapped
 
 
 def gain(f: np.ndarray, fs: float, order: int, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
@@ -52,19 +42,19 @@ def zero_phase(x: np.ndarray, fs: float, order: int, low: float | None = None, h
 
 
 def low_pass(x: Column | str, fs: float, high: float, order: int = 4) -> Column:
-    return _arrays(lambda v: zero_phase(v, fs, order, high=high), x)
+    return mapped(lambda v: zero_phase(v, fs, order, high=high), x)
 
 
 def high_pass(x: Column | str, fs: float, low: float, order: int = 4) -> Column:
-    return _arrays(lambda v: zero_phase(v, fs, order, low=low), x)
+    return mapped(lambda v: zero_phase(v, fs, order, low=low), x)
 
 
 def band_pass(x: Column | str, fs: float, low: float, high: float, order: int = 4) -> Column:
-    return _arrays(lambda v: zero_phase(v, fs, order, low, high), x)
+    return mapped(lambda v: zero_phase(v, fs, order, low, high), x)
 
 
 def band_stop(x: Column | str, fs: float, low: float, high: float, order: int = 2) -> Column:
-    return _arrays(lambda v: zero_phase(v, fs, order, low, high, stop=True), x)
+    return mapped(lambda v: zero_phase(v, fs, order, low, high, stop=True), x)
 
 
 def resampled(x: np.ndarray, fs: float, new: float) -> np.ndarray:
@@ -74,12 +64,12 @@ def resampled(x: np.ndarray, fs: float, new: float) -> np.ndarray:
 
 
 def resample(x: Column | str, fs: float, new: float) -> Column:
-    return _arrays(lambda v: resampled(v, fs, new), x)
+    return mapped(lambda v: resampled(v, fs, new), x)
 
 
 def decimate(x: Column | str, fs: float, by: int, order: int = 8) -> Column:
     """Every ``by``-th sample after a low pass at 0.8 of the new half rate."""
-    return _arrays(lambda v: zero_phase(v, fs, order, high=0.4 * fs / by)[::by], x)
+    return mapped(lambda v: zero_phase(v, fs, order, high=0.4 * fs / by)[::by], x)
 
 
 def field_potential(x: Column | str, fs: float, new: float = 500.0, line: float = 50.0, high: float = 150.0) -> Column:
@@ -92,19 +82,19 @@ def field_potential(x: Column | str, fs: float, new: float = 500.0, line: float
                 v = zero_phase(v, new, 2, line * k - 1, line * k + 1, stop=True)
         return v
 
-    return _arrays(one, x)
+    return mapped(one, x)
 
 
 def activity_envelope(x: Column | str, fs: float, new: float = 500.0, low: float = 500.0, high: float = 5000.0, smooth: float = 200.0) -> Column:
     """Multi-unit envelope: band pass, absolute value, low pass, lower rate."""
-    return _arrays(lambda v: resampled(zero_phase(np.abs(zero_phase(v, fs, 4, low, min(high, 0.49 * fs))), fs, 4, high=smooth), fs, new), x)
+    return mapped(lambda v: resampled(zero_phase(np.abs(zero_phase(v, fs, 4, low, min(high, 0.49 * fs))), fs, 4, high=smooth), fs, new), x)
 
 
 def smooth(x: Column | str, width: int, kind: str = "uniform") -> Column:
     """Moving mean, or Gaussian of standard deviation width / 5, over ``width`` samples with the ends repeated."""
     half = width // 2
     k = np.ones(2 * half + 1) if kind == "uniform" else np.exp(-0.5 * (np.arange(-half, half + 1) / (width / 5)) ** 2)
-    return _arrays(lambda v: np.convolve(np.pad(v, half, mode="edge"), k / k.sum(), mode="valid"), x)
+    return mapped(lambda v: np.convolve(np.pad(v, half, mode="edge"), k / k.sum(), mode="valid"), x)
 
 
 def bridged(x: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -163,7 +153,7 @@ def local_fit(x: np.ndarray, half: int, rail: float = np.inf, blank: int = 5, ah
 
 
 def subtract_local_fit(x: Column | str, half: int = 30, rail: float = float("inf"), blank: int = 5, ahead: int = 5, window: int = 15, limit: float = float("inf")) -> Column:
-    return _arrays(lambda v: local_fit(v, half, rail, blank, ahead, window, limit), x)
+    return mapped(lambda v: local_fit(v, half, rail, blank, ahead, window, limit), x)
 
 
 def clean_by_components(m: np.ndarray, k: int, band: int = 0) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Multitaper spectra, coherence, intervals and tests of trials held as arrays.
 
-Each trial is transformed by itself in Arrow batches; averages over trials, sums for intervals and ratios for coherence are
-DataFrame aggregates over (keys, frequency), so trials never meet in one task.
+Trials of equal length are transformed together in Arrow batches. Averages over trials, sums for intervals and ratios for
+coherence are added up inside of tasks and then by DataFrame aggregates over (keys, frequency), so that neither all trials
+meet in one task nor trials times frequencies become rows.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.checkpoints import checkpoint
 from tidemark.functions.distributions import beta_cdf, digamma, f_inv, quantile, trigamma
+from tidemark.operators.batches import mapped, ragged, sliced, stacks
 
 
 @dataclass(frozen=True)
@@ -61,50 +65,130 @@ def slepian(n: int, tw: float, k: int) -> np.ndarray:
 
 
 def transforms(x: np.ndarray, p: Taper) -> np.ndarray:
-    """(frequencies, tapers) of fft(x * taper) / fs, tapers scaled by sqrt(fs)."""
-    n = len(x)
+    """(frequencies, tapers) of fft(x * taper) / fs, tapers scaled by sqrt(fs). Signals are along the last axis of x."""
+    n = x.shape[-1]
     _, at = p.grid(n)
-    return np.fft.rfft(x[:, None] * slepian(n, p.tw, p.k) * np.sqrt(p.fs), p.length(n), axis=0)[at] / p.fs
+    return np.fft.rfft(x[..., None] * slepian(n, p.tw, p.k) * np.sqrt(p.fs), p.length(n), axis=-2)[..., at, :] / p.fs
+
+
+@lru_cache(maxsize=16)
+def _own(n: int, p: Taper) -> np.ndarray:
+    """The tapers' own transform."""
+    return np.fft.rfft(slepian(n, p.tw, p.k) * np.sqrt(p.fs), p.length(n), axis=0)[p.grid(n)[1]]
 
 
 def point_transforms(times: np.ndarray, start: float, end: float, p: Taper) -> np.ndarray:
     """The same for events: sums of tapers at their times, less the tapers' own transform times the mean count."""
     n = int(round((end - start) * p.fs)) + 1
-    f, at = p.grid(n)
+    f = p.grid(n)[0]
     grid, tapers = start + np.arange(n) / p.fs, slepian(n, p.tw, p.k) * np.sqrt(p.fs)
-    own = np.fft.rfft(tapers, p.length(n), axis=0)[at]
     times = times[(times >= start) & (times <= end)]
     values = np.stack([np.interp(times, grid, tapers[:, j]) for j in range(p.k)], axis=1)
-    return np.exp(-2j * np.pi * f[:, None] * (times - start)[None, :]) @ values - own * len(times) / n
+    return np.exp(-2j * np.pi * f[:, None] * (times - start)[None, :]) @ values - _own(n, p) * len(times) / n
+
+
+def _inputs(df: DataFrame, keep: list[str], inputs: list[str]) -> list[Column]:
+    return [*(F.col(c) for c in keep), *(F.col(c).cast("array<double>").alias(f"_in{i}") for i, c in enumerate(inputs))]
 
 
 def _each(df: DataFrame, keep: list[str], inputs: list[str], fields: str, one) -> DataFrame:
-    """(keep, fields) with the rows that ``one`` gives for the arrays of each row."""
-    rows = df.select(*keep, *(F.col(c).cast("array<double>").alias(f"_in{i}") for i, c in enumerate(inputs)))
-    names = [x.split()[0] for x in fields.split(", ")]
+    """(keep, fields) with the rows that ``one`` gives for stacked arrays of equal length: the row of each value (None: all
+    values of all rows in turn), frequencies, and arrays."""
+    schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(fields).fields])
+
+    def run(batches):
+        # rows needn't have equal keys to be stacked, so none is a key
+        moved = (pa.RecordBatch.from_arrays([*b.columns[len(keep) :], *b.columns[: len(keep)]], [str(i) for i in range(b.num_columns)]) for b in batches)
+        for _, batch, places, arrays in stacks(moved, 0, len(inputs)):
+            row, *out = one(*arrays)
+            at = pa.array(np.repeat(places, out[0].size // len(places)) if row is None else places[row])
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[len(inputs) :]), *(pa.array(np.ascontiguousarray(v).ravel()) for v in out)], schema.names)
+
+    return df.select(*_inputs(df, keep, inputs)).mapInArrow(run, schema)
+
+
+#: Numbers that a task sums up before it gives them on.
+HELD = 1 << 20
+
+
+def _summed(df: DataFrame, keys: list[str], inputs: list[str], names: list[str], one, totals: DataFrame | None = None, stack=stacks, more: list[str] | None = None) -> DataFrame:
+    """(keys, f, names, n): sums over all rows of what ``one`` gives for stacked arrays of equal length: frequencies, a
+    number for each of them, and an array for each name. Tasks add up, so that trials times frequencies are never rows.
+    ``stack`` may give longer keys, by the numbers named in ``more``. With ``totals`` (keys, f, ...), ``one`` also gets, first, the totals of the rows' keys, as arrays by name, f rising."""
+    more = more or []
+    schema = T.StructType([*(df.schema[c] for c in keys), *T._parse_datatype_string(", ".join(f"{c} double" for c in (*more, "f", *names))).fields, T.StructField("n", T.LongType())])
+    rows, known, given = df.select(*_inputs(df, keys, inputs)), None, None
+    if totals is not None:
+        given = [c for c in totals.columns if c not in keys]
+        packed = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*given))).alias("_totals"))  # a row a key: its frequencies
+        if totals.count() <= BROADCAST_TOTALS:
+            known = {}
+            for r in packed.collect():
+                known[tuple(r)[: len(keys)]] = {c: np.array([x[c] for x in r._totals]) for c in given}
+        else:
+            rows = rows.join(packed.hint("merge"), keys).select(*rows.columns, "_totals")
+    sent = df.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches):
-        for b in batches:
-            for _, r in b.iterrows():
-                arrays = [r[f"_in{i}"] for i in range(len(inputs))]
-                if any(a is None or not len(a) for a in arrays):
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def told():
+            for (key, f), (v, n) in held.items():
+                f = np.frombuffer(f)
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(f), t) for k, t in zip(key, types)), pa.array(f), *map(pa.array, v), pa.array(n)], schema.names)
+
+        types = None
+        for key, batch, places, arrays in stack(batches, len(keys), len(inputs)):
+            types = types or [*(c.type for c in batch.columns[: len(keys)]), *[pa.float64()] * len(more)]
+            if given is not None:
+                if sent is None:
+                    own = batch.column(len(keys) + len(inputs))[int(places[0])].values
+                    own = {c: own.field(c).to_numpy(zero_copy_only=False) for c in given}
+                else:
+                    own = sent.value.get(key)
+                if own is None:
                     continue
-                out = pd.DataFrame(dict(zip(names, one(*(np.asarray(a, float) for a in arrays)))))
-                for c in keep:
-                    out[c] = r[c]
-                yield out[[*keep, *names]]
+                arrays = [own, *arrays]
+            f, n, *v = one(*arrays)
+            v, at = np.stack(v), (key, f.tobytes())
+            if at in held:
+                held[at][0] += v
+                held[at][1] += n
+            else:
+                held[at] = [v, np.broadcast_to(n, f.shape).astype(np.int64)]
+                size += v.size
+            if size > HELD:
+                yield from told()
+                held, size = {}, 0
+        yield from told()
+
+    sums = rows.mapInArrow(run, schema)
+    return sums.groupBy(*keys, *more, "f").agg(*(F.sum(c).alias(c) for c in names), F.sum("n").alias("n"))
 
-    return rows.mapInPandas(run, T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(fields).fields]))
+
+#: Rows of totals that are sent to all tasks at most; more are joined to the trials of their keys.
+BROADCAST_TOTALS = 50_000
 
 
 def spectrum_of_trials(df: DataFrame, keep: list[str], samples: str, p: Taper) -> DataFrame:
     """(keep, f, s) of each trial: mean over tapers of the squared transform."""
-    return _each(df, keep, [samples], "f double, s double", lambda x: (p.grid(len(x))[0], (np.abs(transforms(x, p)) ** 2).mean(axis=1)))
+    return _each(df, keep, [samples], "f double, s double", lambda x: (None, np.tile(p.grid(x.shape[1])[0], len(x)), _power(transforms(x, p)).mean(axis=-1)))
+
+
+def _power(j: np.ndarray) -> np.ndarray:
+    return j.real**2 + j.imag**2
+
+
+def _mean_spectrum(df: DataFrame, keys: list[str], samples: str, p: Taper) -> DataFrame:
+    """(keys, f, s, trials): mean over trials."""
+    one = lambda x: (p.grid(x.shape[1])[0], len(x), _power(transforms(x, p)).mean(axis=-1).sum(axis=0))
+    return _summed(df, keys, [samples], ["s"], one).select(*keys, "f", (F.col("s") / F.col("n")).alias("s"), F.col("n").alias("trials"))
 
 
 def spectrum(df: DataFrame, keys: list[str], samples: str, p: Taper, level: float | None = 0.05) -> DataFrame:
     """(keys, f, s, trials, low, high): mean over trials, with the chi-square interval of 2 k trials degrees of freedom."""
-    out = spectrum_of_trials(df, keys, samples, p).groupBy(*keys, "f").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("trials"))
+    out = _mean_spectrum(df, keys, samples, p)
     if level is None:
         return out
     from tidemark.functions.distributions import chi_square_quantile
@@ -115,9 +199,9 @@ def spectrum(df: DataFrame, keys: list[str], samples: str, p: Taper, level: floa
 
 def point_spectrum(df: DataFrame, keys: list[str], times: str, start: float, end: float, p: Taper) -> DataFrame:
     """(keys, f, s, trials) of trials of event times within [start, end]."""
-    n = int(round((end - start) * p.fs)) + 1
-    each = _each(df, keys, [times], "f double, s double", lambda t: (p.grid(n)[0], (np.abs(point_transforms(t, start, end, p)) ** 2).mean(axis=1)))
-    return each.groupBy(*keys, "f").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("trials"))
+    f = p.grid(int(round((end - start) * p.fs)) + 1)[0]
+    one = lambda t: (f, len(t), sum(_power(point_transforms(x, start, end, p)).mean(axis=-1) for x in t))
+    return _summed(df, keys, [times], ["s"], one).select(*keys, "f", (F.col("s") / F.col("n")).alias("s"), F.col("n").alias("trials"))
 
 
 def windows(df: DataFrame, keep: list[str], samples: str, length: int, step: int, fs: float) -> DataFrame:
@@ -128,21 +212,29 @@ def windows(df: DataFrame, keep: list[str], samples: str, length: int, step: int
 
 
 def spectrogram(df: DataFrame, keys: list[str], samples: str, p: Taper, window: float, step: float) -> DataFrame:
-    """(keys, t, f, s): spectra of moving windows, averaged over trials."""
-    cut = windows(df, keys, samples, round(window * p.fs), round(step * p.fs), p.fs)
-    return spectrum_of_trials(cut, [*keys, "t"], "window", p).groupBy(*keys, "t", "f").agg(F.avg("s").alias("s"))
+    """(keys, t, f, s): spectra of moving windows, averaged over trials. Windows are cut inside of the tasks."""
+    length, hop = round(window * p.fs), round(step * p.fs)
 
+    def cut(batches, k, n):
+        for key, batch, places, (x,) in stacks(batches, k, n):
+            for a in range(0, x.shape[1] - length + 1, hop):
+                yield (*key, (a + 1 + round(length / 2)) / p.fs), batch, places, [x[:, a : a + length]]
 
-def _cross(x: np.ndarray, y: np.ndarray, p: Taper):
-    a, b = transforms(x, p), transforms(y, p)
-    c = (a.conj() * b).mean(axis=1)
-    return p.grid(len(x))[0], c.real, c.imag, (np.abs(a) ** 2).mean(axis=1), (np.abs(b) ** 2).mean(axis=1)
+    one = lambda x: (p.grid(length)[0], len(x), _power(transforms(x, p)).mean(axis=-1).sum(axis=0))
+    out = _summed(df, keys, [samples], ["s"], one, stack=cut, more=["t"])
+    return out.select(*keys, "t", "f", (F.col("s") / F.col("n")).alias("s"))
 
 
 def coherence(df: DataFrame, keys: list[str], x: str, y: str, p: Taper, level: float = 0.05) -> DataFrame:
     """(keys, f, c, phase, trials, limit): coherence over tapers and trials, and the limit above which it is significant."""
-    each = _each(df, keys, [x, y], "f double, re double, im double, sx double, sy double", lambda u, v: _cross(u, v, p))
-    s = each.groupBy(*keys, "f").agg(*(F.avg(c).alias(c) for c in ("re", "im", "sx", "sy")), F.count(F.lit(1)).alias("trials"))
+
+    def one(u: np.ndarray, v: np.ndarray):
+        a, b = transforms(u, p), transforms(v, p)
+        c = (a.conj() * b).sum(axis=(0, 2)) / p.k
+        return p.grid(u.shape[1])[0], len(u), c.real, c.imag, _power(a).sum(axis=(0, 2)) / p.k, _power(b).sum(axis=(0, 2)) / p.k
+
+    names = ["re", "im", "sx", "sy"]
+    s = _summed(df, keys, [x, y], names, one).select(*keys, "f", *((F.col(c) / F.col("n")).alias(c) for c in names), F.col("n").alias("trials"))
     dof = F.col("trials") * (2 * p.k)
     limit = F.when(dof <= 2, 1.0).otherwise(F.sqrt(1 - F.pow(F.lit(level), 1 / (F.when(dof > 2, dof) / 2 - 1))))
     c = F.try_divide(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.sqrt(F.col("sx") * F.col("sy")))
@@ -150,75 +242,161 @@ def coherence(df: DataFrame, keys: list[str], x: str, y: str, p: Taper, level: f
 
 
 def coherence_matrix(df: DataFrame, keys: list[str], trial: str, channel: str, samples: str, p: Taper) -> DataFrame:
-    """(keys, a, b, f, c, phase, trials) of all pairs of channels a < b of the same trials. Each channel is transformed once;
-    pairs meet by (trial, f), so neither a trial's channels nor all trials come together in a task."""
-    parts = _each(df, [*keys, trial, channel], [samples], "f double, re array<double>, im array<double>", lambda x: (p.grid(len(x))[0], list((j := transforms(x, p)).real), list(j.imag)))
-    a = parts.select(*keys, trial, "f", F.col(channel).alias("a"), F.col("re").alias("ra"), F.col("im").alias("ia"))
-    b = parts.select(*keys, trial, "f", F.col(channel).alias("b"), F.col("re").alias("rb"), F.col("im").alias("ib"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, [*keys, trial, "f"]).where("a < b")
-    sums = {"re": dot("ra", "rb") + dot("ia", "ib"), "im": dot("ra", "ib") - dot("ia", "rb"), "sa": dot("ra", "ra") + dot("ia", "ia"), "sb": dot("rb", "rb") + dot("ib", "ib")}
-    s = pairs.groupBy(*keys, "a", "b", "f").agg(*(F.sum(v).alias(k) for k, v in sums.items()), F.count(F.lit(1)).alias("trials"))
+    """(keys, a, b, f, c, phase, trials) of all pairs of channels a < b of the same trials. Each channel is transformed once.
+    The channels of a trial come to a task one after the other; it holds their transforms and sums of pairs, of bounded
+    number. Rows with a null key, trial or channel have no pairs."""
+    names, kind = ["re", "im", "sa", "sb"], df.schema[channel].dataType
+    schema = T.StructType([*(df.schema[c] for c in keys), T.StructField("a", kind), T.StructField("b", kind), *T._parse_datatype_string(", ".join(f"{c} double" for c in ("f", *names))).fields, T.StructField("n", T.LongType())])
+    of = [*keys, trial]
+    rows = df.select(*of, channel, F.col(samples).cast("array<double>").alias("_in")).dropna(subset=[*of, channel])
+    rows = rows.repartition(*(F.col(c) for c in of)).sortWithinPartitions(*of, channel)
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        size, now, parts, types = 0, None, [], None
+
+        def told():
+            for (key, a, b, f), (v, n) in held.items():
+                f = np.frombuffer(f)
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(f), t) for k, t in zip((*key, a, b), types)), pa.array(f), *map(pa.array, v), pa.array([n] * len(f), pa.int64())], schema.names)
+
+        def paired():
+            nonlocal size
+            for i, (a, f, j) in enumerate(parts):
+                for b, g, k in parts[i + 1 :]:
+                    if not a < b:
+                        continue
+                    if len(f) != len(g) or (f != g).any():
+                        both, x, y = np.intersect1d(f, g, return_indices=True)
+                        u, w = j[x], k[y]
+                    else:
+                        both, u, w = f, j, k
+                    c = (u.conj() * w).sum(axis=-1)
+                    v, at = np.stack([c.real, c.imag, _power(u).sum(axis=-1), _power(w).sum(axis=-1)]), (now[: len(keys)], a, b, both.tobytes())
+                    if at in held:
+                        held[at][0] += v
+                        held[at][1] += 1
+                    else:
+                        held[at] = [v, 1]
+                        size += v.size
+                    if size > HELD:
+                        yield from told()
+                        held.clear()
+                        size = 0
+
+        for batch in sliced(batches):
+            types = types or [*(c.type for c in batch.columns[: len(keys)]), batch.column(len(of)).type, batch.column(len(of)).type]
+            lengths, starts, values = ragged(batch.column(len(of) + 1))
+            for i, (name, ch) in enumerate(zip(zip(*(c.to_pylist() for c in batch.columns[: len(of)])), batch.column(len(of)).to_pylist())):
+                if name != now:
+                    yield from paired()
+                    now, parts = name, []
+                if lengths[i]:
+                    x = values[starts[i] : starts[i] + lengths[i]]
+                    parts.append((ch, p.grid(len(x))[0], transforms(x, p)))
+        yield from paired()
+        yield from told()
+
+    s = rows.mapInArrow(run, schema).groupBy(*keys, "a", "b", "f").agg(*(F.sum(c).alias(c) for c in names), F.sum("n").alias("trials"))
     c = F.try_divide(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.sqrt(F.col("sa") * F.col("sb")))
     return s.select(*keys, "a", "b", "f", c.alias("c"), F.atan2("im", "re").alias("phase"), "trials")
 
 
+def _places(own: dict[str, np.ndarray], f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the frequencies have totals, and where."""
+    at = np.minimum(np.searchsorted(own["f"], f), len(own["f"]) - 1)
+    ok = own["f"][at] == f
+    return ok, at[ok]
+
+
+def _moments(total: DataFrame, left: DataFrame, keys: list[str]) -> DataFrame:
+    """The totals with ``_sd``, the deviation of what leaves one part out; parts are told by their distance d from the value
+    of all, so that sums of d and of its squares are exact enough."""
+    mean = F.col("d") / F.col("m")
+    left = left.select(*keys, "f", F.sqrt(F.greatest(F.col("dd") / F.col("m") - mean * mean, F.lit(0.0))).alias("_sd"))
+    return total.join(left.hint("merge"), [*keys, "f"])
+
+
 def jackknife_coherence(df: DataFrame, keys: list[str], x: str, y: str, p: Taper, level: float = 0.05) -> DataFrame:
     """(keys, f, c, low, high): interval from z = sqrt(2 n - 2) atanh(c) without one of the n tapers of trials each. What leaves
-    one out comes from the totals."""
+    one out comes from the totals, which are summed first."""
+    from tidemark.functions.distributions import student_quantile
 
-    def one(u: np.ndarray, v: np.ndarray):
-        j, k = transforms(u, p), transforms(v, p)
-        cross = (j.conj() * k).ravel()
-        return np.repeat(p.grid(len(u))[0], p.k), cross.real, cross.imag, (np.abs(j) ** 2).ravel(), (np.abs(k) ** 2).ravel()
+    names = ["re", "im", "sx", "sy"]
 
-    from tidemark.functions.distributions import student_quantile
+    def parts(u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        j, k = transforms(u, p), transforms(v, p)
+        cross = j.conj() * k
+        return [cross.real, cross.imag, _power(j), _power(k)]
 
-    names = ("re", "im", "sx", "sy")
-    each = _each(df, keys, [x, y], "f double, re double, im double, sx double, sy double", one)
-    total = each.groupBy(*keys, "f").agg(*(F.sum(c).alias(f"_{c}") for c in names), F.count(F.lit(1)).alias("n")).where("n > 1")
-    size = lambda re, im, sx, sy: F.try_divide(F.sqrt(re**2 + im**2), F.sqrt(sx * sy))
-    z = lambda c: F.sqrt(2 * F.col("n") - 2) * F.atanh(F.least(c, F.lit(1 - 1e-15)))
-    left = each.join(total, [*keys, "f"]).withColumn("_z", z(size(*(F.col(f"_{c}") - F.col(c) for c in names))))
-    out = left.groupBy(*keys, "f").agg(*(F.first(f"_{c}").alias(f"_{c}") for c in names), F.first("n").alias("n"), F.stddev_pop("_z").alias("_sd"))
-    out = out.withColumn("c", size(*(F.col(f"_{c}") for c in names)))
+    def one(u: np.ndarray, v: np.ndarray):
+        return p.grid(u.shape[1])[0], len(u) * p.k, *(s.sum(axis=(0, 2)) for s in parts(u, v))
+
+    def z_of(n, re, im, sx, sy):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = np.where(sx * sy == 0, np.nan, np.sqrt(re**2 + im**2) / np.sqrt(sx * sy))
+        return np.sqrt(2 * n - 2) * np.arctanh(np.fmin(c, 1 - 1e-15))
+
+    def without(own: dict[str, np.ndarray], u: np.ndarray, v: np.ndarray):
+        f = p.grid(u.shape[1])[0]
+        ok, at = _places(own, f)
+        n, sums = own["n"][at].astype(float), [own[c][at] for c in names]
+        d = z_of(n[:, None], *(s[:, None] - q[:, ok] for s, q in zip(sums, parts(u, v)))) - z_of(n, *sums)[:, None]
+        return f[ok], len(u) * p.k, d.sum(axis=(0, 2)), (d * d).sum(axis=(0, 2))
+
+    total = checkpoint(_summed(df, keys, [x, y], names, one).where("n > 1"))
+    left = _summed(df, keys, [x, y], ["d", "dd"], without, total).withColumnRenamed("n", "m")
+    out = _moments(total, left, keys).withColumn("c", F.try_divide(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2), F.sqrt(F.col("sx") * F.col("sy"))))
+    z = F.sqrt(2 * F.col("n") - 2) * F.atanh(F.least("c", F.lit(1 - 1e-15)))
     reach = student_quantile(F.lit(1 - level / 2), 2 * F.col("n") - 1) * F.sqrt(F.col("n") - 1) * F.col("_sd")
     back = lambda v: F.tanh(v / F.sqrt(2 * F.col("n") - 2))
-    return out.select(*keys, "f", "c", F.greatest(back(z(F.col("c")) - reach), F.lit(0.0)).alias("low"), back(z(F.col("c")) + reach).alias("high"))
+    return out.select(*keys, "f", "c", F.greatest(back(z - reach), F.lit(0.0)).alias("low"), back(z + reach).alias("high"))
 
 
 def jackknife_spectrum(df: DataFrame, keys: list[str], samples: str, p: Taper, level: float = 0.05) -> DataFrame:
     """(keys, f, s, low, high): interval from the logarithms of the means without one taper of one trial. The sums that
-    leave one out come from the total, so each part is looked at once."""
-    each = _each(df, keys, [samples], "f double, s double", lambda x: _parts(x, p))
-    total = each.groupBy(*keys, "f").agg(F.sum("s").alias("_t"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    logs = each.join(total, [*keys, "f"]).withColumn("_log", F.log(F.greatest(F.col("_t") - F.col("s"), F.lit(1e-300)) / (F.col("n") - 1)))
-    out = logs.groupBy(*keys, "f").agg((F.first("_t") / F.first("n")).alias("s"), F.first("n").alias("n"), (F.sqrt(F.first("n") - 1) * F.stddev_pop("_log")).alias("_sd"))
+    leave one out come from the total, which is summed first."""
     from tidemark.functions.distributions import student_quantile
 
-    reach = student_quantile(F.lit(1 - level / 2), F.col("n") - 1) * F.col("_sd")
+    def one(x: np.ndarray):
+        return p.grid(x.shape[1])[0], len(x) * p.k, _power(transforms(x, p)).sum(axis=(0, 2))
+
+    def without(own: dict[str, np.ndarray], x: np.ndarray):
+        f = p.grid(x.shape[1])[0]
+        ok, at = _places(own, f)
+        n, s = own["n"][at].astype(float), own["s"][at]
+        log = lambda v, k: np.log(np.maximum(v, 1e-300) / k)
+        d = log(s[:, None] - _power(transforms(x, p))[:, ok], (n - 1)[:, None]) - log(s, n)[:, None]
+        return f[ok], len(x) * p.k, d.sum(axis=(0, 2)), (d * d).sum(axis=(0, 2))
+
+    total = checkpoint(_summed(df, keys, [samples], ["s"], one).where("n > 1"))
+    left = _summed(df, keys, [samples], ["d", "dd"], without, total).withColumnRenamed("n", "m")
+    out = _moments(total, left, keys).withColumn("s", F.col("s") / F.col("n"))
+    reach = student_quantile(F.lit(1 - level / 2), F.col("n") - 1) * F.sqrt(F.col("n") - 1) * F.col("_sd")
     return out.select(*keys, "f", "s", (F.col("s") * F.exp(-reach)).alias("low"), (F.col("s") * F.exp(reach)).alias("high"))
 
 
-def _parts(x: np.ndarray, p: Taper):
-    f = p.grid(len(x))[0]
-    s = np.abs(transforms(x, p)) ** 2
-    return np.repeat(f, s.shape[1]), s.ravel()
+@lru_cache(maxsize=256)
+def _line_limit(n: int, k: int, level: float | None) -> float:
+    return float(f_inv(np.array([1 - (level or 0.05 / n)]), 2, 2 * k - 2)[0])
 
 
-def line_test(df: DataFrame, keep: list[str], samples: str, p: Taper, level: float | None = None) -> DataFrame:
+def line_test(df: DataFrame, keep: list[str], samples: str, p: Taper, level: float | None = None, found: bool = False) -> DataFrame:
     """(keep, f, ratio, limit, amplitude): is there a sine at f? The F ratio of its power against what the tapers leave, with the
-    significance limit of level (0.05 / number of samples)."""
+    significance limit of level (0.05 / number of samples). ``found``: only where the ratio is above the limit."""
 
     def one(x: np.ndarray):
-        h = slepian(len(x), p.tw, p.k) * np.sqrt(p.fs)
+        n = x.shape[1]
+        h = slepian(n, p.tw, p.k) * np.sqrt(p.fs)
         j, h0 = transforms(x, p), np.where(np.arange(p.k) % 2 == 0, h.sum(axis=0), 0.0)
-        a = (j * h0).sum(axis=1) / (h0**2).sum() * p.fs
-        rest = np.abs(j - a[:, None] * h0 / p.fs) ** 2
-        value = (p.k - 1) * np.abs(a / p.fs) ** 2 * (h0**2).sum() / rest.sum(axis=1)
-        f = p.grid(len(x))[0]
-        limit = float(f_inv(np.array([1 - (level or 0.05 / len(x))]), 2, 2 * p.k - 2)[0])
-        return f, value, np.full(len(f), limit), 2 * np.abs(a)
+        a = (j * h0).sum(axis=-1) / (h0**2).sum() * p.fs
+        rest = np.abs(j - a[..., None] * h0 / p.fs) ** 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (p.k - 1) * np.abs(a / p.fs) ** 2 * (h0**2).sum() / rest.sum(axis=-1)
+        f, limit = np.broadcast_to(p.grid(n)[0], value.shape), _line_limit(n, p.k, level)
+        # for Spark nan is above all numbers
+        row, at = np.nonzero((value > limit) | np.isnan(value)) if found else np.indices(value.shape).reshape(2, -1)
+        return row, f[row, at], value[row, at], np.full(len(row), limit), 2 * np.abs(a)[row, at]
 
     return _each(df, keep, [samples], "f double, ratio double, limit double, amplitude double", one)
 
@@ -236,11 +414,7 @@ def without_line(x: np.ndarray, p: Taper, line: float) -> np.ndarray:
 
 
 def remove_line(samples: Column | str, p: Taper, line: float) -> Column:
-    def batch(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda v: None if v is None else without_line(np.asarray(v, float), p, line).tolist() if len(v) else [])
-
-    batch.__annotations__ = {"rows": pd.Series, "return": pd.Series}
-    return F.pandas_udf(batch, "array<double>")(F.col(samples).cast("array<double>") if isinstance(samples, str) else samples.cast("array<double>"))
+    return mapped(lambda v: without_line(v, p, line), samples)
 
 
 def two_group_spectrum(a: DataFrame, b: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -190,3 +190,15 @@ def test_awkward_and_empty(spark, awkward, empty, monkeypatch, most):
     whole = sanitise.sanitised(awkward)
     assert whole.columns == awkward.columns and whole.count() == awkward.count()
     assert sanitise.sanitise(empty).count() == 0 and sanitise.sanitised(empty).count() == 0
+
+
+def test_terms_are_counted_for_a_whole_task(spark, monkeypatch):
+    """Numbers are the same whether a task gives them once or after each batch."""
+    from tidemark.llm import sanitise
+
+    docs = spark.createDataFrame([(f"common w{i % 3} w{i}",) for i in range(40)], "text string").coalesce(2)
+    terms = spark.createDataFrame([("common",), ("w1",), ("w30",)], "term string")
+    none = spark.createDataFrame([], "copy long, rows long")
+    got = {r.term: r.n for r in sanitise.document_frequency(docs, terms, none).collect()}
+    monkeypatch.setattr(sanitise, "HELD_TERMS", 0)
+    assert got == {r.term: r.n for r in sanitise.document_frequency(docs, terms, none).collect()} == {"common": 40, "w1": 13, "w30": 1}

@@ -34,6 +34,8 @@ from tidemark.llm.common import checkpoint, hex_sha256, sliced, table
 KINDS = ("email", "ip", "card", "phone")
 #: Terms and entities above the threshold that are broadcast at most; beyond that they are joined.
 BROADCAST_PAIRS = 100_000
+#: Terms that a task counts before it gives their numbers on: all that are sent.
+HELD_TERMS = BROADCAST_PAIRS
 #: Texts with copies whose numbers are broadcast at most: 16 bytes each.
 BROADCAST_COPIES = 500_000
 
@@ -156,20 +158,23 @@ def contexts(df: DataFrame, text_col: str = "text", reach: int = 8) -> DataFrame
 def document_frequency(df: DataFrame, terms: DataFrame, copies: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): distinct texts with each of the given terms. ``copies`` has (copy, rows) of the texts that more than one
     row has; each of their rows counts as its part of one text. Each task counts its own documents' terms before the
-    shuffle, so a hot term is a row from each batch. Few terms are sent to the tasks, more are joined."""
+    shuffle, so a term that was sent is a row from each task, whatever the number of batches. Few terms are sent to the tasks, more are joined."""
     few = terms.count() <= BROADCAST_PAIRS
     sent = df.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
+        wanted, n = sent.value, {}
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
         for batch in sliced(batches):
-            n: dict[str, float] = {}
             for text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = 1 / rows if rows else 1.0
                 own = set(_word.findall(text.lower())) if text else set()
                 for t in own if wanted is None else own & wanted:
                     n[t] = n.get(t, 0.0) + part
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.float64())], ["term", "n"])
+            if len(n) > HELD_TERMS:
+                yield told()
+                n.clear()
+        yield told()
 
     copies = copies.hint("broadcast") if copies.count() <= BROADCAST_COPIES else copies
     rows = df.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy")).join(copies, "copy", "left").select("text", "rows")

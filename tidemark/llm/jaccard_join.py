@@ -41,8 +41,8 @@ from tidemark.operators.maps import connected
 BLOCK_TOKENS = 150_000
 #: Parts for each token in which linking sets may differ: more parts leave fewer candidates and cost more rows.
 PARTS = 1.25
-#: Candidate documents that are picked by a broadcast of their hashes; more are picked by a join. The driver holds
-#: some 250 bytes of each while it makes the broadcast.
+#: Candidate documents that are picked by a broadcast of their hashes; more are picked by a join, as the driver holds
+#: them while it makes the broadcast.
 BROADCAST_IDS = 500_000
 LEAF, FANOUT = 8, 8
 

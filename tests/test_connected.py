@@ -35,3 +35,38 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     chain = [(int(x), int(x) + 1) for x in np.random.default_rng(1).permutation(3000)]
     labels = maps.connected(spark.createDataFrame(chain, "a long, b long").coalesce(1))
     assert labels.count() == 3001 and labels.where("label != 0").isEmpty() and len(calls) <= 4
+
+
+def test_rounds_move_an_edge_a_node(spark, monkeypatch):
+    """Edges that are dealt over many tasks, many to a node, as those of a large group of near copies."""
+    sizes, plain, was = [], maps.checkpoint, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def counted(df):
+        sizes.append((out := plain(df)).count())
+        return out
+
+    monkeypatch.setattr(maps, "checkpoint", counted)
+    edges = [(a, b) for a in range(40) for b in range(100, 400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = maps.connected(spark.createDataFrame(edges, "a long, b long").repartition(200)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.label for r in got} == closure(edges) and len(got) == 340
+    assert max(sizes) < 340 + 24 * 40
+
+
+def test_chains_that_interleave_take_few_rounds(spark, monkeypatch):
+    calls, plain, was = [], maps.checkpoint, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(maps, "checkpoint", lambda df: calls.append(1) or plain(df))
+    edges = [(k, k + 2) for k in range(400)] + [(400, 500), (401, 500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = maps.connected(spark.createDataFrame(edges, "a long, b long").repartition(60)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.label for r in got} == closure(edges) and len(calls) <= 24

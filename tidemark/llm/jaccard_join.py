@@ -148,10 +148,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have enough parts in common with others, by candidate component. A node is in a
     component for each of its intervals."""
     rows = written(_shared(rows).select("node", "k", "need", "s").distinct())
-    enough = lambda r: r.join(r.groupBy("node", "k").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("_need")).where("n >= _need").select("node", "k"), ["node", "k"], "left_semi")
+    own = Window.partitionBy("node", "k")  # a set's parts
+    enough = lambda r: r.withColumn("n", F.count(F.lit(1)).over(own)).where("n >= need")
     rows = written(_shared(enough(rows)).select("node", "k", "need", "s"))
     rows = written(_shared(enough(rows)).select("node", "k", "leader").distinct())
-    edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b").distinct()
+    edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b")
     labels = connected(edges).select(F.col("node").alias("_vertex"), "label")
     return rows.select("node", F.xxhash64("node", "k").alias("vertex")).distinct().join(labels, F.col("vertex") == F.col("_vertex")).select("node", "label")
 

@@ -49,8 +49,9 @@ CONTRACTED = 500_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """(a, b): edges of whole numbers, fewer, that connect the same nodes. What the edges of a task connect, ``CONTRACTED``
-    of them at a time, becomes edges from its least node to each other one; a node's edge to itself stays one."""
+    """(a, b): edges of whole numbers, fewer, that connect the same nodes. What the edges of a task connect, some
+    ``CONTRACTED`` of them at a time, becomes edges from its least node to each other one; a node's edge to itself stays one.
+    Edges of one ``b`` that follow each other are contracted together."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}
@@ -69,28 +70,47 @@ def contracted(edges: DataFrame) -> DataFrame:
             for at in range(0, len(ends := np.flatnonzero(some)), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(least[ends[at : at + (1 << 16)]]), pa.array(nodes[ends[at : at + (1 << 16)]])], ["a", "b"])
 
-        held = 0
+        held, last = 0, None
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held >= CONTRACTED and b != last:
+                    yield from told()
+                    root.clear()
+                    held = 0
                 root.setdefault(a, a), root.setdefault(b, b)
                 if (u := find(a)) != (v := find(b)):
                     root[max(u, v)] = min(u, v)
-            held += batch.num_rows
-            if held >= CONTRACTED:
-                yield from told()
-                root.clear()
-                held = 0
+                held, last = held + 1, b
         yield from told()
 
     return edges.select("a", "b").where("a is not null and b is not null").mapInArrow(stars, "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node that each node of (a, b) is connected with. Labels spread to neighbours and jump to
-    their own label's label, so rounds grow with the logarithm of a component's length; each is checkpointed. Numbers are
-    contracted inside of tasks first, which leaves few rounds: each is some ten jobs, which the driver has to hold."""
-    if dict(edges.dtypes)["a"] == dict(edges.dtypes)["b"] == "bigint":
-        edges = contracted(edges)
+    """(node, label): the least node that each node of (a, b) is connected with. Numbers are contracted, others labelled in
+    rounds.
+
+    Edges are contracted inside of tasks, as they come and then once a round by their larger end, whose edges meet in one
+    task: of them the least stays and the others become edges between smaller nodes. So what a round moves comes down to
+    an edge a node, however many edges there were and however they were dealt. Smaller ends that have a smaller one
+    themselves give way to it, which halves the depth of what is left; it ends when every node has its least one alone."""
+    if not dict(edges.dtypes)["a"] == dict(edges.dtypes)["b"] == "bigint":
+        return _labelled(edges)
+    edges = contracted(edges)
+    while True:
+        by_end = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("b").sortWithinPartitions("b")
+        edges = checkpoint(contracted(by_end))
+        ends = edges.select(F.col("b").alias("node"), "a", F.lit(False).alias("over")).unionByName(edges.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("a"), F.lit(True).alias("over")))
+        ends = ends.groupBy("node").agg(F.min("a").alias("up"), F.max("a").alias("also"), F.max("over").alias("over"))
+        moving = checkpoint(ends.where("up != also or over and up < node").select(F.col("node").alias("a"), "up"))
+        if moving.isEmpty():
+            return ends.select("node", F.coalesce("up", "node").alias("label"))
+        edges = edges.join(moving, "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    """As connected(), for nodes of any kind: labels spread to neighbours and jump to their own label's label, so rounds
+    grow with the logarithm of a component's length; each passes all edges."""
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpoint(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select("node", F.least("node", "n").alias("label")))

@@ -207,6 +207,44 @@ def test_rank_sum(spark):
     assert abs(sorting.rank_sum(df, "v", "g", []).first().z - (w - 4 * 8 / 2) / math.sqrt(4 * 3 * 8 / 12)) < 1e-9
 
 
+def test_rank_sum_in_chunks(spark, monkeypatch):
+    """Values of all groups are read once, in chunks: no window holds a pair's values."""
+    monkeypatch.setattr(sorting, "RANKED", 7)
+    rng = np.random.default_rng(6)
+    rows = [(k, g, float(v)) for k in "xy" for g, n in (("a", 40), ("b", 55), ("c", 3), ("d", 1)) for v in rng.integers(0, 30, n)] + [("x", "e", 500.0)] * 3
+    rows += [("x", None, 1.0), (None, "a", 1.0), ("x", "a", None)]
+    df = spark.createDataFrame(rows, "k string, g string, v double").repartition(5)
+    got = {(r.k, r.a, r.b): r.z for r in sorting.rank_sum(df, "v", "g", ["k"]).collect()}
+    want = {}
+    for k in "xy":
+        of = {}
+        for key, g, v in rows:
+            if key == k and g and v is not None:
+                of.setdefault(g, []).append(v)
+        for a in of:
+            for b in of:
+                if a < b:
+                    n, m = len(of[a]), len(of[b])
+                    u = sum((x > y) + (x == y) / 2 for x in of[a] for y in of[b])
+                    want[k, a, b] = (u - n * m / 2) / math.sqrt(n * m * (n + m + 1) / 12)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = sorting.rank_sum(df, "v", "g", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "ORDER BY v" not in plan and " v#" not in "".join(x for x in plan.splitlines() if "Window" in x)
+
+
+def test_neighbours_move_rows_a_bounded_number_of_times(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=3).astype(np.float32).tolist(), int(rng.integers(3))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x array<float>, c int")
+    want = {r.c: r[1:] for r in df.sparkSession.createDataFrame(sorting.nearest_quality(df, "id", "x", "c", block=200).collect(), "c int, p double, q double").collect()}
+    monkeypatch.setattr(sorting, "NEIGHBOUR_LEAST", 10)
+    monkeypatch.setattr(sorting, "NEIGHBOUR_BLOCKS", 3)
+    out = sorting.nearest_quality(df, "id", "x", "c")
+    assert "sequence(0, 2" in str(out._jdf.queryExecution().analyzed()) or "cast(2 as bigint)" in str(out._jdf.queryExecution().analyzed())
+    got = {r[0]: r[1:] for r in out.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[c], want[c]) for c in got)
+
+
 def test_refractory_is_greedy(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 1, 2, 3, 10, 11, 20)] + [("b", 5)], "c string, t long")
     got = sorted((r.c, r.t) for r in waveforms.keep_after_refractory(df, "t", ["c"], 1).collect())

@@ -6,8 +6,12 @@ row for each cluster and is refused beyond a stated number.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,11 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.checkpoints import checkpoint
-from tidemark.operators.stats import running_sum
 
 MOST_CLUSTERS = 10_000
-#: Rows of a block that is compared with another.
-NEIGHBOUR_BLOCK = 4096
+#: Rows of a block that is compared with another at most, and where tables are so small that few tasks would be left.
+NEIGHBOUR_BLOCK, NEIGHBOUR_LEAST = 65_536, 4096
+#: Blocks at most, on either side, while they have fewer rows than that.
+NEIGHBOUR_BLOCKS = 8
+#: Distances that are held at once.
+NEIGHBOUR_CELLS = 1 << 20
+#: Counts of distinct values that a chunk of a rank-sum test has, some.
+RANKED = 4096
 
 
 def detect(df: DataFrame, keep: list[str], samples: str, threshold: Column, before: int, after: int, dead: int, polarity: str = "neg") -> DataFrame:
@@ -185,15 +194,18 @@ def censored_share(df: DataFrame, at: str, by: list[str], dead: float, span: flo
     return both.select(*by, F.least(F.lit(1.0), (F.col("_all") - F.col("n")) * dead / span).alias("censored"))
 
 
-def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int = 10, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
+def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int = 10, block: int | None = None) -> DataFrame:
     """(cluster, false_positive, false_negative): of a cluster's rows, the mean share of their k nearest neighbours that
     belong to another; and the neighbours in it of other clusters' rows, as shares summed, over its own rows. Every row is
     compared with all rows of other keys, exactly: blocks of rows with blocks, whose k nearest are then merged. Ties go by
-    key."""
-    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<double>").alias("x"), F.col(cluster).alias("c")).where("c is not null and x is not null")
+    key. A row is moved once for each block, with its values as they are: up to NEIGHBOUR_BLOCKS times while blocks can
+    grow, and by one more time for each NEIGHBOUR_BLOCK rows beyond that. ``block`` sets their size."""
+    single = isinstance(kind := df.schema[features].dataType, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = df.select(F.col(key).alias("key"), F.col(features).cast("array<float>" if single else "array<double>").alias("x"), F.col(cluster).alias("c")).where("c is not null and x is not null")
     rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))  # the numbers must not change
     sizes = rows.groupBy("c").count()
-    n = max(1, -(-rows.count() // block))
+    all_rows = rows.count()
+    n = max(1, -(-all_rows // block) if block else max(min(NEIGHBOUR_BLOCKS, -(-all_rows // NEIGHBOUR_LEAST)), -(-all_rows // NEIGHBOUR_BLOCK)))
     own, each = F.pmod(F.xxhash64("row"), F.lit(n)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = rows.select("row", "key", "x", own.alias("q"), each.alias("r")).groupBy("q", "r")
     given = rows.select("key", "x", "c", own.alias("r"), each.alias("q")).groupBy("q", "r")
@@ -208,8 +220,9 @@ def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int
         shifted = points - middle
         norm = (shifted**2).sum(axis=1)
         out_row, out_d, out_at = [], [], []
-        for start in range(0, len(a), 256):
-            part = a.iloc[start : start + 256]
+        step = max(1, min(256, NEIGHBOUR_CELLS // len(b)))
+        for start in range(0, len(a), step):
+            part = a.iloc[start : start + step]
             x = np.stack(part["x"].to_numpy()).astype(float)
             y = x - middle
             size = (y**2).sum(axis=1)
@@ -237,22 +250,91 @@ def nearest_quality(df: DataFrame, key: str, features: str, cluster: str, k: int
 
 
 def rank_sum(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
-    """(by, a, b, z) of each pair of groups a < b: normal approximation of the rank-sum test, ties averaged. Ranks come from
-    counts of distinct values of each pair, so rows aren't doubled beyond their values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.select(*by, "g").distinct()
-    pairs = groups.select(*by, F.col("g").alias("a")).join(groups.select(*by, F.col("g").alias("b")), by).where("a < b") if by else groups.select(F.col("g").alias("a")).join(groups.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
-    on = lambda side: counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("g").alias("_g"), "v", "n").withColumn("_side", F.lit(side))
-    parts = []
-    for side in ("a", "b"):
-        c = on(side)
-        cond = F.col(side) == F.col("_g")
-        for k in by:
-            cond = cond & (F.col(k) == F.col(f"_{k}"))
-        parts.append(pairs.join(c, cond).select(*by, "a", "b", "v", F.when(F.lit(side == "a"), F.col("n")).otherwise(0).alias("na"), F.when(F.lit(side == "b"), F.col("n")).otherwise(0).alias("nb")))
-    v = parts[0].unionByName(parts[1]).groupBy(*by, "a", "b", "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    v = running_sum(v.withColumn("_own", F.col("na") + F.col("nb")), [*by, "a", "b"], "v", "_own", "_to")
-    r = v.withColumn("_rank", F.col("_to") - F.col("_own") + (F.col("_own") + 1) / 2.0)
-    s = r.groupBy(*by, "a", "b").agg(F.sum(F.col("na") * F.col("_rank")).alias("w"), F.sum("na").alias("n"), F.sum("nb").alias("m"))
-    mean, spread = F.col("n") * (F.col("n") + F.col("m") + 1) / 2.0, F.sqrt(F.col("n") * F.col("m") * (F.col("n") + F.col("m") + 1) / 12.0)
-    return s.select(*by, "a", "b", F.coalesce(F.try_divide(F.col("w") - mean, spread), F.lit(0.0)).alias("z"))
+    """(by, a, b, z) of each pair of groups a < b: normal approximation of the rank-sum test, ties averaged.
+
+    The counts of distinct values are sorted once, by ranges, and tasks read them in chunks. A chunk gives each pair's wins
+    within it, value over value and half of ties, and its groups' counts; what a chunk's rows win over the chunks before
+    are products of counts. So no task holds a pair's values, and a value is moved once, not once a pair. Rows without a
+    value, a group or a key take no part."""
+    fine = F.col(value).isNotNull() & F.col(group).isNotNull()
+    for k in by:
+        fine = fine & F.col(k).isNotNull()
+    keys = [f"k{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    counts = df.where(fine).groupBy(*named, F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.repartitionByRange(*keys, "v").sortWithinPartitions(*keys, "v")
+    kept = [*(counts.schema[k] for k in keys), T.StructField("part", T.IntegerType()), T.StructField("chunk", T.IntegerType())]
+    kind = counts.schema["g"].dataType
+    schema = T.StructType([*kept, T.StructField("a", kind), T.StructField("b", kind), T.StructField("u", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def wins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), -1
+        for rows in _chunks(batches, keys, RANKED):
+            at += 1
+            groups = rows.column("g").combine_chunks().dictionary_encode()
+            names, g = groups.dictionary, groups.indices.to_numpy()
+            n = np.zeros((len(names), len(rows)))
+            n[g, _codes(rows.column("v"))] = rows.column("n").to_numpy()
+            u = n @ (np.cumsum(n, axis=1) - n / 2).T
+            i, j = np.nonzero(~np.eye(len(names), dtype=bool))
+            own = len(names)
+            head = [pa.array([rows.column(k)[0].as_py()] * (own + len(i)), rows.schema.field(k).type) for k in keys]
+            a = pa.concat_arrays([names, names.take(pa.array(i))])
+            b = pa.concat_arrays([pa.nulls(own, names.type), names.take(pa.array(j))])
+            yield pa.RecordBatch.from_arrays([*head, pa.array(np.full(len(a), part, np.int32)), pa.array(np.full(len(a), at, np.int32)), a, b, pa.array(np.r_[np.zeros(own), u[i, j]]), pa.array(np.r_[n.sum(axis=1), np.zeros(len(i))].astype(np.int64))], schema.names)
+
+    found = checkpoint(counts.mapInArrow(wins, schema))
+    own = found.where("b is null").select(*keys, "part", "chunk", F.col("a").alias("g"), "n")
+    before = Window.partitionBy(*keys, "g").orderBy("part", "chunk")
+    # what a chunk of a has over the chunks of b before: counts up to each chunk, of those groups too that have none in it
+    steps = own.select(*keys, "part", "chunk").distinct()
+    groups = own.groupBy(*keys, "g").agg(F.sum("n").alias("total"))
+    grid = steps.join(groups, keys) if keys else steps.crossJoin(groups)
+    grid = grid.join(own, [*keys, "part", "chunk", "g"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    grid = grid.withColumn("prior", F.sum("n").over(before) - F.col("n"))
+    first = grid.where("n > 0").select(*keys, "part", "chunk", F.col("g").alias("a"), F.col("n").alias("na"))
+    second = grid.where("prior > 0").select(*keys, "part", "chunk", F.col("g").alias("b"), "prior")
+    later = first.join(second, [*keys, "part", "chunk"]).where("a < b").select(*keys, "a", "b", (F.col("na").cast("double") * F.col("prior")).alias("u"))
+    u = found.where("b is not null and a < b").select(*keys, "a", "b", "u").unionByName(later).groupBy(*keys, "a", "b").agg(F.sum("u").alias("u"))
+    pairs = [groups.select(*keys, F.col("g").alias(c), F.col("total").alias(m)) for c, m in (("a", "n"), ("b", "m"))]
+    pairs = pairs[0].join(pairs[1], keys) if keys else pairs[0].crossJoin(pairs[1])
+    s = pairs.where("a < b").join(u, [*keys, "a", "b"], "left")
+    mean, spread = F.col("n") * F.col("m") / 2.0, F.sqrt(F.col("n") * F.col("m") * (F.col("n") + F.col("m") + 1) / 12.0)
+    return s.select(*(F.col(k).alias(c) for k, c in zip(keys, by)), "a", "b", F.coalesce(F.try_divide(F.coalesce("u", F.lit(0.0)) - mean, spread), F.lit(0.0)).alias("z"))
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers of the values of a sorted column, equal ones alike; NaN equals NaN."""
+    x = column.to_numpy()
+    same = (x[1:] == x[:-1]) | ((x[1:] != x[1:]) & (x[:-1] != x[:-1]))
+    return np.r_[0, np.cumsum(~same.astype(bool))]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
+    """Sorted rows of one key in tables of some ``most`` rows, cut between values."""
+
+    def cut(rows: pa.Table, last: bool) -> Iterator[pa.Table | None]:
+        while len(rows):
+            differs = np.zeros(len(rows) - 1, bool)
+            for k in keys:
+                differs |= np.diff(_codes(rows.column(k))) > 0
+            ends = np.flatnonzero(differs) + 1
+            end = int(ends[0]) if len(ends) else len(rows)
+            if end > most:
+                steps = np.flatnonzero(np.diff(_codes(rows.column("v").slice(0, end)))) + 1
+                if len(steps := steps[steps >= most]):
+                    end = int(steps[0])
+            if end == len(rows) and not last:
+                break
+            yield rows.slice(0, end)
+            rows = rows.slice(end)
+        left.append(rows)
+
+    left: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([left.pop(), rows]).combine_chunks() if left else rows
+        yield from cut(rows, False)
+    if left:
+        yield from cut(left.pop(), True)
+

@@ -96,3 +96,13 @@ def test_band_of_drawn_trains(spark):
     for lag in range(-5, 6):
         values = sorted(c[lag] for c in each)
         assert (got[lag].n, got[lag].low, got[lag].high) == (own[lag], values[0], values[8]) and got[lag]["mean"] == pytest.approx(sum(values) / 10)
+
+
+def test_reassigned_trains_of_many_trials(spark):
+    """A window of 4000 trials is dealt 20,000 times in a few seconds."""
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(k), int(t)) for k, t in zip(rng.integers(0, 4000, 12_000), rng.integers(0, 25, 12_000))})
+    df = spark.createDataFrame(rows, "k long, t long")
+    got = [(r.k, r.t) for r in bins.reassigned(df, "t", "k", 25, 1, 3).collect()]
+    assert len(set(got)) == len(rows) and Counter(k for k, _ in got) == Counter(k for k, _ in rows) and Counter(t for _, t in got) == Counter(t for _, t in rows)
+    assert sum(x not in set(rows) for x in got[:500]) > 100

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -245,13 +246,18 @@ def reassigned(df: DataFrame, at: str, trial: str, window: int, rounds: int, see
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
         at = t.column("at").to_numpy()
         sets = [set(x.tolist()) for x in np.split(at, first[1:])]
-        for _ in range(5 * len(sets) if len(sets) > 1 else 0):
-            i, j = rng.choice(len(sets), 2, replace=False)
-            a, b = sorted(sets[i] - sets[j]), sorted(sets[j] - sets[i])
-            if a and b:
-                pool = rng.permutation(a + b).tolist()
-                both = sets[i] & sets[j]
-                sets[i], sets[j] = both | set(pool[: len(a)]), both | set(pool[len(a) :])
+        n = len(sets)
+        meetings = 5 * n if n > 1 else 0
+        one = rng.integers(0, n, meetings)
+        other = rng.integers(0, max(1, n - 1), meetings)
+        other += other >= one
+        chance = random.Random(int(rng.integers(2**62)))
+        for i, j in zip(one.tolist(), other.tolist()):
+            x, y = sets[i], sets[j]
+            if (a := x - y) and (b := y - x):
+                both, pool = x & y, sorted(a) + sorted(b)
+                chance.shuffle(pool)
+                sets[i], sets[j] = both.union(pool[: len(a)]), both.union(pool[len(a) :])
         out = np.concatenate([sorted(s) for s in sets])  # a trial keeps its number of rows
         return t.select(["round", "trial"]).append_column("at", pa.array(out, pa.int64()))
 

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidemark.checkpoints import written
 
 BLOCK = 4096
+#: Digits that a task holds before it counts them: two bytes each.
+COUNTED = 4_000_000
 #: Levels by which a cell is looked at in one round, and rounds at most.
 AHEAD, ROUNDS = 4, 6
 
@@ -115,26 +117,42 @@ def _at_vertices(blocks: DataFrame, vertices: DataFrame, columns: list[str], pre
     return blocks.join(arrays, "_k")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The rows of batches, arrays as views of their values."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            values = [c[i] for c in batch.columns]
+            yield [v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) else v.as_py() for v in values]
+
+
 def order_statistic(blocks: DataFrame, vertices: DataFrame) -> DataFrame:
     """(_k, v, distance): the ``left``-th least distance of the key's points from each vertex, for (_k, v, left). Distances
     are taken as the bits of doubles, 16 in a round."""
     state = vertices.select("_k", "v", "left", F.lit(0).cast("long").alias("bits"))
     for shift in (48, 32, 16, 0):
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for r in b.itertuples(index=False):
-                    x = np.asarray(r.x)
-                    for v, bits in zip(r.v_v, r.v_bits):
-                        d = np.abs(x - v).view(np.int64)
-                        d = d if shift == 48 else d[(d >> (shift + 16)) == bits >> (shift + 16)]
-                        for digit, n in zip(*np.unique((d >> shift) & 0xFFFF, return_counts=True)):
-                            out.append((r._0, v, int(digit), int(n)))
-                yield pd.DataFrame(out, columns=["_k", "v", "digit", "n"])
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, waiting = {}, 0
+
+            def told() -> Iterator[pa.RecordBatch]:
+                for (k, v), digits in held.items():
+                    digit, n = np.unique(np.concatenate(digits), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(digit), pa.string()), pa.array(np.full(len(digit), v)), pa.array(digit.astype(np.int32)), pa.array(n)], ["_k", "v", "digit", "n"])
+
+            for k, x, vs, states in _rows(batches):
+                for v, bits in zip(vs, states):
+                    d = np.abs(x - v).view(np.int64)
+                    d = d if shift == 48 else d[(d >> (shift + 16)) == bits >> (shift + 16)]
+                    if len(d):
+                        held.setdefault((k, v), []).append(((d >> shift) & 0xFFFF).astype(np.uint16))
+                        waiting += len(d)
+                if waiting >= COUNTED:
+                    yield from told()
+                    held, waiting = {}, 0
+            yield from told()
 
         met = _at_vertices(blocks.select("_k", "x"), state, ["v", "bits"])
-        found = met.mapInPandas(count, "_k string, v double, digit int, n long").groupBy("_k", "v", "digit").agg(F.sum("n").alias("n"))
+        found = met.select("_k", "x", "v_v", "v_bits").mapInArrow(count, "_k string, v double, digit int, n long").groupBy("_k", "v", "digit").agg(F.sum("n").alias("n"))
 
         def step(g: pd.DataFrame) -> pd.DataFrame:
             g = g.sort_values("digit")
@@ -216,23 +234,28 @@ def fit_at(blocks: DataFrame, vertices: DataFrame, smooth: Smooth, steps: int =
     a response at the vertex of weight 1, ``variance`` that of the fit for a dispersion of 1."""
     p = smooth.degree + 1
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                x, y, w = np.asarray(r.x), np.asarray(r.y), np.asarray(r.w)
-                for v, h, coef in zip(r.v_v, r.v_h, r.v_coef):
-                    u = (x - v) / h if h > 0 else np.where(x == v, 0.0, np.inf)
-                    kernel = smooth.weight(u)
-                    on = kernel > 0
-                    a = u[on, None] ** np.arange(p)
-                    mean = smooth.mean(a @ np.asarray(coef))
-                    k, own = kernel[on], w[on]
-                    # counts of trials and of exposures stand for themselves, other responses for their means
-                    error = own * (y[on] - mean) if smooth.family == "gaussian" else y[on] - own * mean
-                    info = k * own * smooth.spread(mean)
-                    out.append((r._0, v, np.concatenate([a.T @ (k * error), (a.T @ (info[:, None] * a)).ravel(), (a.T @ ((info * k)[:, None] * a)).ravel()])))
-            yield pd.DataFrame(out, columns=["_k", "v", "s"])
+    def told(held: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([v for _, v in held], pa.float64()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["_k", "v", "s"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        for key, x, y, w, vs, hs, coefs in _rows(batches):
+            for v, h, coef in zip(vs, hs, coefs):
+                u = (x - v) / h if h > 0 else np.where(x == v, 0.0, np.inf)
+                kernel = smooth.weight(u)
+                on = kernel > 0
+                a = u[on, None] ** np.arange(p)
+                mean = smooth.mean(a @ coef)
+                k, own = kernel[on], w[on]
+                # counts of trials and of exposures stand for themselves, other responses for their means
+                error = own * (y[on] - mean) if smooth.family == "gaussian" else y[on] - own * mean
+                info = k * own * smooth.spread(mean)
+                s = np.concatenate([a.T @ (k * error), (a.T @ (info[:, None] * a)).ravel(), (a.T @ ((info * k)[:, None] * a)).ravel()])
+                held[key, v] = held[key, v] + s if (key, v) in held else s
+            if len(held) >= 10_000:
+                yield told(held)
+                held = {}
+        yield told(held)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -256,7 +279,7 @@ def fit_at(blocks: DataFrame, vertices: DataFrame, smooth: Smooth, steps: int =
     schema = "_k string, v double, h double, coef array<double>, moved double, value double, slope double, influence double, variance double"
     for _ in range(1 if smooth.family == "gaussian" else steps):
         met = _at_vertices(blocks, state, ["v", "h", "coef"])
-        parts = met.mapInPandas(sums, "_k string, v double, s array<double>").select("_k", "v", F.posexplode("s").alias("i", "x"))
+        parts = met.select("_k", "x", "y", "w", "v_v", "v_h", "v_coef").mapInArrow(sums, "_k string, v double, s array<double>").select("_k", "v", F.posexplode("s").alias("i", "x"))
         total = parts.groupBy("_k", "v", "i").agg(F.sum("x").alias("x")).groupBy("_k", "v").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("s"))
         state = written(total.join(state.select("_k", "v", "h", "coef"), ["_k", "v"]).mapInPandas(solve, schema))
         if smooth.family != "gaussian" and (state.agg(F.max("moved")).first()[0] or 0.0) < 1e-9:
@@ -322,24 +345,20 @@ class Fit:
         between vertices with ``halvings`` of each cell besides."""
         smooth = self.smooth
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for r in b.itertuples(index=False):
-                    x, y, w = np.asarray(r.x), np.asarray(r.y), np.asarray(r.w)
-                    v, value, slope = (np.asarray(c) for c in (r.v_v, r.v_value, r.v_slope))
-                    eta = interpolate(x, v, value, slope)
-                    fine = np.asarray(r.f_v)
-                    share = w * interpolate(x, fine, np.asarray(r.f_influence))
-                    own = w * smooth.spread(smooth.mean(eta))
-                    mean = smooth.mean(eta)
-                    error = y - mean if smooth.family == "gaussian" else (y - w * mean) / np.maximum(own, 1e-300)
-                    left = eta - error * share / np.maximum(1 - share, 1e-12)
-                    out.append((r._0, len(x), float(smooth.likelihood(eta, y, w).sum()), float(share.sum()), float((own * interpolate(x, fine, np.asarray(r.f_variance))).sum()), float(smooth.likelihood(left, y, w).sum())))
-                yield pd.DataFrame(out, columns=["_k", "n", "likelihood", "df0", "df1", "left"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for k, x, y, w, v, value, slope, fine, influence, variance in _rows(batches):
+                eta = interpolate(x, v, value, slope)
+                share = w * interpolate(x, fine, influence)
+                own = w * smooth.spread(smooth.mean(eta))
+                mean = smooth.mean(eta)
+                error = y - mean if smooth.family == "gaussian" else (y - w * mean) / np.maximum(own, 1e-300)
+                left = eta - error * share / np.maximum(1 - share, 1e-12)
+                sums = [float(smooth.likelihood(eta, y, w).sum()), float(share.sum()), float((own * interpolate(x, fine, variance)).sum()), float(smooth.likelihood(left, y, w).sum())]
+                yield pa.RecordBatch.from_pydict({"_k": [k], "n": [len(x)]} | {c: [z] for c, z in zip(("likelihood", "df0", "df1", "left"), sums)})
 
         met = _at_vertices(_at_vertices(self.blocks, self.finer(), ["v", "influence", "variance"], "f_"), self.vertices, ["v", "value", "slope"])
-        parts = met.mapInPandas(run, "_k string, n long, likelihood double, df0 double, df1 double, left double")
+        columns = ["_k", "x", "y", "w", "v_v", "v_value", "v_slope", "f_v", "f_influence", "f_variance"]
+        parts = met.select(*columns).mapInArrow(run, "_k string, n long, likelihood double, df0 double, df1 double, left double")
         total = parts.groupBy("_k").agg(*(F.sum(c).alias(c) for c in ("n", "likelihood", "df0", "df1", "left")))
         gcv = F.try_divide(-2 * F.col("n") * F.col("likelihood"), (F.col("n") - F.col("df0")) ** 2)
         return self.named(total.select("_k", "n", "likelihood", "df0", "df1", gcv.alias("gcv"), (-2 * F.col("left")).alias("lcv"), (-2 * F.col("likelihood") + 2 * F.col("df0")).alias("aic")))

@@ -20,6 +20,9 @@ from tidemark.checkpoints import written
 from tidemark.functions.distributions import normal_p
 from tidemark.operators.stats import running_sum
 
+#: Values that are transformed at once.
+CELLS = 1 << 16
+
 #: A packet as (level, index); its children are (level + 1, 2 index), the low pass, and (level + 1, 2 index + 1).
 Node = tuple[int, int]
 
@@ -71,10 +74,11 @@ def _column(f: Callable[[np.ndarray], np.ndarray], x: Column | str) -> Column:
         out = pd.Series([None] * len(rows), dtype=object)
         sizes = np.array([-1 if v is None else len(v) for v in rows])
         for n in np.unique(sizes[sizes >= 0]):
-            at = np.flatnonzero(sizes == n)
-            done = f(np.stack([np.asarray(v, float) for v in rows.iloc[at]])) if n else np.zeros((len(at), 0))
-            for i, v in zip(at, done):
-                out.iloc[i] = v
+            same, step = np.flatnonzero(sizes == n), max(1, CELLS // max(1, int(n)))
+            for at in (same[k : k + step] for k in range(0, len(same), step)):
+                done = f(np.stack([np.asarray(v, float) for v in rows.iloc[at]])) if n else np.zeros((len(at), 0))
+                for i, v in zip(at, done):
+                    out.iloc[i] = v
         return out
 
     batch.__annotations__ = {"rows": pd.Series, "return": pd.Series}

@@ -87,6 +87,43 @@ def test_chains_over_many_blocks(spark, monkeypatch):
     check(spark, [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(14)], 3, 90)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linking_sets_have_the_parts_that_each_needs(percent):
+    rng, cut, seen = np.random.default_rng(2), jaccard_join.Parts(percent), 0
+    for n in [*range(4, 60), 89, 90, 161, 162, 290, 291, 522, 523]:
+        for m in {n, n * 100 // percent, int(rng.integers(n, n * 100 // percent + 1))}:
+            o = -(-percent * (n + m) // (100 + percent))  # the least overlap of a link
+            pool = np.unique(rng.integers(0, 1 << 64, 3 * m + 9, np.uint64, endpoint=False))
+            rng.shuffle(pool)
+            if o > n or o == n == m:
+                continue
+            of = [{k: (need, set(s.tolist())) for k, need, s in cut.signatures(np.sort(x))} for x in (pool[:n], np.concatenate([pool[:o], pool[n : n + m - o]]))]
+            k = int(np.searchsorted(cut.bounds, n, side="right")) - 1
+            common = len(of[0][k][1] & of[1][k][1])
+            assert common >= max(1, of[0][k][0], of[1][k][0])
+            seen += 1
+    assert seen > 90
+
+
+def test_sets_that_share_nothing_are_no_candidates(spark):
+    rows = [(" ".join(words_of(54 + k % 7, 1000 + k)),) for k in range(1200)]
+    assert jaccard_join.candidates(jaccard_join.parts(spark.createDataFrame(rows, "text string"), "text", 5, 80)).isEmpty()
+
+
+def test_a_passage_does_not_join_groups(spark):
+    passage, group = words_of(40, 0.5), {}
+    for g in range(8):
+        for copy in near_copies(g, [160], 6):
+            text = f"{copy[1]} {' '.join(passage)}"
+            group[jaccard_join.node_of(jaccard_join.shingle_hashes(text, 5))] = (g, text)
+    rows = spark.createDataFrame([(t,) for _, t in group.values()], "text string")
+    got = jaccard_join.candidates(jaccard_join.parts(rows, "text", 5, 80)).collect()
+    labels = {}
+    for r in got:
+        labels.setdefault(r.label, set()).add(group[r.node][0])
+    assert {g for x in labels.values() for g in x} == set(range(8)) and all(len(x) == 1 for x in labels.values())
+
+
 @pytest.mark.parametrize("middle", [None, 7])
 def test_links_through_a_null_id(spark, middle):
     words = words_of(100, 8)

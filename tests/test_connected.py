@@ -70,3 +70,22 @@ def test_chains_that_interleave_take_few_rounds(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", was)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.node: r.label for r in got} == closure(edges) and len(calls) <= 24
+
+
+def test_later_rounds_write_few_files(spark, monkeypatch):
+    tasks, plain, was = [], maps.checkpoint, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def counted(df):
+        tasks.append((out := plain(df)).rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(maps, "checkpoint", counted)
+    edges = [(k, k + 2) for k in range(400)] + [(400, 500), (401, 500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = maps.connected(spark.createDataFrame(edges, "a long, b long").repartition(60)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.node: r.label for r in got} == closure(edges) and len(tasks) > 2 and set(tasks[1:]) == {1}

@@ -4,12 +4,14 @@
 2. Blocks. With similarity at least s, sets that link differ in at most d tokens, d = floor((1-s)/(1+s) (|A|+|B|)). Hash
    space is cut into P > d parts, so that a linking pair has at least P - d parts with equal content. Sizes fall into
    intervals, each with a P of its own for pairs whose smaller set lies in it; a set gives the parts of its interval and,
-   where a smaller partner can lie in the one below, of that too. So a set that links has at least P - d parts in common
-   with other sets of the interval: sets with fewer go, and those that then have fewer, before any tokens are moved. A
-   passage that many documents share makes few whole parts common, so it doesn't connect them. Parts without tokens are
-   left out (a set needs fewer by their number) unless a set has P - d or more of them. Sets of an interval that still
-   share a part are candidates; they are connected by edges to one leader of each part and cut into components, so each
-   node with its tokens goes to one place for each of its intervals, two at most.
+   where a smaller partner can lie in the one below, of that too. P follows from the interval, but what a set needs from
+   the d of its own size: a set that links has at least P - d parts in common with other sets of the interval. Sets with
+   fewer go, and those that then have fewer, before any tokens are moved. A passage that many documents share makes few
+   whole parts common, so it doesn't connect them. Parts without tokens are left out (a set needs fewer by their number)
+   unless a set has P - d or more of them, as a few of the smallest have. Sets of an interval that still share a part are
+   candidates; they are connected by edges to one leader of each part and cut into components, so each node with its
+   tokens goes to one place for each of its intervals, two at most. Of its parts, a set drops those with the rarest of its
+   leaders, fewer than half of what it needs: that cuts groups of near copies from each other where a passage joins them.
 3. Signature trees. In each component the nodes, in order of size and content, are leaves of a tree whose nodes hold the
    OR of the token bitmaps below and their range of sizes. Two trees (or one with itself) are walked together; a pair of
    nodes goes when the common bits of the two can't make the overlap that their smallest sizes ask for. Components
@@ -65,6 +67,12 @@ class Parts:
         large = small * 100 // self.percent
         return (100 - self.percent) * (small + large) // (100 + self.percent)
 
+    def differ(self, k: int, n: int) -> int:
+        """Most tokens in which a set of ``n`` can differ from one that it links with, whose smaller lies in interval k."""
+        small = self.bounds[k + 1] - 1  # of the other, where n is past the interval
+        other = n * 100 // self.percent if n <= small else small
+        return (100 - self.percent) * (n + other) // (100 + self.percent)
+
     def signatures(self, tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(interval, parts that must be common, signatures) of a sorted set of hashes, for each interval that it is in."""
         n = len(tokens)
@@ -79,10 +87,10 @@ class Parts:
             yield from self._of(tokens, total, k)
 
     def _of(self, tokens: np.ndarray, total: np.ndarray, k: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        d = self.apart(k)
+        d = self.differ(k, len(tokens))
         if not d:  # only equal sets, which are one node
             return
-        p = int(PARTS * d) + 3
+        p = int(PARTS * self.apart(k)) + 3
         step = (1 << 64) // p
         edges = np.searchsorted(tokens, np.arange(1, p, dtype=np.uint64) * np.uint64(step))
         edges = np.concatenate([[0], edges, [len(tokens)]])
@@ -151,7 +159,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     own = Window.partitionBy("node", "k")  # a set's parts
     enough = lambda r: r.withColumn("n", F.count(F.lit(1)).over(own)).where("n >= need")
     rows = written(_shared(enough(rows)).select("node", "k", "need", "s"))
-    rows = written(_shared(enough(rows)).select("node", "k", "leader").distinct())
+    rows = _shared(enough(rows)).groupBy("node", "k", "need", "leader").agg(F.count(F.lit(1)).alias("n"))
+    # two sets that link drop fewer parts together than they have in common: one is left that both keep
+    fewest = own.orderBy("n", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = written(rows.withColumn("n", F.sum("n").over(fewest)).where("2 * n > need - 1").select("node", "k", "leader"))
     edges = rows.select(F.xxhash64("leader", "k").alias("a"), F.xxhash64("node", "k").alias("b")).where("a != b")
     labels = connected(edges).select(F.col("node").alias("_vertex"), "label")
     return rows.select("node", F.xxhash64("node", "k").alias("vertex")).distinct().join(labels, F.col("vertex") == F.col("_vertex")).select("node", "label")

@@ -46,6 +46,8 @@ def formula(text: str, columns: dict[str, str]) -> Column:
 
 #: Edges that a task contracts at once.
 CONTRACTED = 500_000
+#: Edges of a task of a later round: what is left goes to so few tasks and files as that makes.
+TASK_EDGES = 50_000
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -92,17 +94,20 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Edges are contracted inside of tasks, as they come and then once a round by their larger end, whose edges meet in one
     task: of them the least stays and the others become edges between smaller nodes. So what a round moves comes down to
-    an edge a node, however many edges there were and however they were dealt. Smaller ends that have a smaller one
-    themselves give way to it, which halves the depth of what is left; it ends when every node has its least one alone."""
+    an edge a node, however many edges there were and however they were dealt; tasks follow the edges left. Smaller ends
+    that have a smaller one themselves give way to it, which halves the depth of what is left; it ends when every node has
+    its least one alone."""
     if not dict(edges.dtypes)["a"] == dict(edges.dtypes)["b"] == "bigint":
         return _labelled(edges)
-    edges = contracted(edges)
+    edges, tasks = contracted(edges), None
     while True:
-        by_end = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("b").sortWithinPartitions("b")
-        edges = checkpoint(contracted(by_end))
+        by_end = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).repartition("b")
+        by_end = by_end.coalesce(tasks) if tasks else by_end
+        edges = checkpoint(contracted(by_end.sortWithinPartitions("b")))
+        tasks = edges.count() // TASK_EDGES + 1
         ends = edges.select(F.col("b").alias("node"), "a", F.lit(False).alias("over")).unionByName(edges.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("a"), F.lit(True).alias("over")))
         ends = ends.groupBy("node").agg(F.min("a").alias("up"), F.max("a").alias("also"), F.max("over").alias("over"))
-        moving = checkpoint(ends.where("up != also or over and up < node").select(F.col("node").alias("a"), "up"))
+        moving = checkpoint(ends.where("up != also or over and up < node").select(F.col("node").alias("a"), "up").coalesce(tasks))
         if moving.isEmpty():
             return ends.select("node", F.coalesce("up", "node").alias("label"))
         edges = edges.join(moving, "a", "left").select(F.coalesce("up", "a").alias("a"), "b")

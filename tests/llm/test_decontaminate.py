@@ -113,3 +113,20 @@ def test_windows_by_their_rarest_term():
 def test_windows_of_foreign_words_need_no_look_up():
     block = {(b"the", b"foreign%d" % k): ["x"] for k in range(100)} | {(b"the", b"word"): ["y"]}
     assert decontaminate.by_rarest(block).keys() & {b"the", b"word"} == {b"word"}
+
+
+def test_a_written_segment_is_a_group_of_its_own(spark, monkeypatch):
+    from functools import partial
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    tables, plain = [], decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, **options: tables.append(plain(df, **options)) or tables[-1])
+    monkeypatch.setattr(decontaminate, "build_index", partial(decontaminate.build_index, segment=4))
+    docs = spark.createDataFrame([(k, f"a b c d{k}") for k in range(40)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "b c d7")], "item_id long, text string")
+    got = decontaminate.contamination(docs, items).where("size(spans) > 0").collect()
+    assert [(r.doc_id, [tuple(s) for s in r.spans], r["items"]) for r in got] == [(7, [(1, 4)], ["1"])]
+    files = [pq.ParquetFile(p).metadata for p in Path(tables[0].written_at.removeprefix("file:")).glob("*.parquet")]
+    assert [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)] == [1] * 40

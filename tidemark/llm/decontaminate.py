@@ -40,7 +40,8 @@ BLOCK_BYTES = 8 << 20
 _WORD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
 SPANS = "array<struct<start:int,end:int>>"
-INDEX = "docs {id}, sizes array<int>, terms array<binary>, starts array<int>, places array<int>"
+#: Numbers are held as bytes, four a number, and terms are joined by spaces: a field of a segment is one value to Spark.
+INDEX = "docs {id}, sizes binary, terms binary, starts binary, places binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -67,7 +68,7 @@ def _segment(ids: list, docs: list[np.ndarray], known: list[bytes]) -> dict:
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """A row for each segment: the documents' ids and sizes in words, the terms, where each one's places start, and the
-    places."""
+    places. Where it is written, each row should be a group of its own (``written_index``)."""
     kind = df.schema[id_col].dataType
     schema = T._parse_datatype_string(INDEX.format(id=f"array<{kind.simpleString()}>"))
 
@@ -77,8 +78,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
         def row() -> pa.RecordBatch:
             s = _segment(ids, docs, list(number))
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            return pa.RecordBatch.from_arrays([one(s["docs"], id_kind), one(s["sizes"], pa.int32()), one(s["terms"], pa.binary()), one(s["starts"], pa.int32()), one(s["places"], pa.int32())], schema.names)
+            own = (s["sizes"].tobytes(), b" ".join(s["terms"]), s["starts"].tobytes(), s["places"].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([s["docs"]], pa.list_(id_kind)), *(pa.array([x], pa.binary()) for x in own)], schema.names)
 
         for batch in sliced(batches):
             id_kind = batch.schema.field(0).type
@@ -101,6 +102,12 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def written_index(index: DataFrame) -> DataFrame:
+    """The index as a table of a row a group, so that neither the task that writes it nor one that reads it holds more than
+    a segment. By itself Parquet looks at the size of a group at each hundredth row only, and reads 4096 at once."""
+    return written(index, **{"parquet.block.row.count.limit": "1"})
+
+
 class Segment:
     """One stored segment, ready to be searched."""
 
@@ -156,8 +163,9 @@ class Segment:
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for batch in sliced(batches):
         for r in range(batch.num_rows):
-            ids, sizes, terms, starts, places = (batch.column(c)[r].values for c in range(5))
-            yield Segment(ids, sizes.to_numpy(), terms.to_pylist(), starts.to_numpy(), places.to_numpy())
+            sizes, terms, starts, places = (batch.column(c)[r].as_buffer() for c in range(1, 5))
+            sizes, starts, places = (np.frombuffer(x, np.int32) for x in (sizes, starts, places))
+            yield Segment(batch.column(0)[r].values, sizes, terms.to_pybytes().split(b" ") if terms.size else [], starts, places)
 
 
 def find(index: DataFrame, phrases: list[tuple[bytes, ...]], slop: int = 0, id_col: str = "doc_id") -> DataFrame:
@@ -243,7 +251,7 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     """(id, n_words, spans array<struct<start, end>>, items array<string>) of every document: the runs of words inside
     an occurrence of a window of the items, and the sorted items that have such a window. With ``slop``, the words of a
     window may stand apart by that many other words each."""
-    index = written(build_index(df, id_col, text_col).withColumn("segment", F.monotonically_increasing_id()))
+    index = written_index(build_index(df, id_col, text_col).withColumn("segment", F.monotonically_increasing_id()))
     passes = [_hits(index, block, slop, not n) for n, block in enumerate(blocks(items, item_col, item_text, size, block_bytes))]
     out = passes[0]
     if len(passes) > 1:
